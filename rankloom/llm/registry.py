@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL that some of them are held against."""
 
-from rankloom.llm import contamination, line_index, token_counts, token_ids
+from rankloom.llm import contamination, line_index, simhash, token_counts, token_ids
 
 QUERIES = {
+    "op4_simhash": simhash.op4_simhash,
     "op7_decontamination": contamination.op7_decontamination,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_line_dedup": line_index.op9_line_dedup,
