@@ -1,8 +1,10 @@
 """The queries of this subpackage and the SQL that some of them are held against."""
 
-from rankloom.llm import contamination, line_index, simhash, token_counts, token_ids
+from rankloom.llm import contamination, line_index, passage_classifier, quality_rules, simhash, token_counts, token_ids
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_quality_classifier": passage_classifier.op2_quality_classifier,
     "op4_simhash": simhash.op4_simhash,
     "op7_decontamination": contamination.op7_decontamination,
     "op8_token_counts": token_counts.op8_token_counts,
