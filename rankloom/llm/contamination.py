@@ -41,14 +41,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_hashes(ids: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each run of `size` word numbers; equal runs have equal hashes, and equal hashes are compared again."""
-    n = len(ids) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out, w = np.zeros(n, np.uint64), mixed(ids.astype(np.uint64) + np.uint64(1))
+def shingle_hashes(ids: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each run of `size` word numbers, or of those that begin at `at`; equal runs have equal hashes, and
+    equal hashes are compared again."""
+    at = np.arange(max(0, len(ids) - size + 1)) if at is None else at
+    out = np.zeros(len(at), np.uint64)
     for j in range(size):
-        out = out * _STEP + w[j : j + n]
+        out = out * _STEP + mixed(ids[at + j].astype(np.uint64) + np.uint64(1))
     return mixed(out)
 
 
@@ -98,14 +97,15 @@ class Windows:
         """Where windows occur in a document's word numbers: (first word, window)."""
         at, which = [], []
         for size, (keys, first, count, rows, place) in self.prefix.items():
-            h = shingle_hashes(ids, size)
-            if not len(h):
+            runs = known_runs(ids, size)
+            if not len(runs):
                 continue
+            h = shingle_hashes(ids, size, runs)
             k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = np.flatnonzero(keys[k] == h)
+            same = keys[k] == h
+            hit, k = runs[same], k[same]
             if not len(hit):
                 continue
-            k = k[hit]
             n = count[k]
             each = np.repeat(np.arange(len(hit)), n)
             nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -123,7 +123,16 @@ class Windows:
 
 
 def numbers(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
+    get = number.get
+    return np.array([get(w, -1) for w in words], np.int64)
+
+
+def known_runs(ids: np.ndarray, size: int) -> np.ndarray:
+    """Where runs of `size` words begin that are all words of the benchmark; no other run can match."""
+    if len(ids) < size:
+        return np.zeros(0, np.int64)
+    known = np.concatenate(([0], np.cumsum(ids >= 0)))
+    return np.flatnonzero(known[size:] - known[:-size] == size)
 
 
 def shingle_counts(docs: DataFrame, blocks: list[Windows], shingles: list[dict[int, np.ndarray]], text: str) -> dict[tuple[int, int], int]:
@@ -132,15 +141,19 @@ def shingle_counts(docs: DataFrame, blocks: list[Windows], shingles: list[dict[i
 
     def batch(b):
         seen: Counter = Counter()
-        for t in b.column("_text"):
-            words = words_of(t.as_py())
-            for number, by_size in shared.value:
-                ids = numbers(words, number)
+        words = [words_of(t.as_py()) for t in b.column("_text")]
+        for number, by_size in shared.value:
+            counts = {size: np.zeros(len(keys), np.int64) for size, keys in by_size.items()}
+            for own in words:
+                ids = numbers(own, number)
                 for size, keys in by_size.items():
-                    h = shingle_hashes(ids, size)
-                    h = h[np.isin(h, keys)] if len(h) and len(keys) else h[:0]
-                    for k, n in zip(*np.unique(h, return_counts=True), strict=True):
-                        seen[size, int(k.astype(np.int64))] += int(n)
+                    if len(runs := known_runs(ids, size)):
+                        h = shingle_hashes(ids, size, runs)
+                        k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                        counts[size] += np.bincount(k[keys[k] == h], minlength=len(keys))
+            for size, keys in by_size.items():
+                for k in np.flatnonzero(counts[size]).tolist():
+                    seen[size, int(keys[k].astype(np.int64))] += int(counts[size][k])
         return {"size": [k[0] for k in seen], "h": [k[1] for k in seen], "n": list(seen.values())}
 
     got = map_batches(text_bytes(docs, text=text), batch, "size int, h long, n long").groupBy("size", "h").agg(F.sum("n").alias("n"))
