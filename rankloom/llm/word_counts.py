@@ -83,8 +83,8 @@ def summed_over_words(texts: DataFrame, words: Callable[[bytes], dict], found: D
                 out[f"s_{k}"].append(s)
         return out | {k: b.column(k) for k in keys}
 
-    rows = written(map_batches(texts, batch, schema).withColumn("_row", F.monotonically_increasing_id()), "common-sums")
-    spread = rows.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    rare = spread.join(valued.where(F.col("n_docs") <= cut), "word").groupBy("_row").agg(*[F.sum(F.col("times") * F.col(k)).alias(f"r_{k}") for k in names])
-    return rows.join(rare, "_row", "left").select(*keys, "n_words", *[(F.col(f"s_{k}") + F.coalesce(F.col(f"r_{k}"), F.lit(0))).alias(k) for k in names])
+    rows = written(map_batches(texts, batch, schema).withColumn("_nth", F.monotonically_increasing_id()), "common-sums")
+    spread = rows.select("_nth", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_nth", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    rare = spread.join(valued.where(F.col("n_docs") <= cut), "word").groupBy("_nth").agg(*[F.sum(F.col("times") * F.col(k)).alias(f"r_{k}") for k in names])
+    return rows.join(rare, "_nth", "left").select(*keys, "n_words", *[(F.col(f"s_{k}") + F.coalesce(F.col(f"r_{k}"), F.lit(0))).alias(k) for k in names])
 
