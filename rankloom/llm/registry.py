@@ -1,10 +1,11 @@
 """The queries of this subpackage and the SQL that some of them are held against."""
 
-from rankloom.llm import contamination, context_tree, line_index, passage_classifier, quality_rules, simhash, token_counts, token_ids
+from rankloom.llm import contamination, context_tree, line_index, passage_classifier, quality_rules, repeats, simhash, token_counts, token_ids
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_quality_classifier": passage_classifier.op2_quality_classifier,
+    "op3_repeated_passages": repeats.op3_repeated_passages,
     "op4_simhash": simhash.op4_simhash,
     "op5_lm_scores": context_tree.op5_lm_scores,
     "op7_decontamination": contamination.op7_decontamination,
