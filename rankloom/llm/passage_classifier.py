@@ -182,8 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 0, sample: int = SAMPL
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row of `docs`: key, score (0 to 1), predicted (1 if score >= threshold), top_passage (the number of the
-    passage with most weight). Null and empty texts are one passage of nothing. Other columns are left out."""
+    """Per row of `docs`: key, score (0 to 1), predicted (1 if score >= threshold). Null and empty texts are one
+    passage of nothing. Rows with equal keys give a row each; other columns are left out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.select(key).schema[key].dataType.simpleString()
 
@@ -197,6 +197,23 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return map_batches(text_bytes(docs, key, text=text), batch, f"{key} {kind}, score double, predicted int")
 
 
+def kept(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, all columns, that score `threshold` or more. No shuffle."""
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches):
+        for b in batches:
+            score = []
+            for t in b.column(text):
+                x = passages((t.as_py() or "").encode("utf-8", "replace"))
+                score.append(shared.value.scores(x, np.zeros(len(x), np.int64), 1)[0] >= threshold)
+            yield b.filter(pa.array(score, pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = scored(docs, train(docs, table(spark, sf_dir, "labels")))

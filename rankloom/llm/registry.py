@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that some of them are held against."""
 
-from rankloom.llm import contamination, context_tree, line_index, passage_classifier, quality_rules, repeats, simhash, token_counts, token_ids
+from rankloom.llm import contamination, context_tree, licenses, line_index, passage_classifier, quality_rules, repeats, simhash, token_counts, token_ids
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_repeated_passages": repeats.op3_repeated_passages,
     "op4_simhash": simhash.op4_simhash,
     "op5_lm_scores": context_tree.op5_lm_scores,
+    "op6_licences": licenses.op6_licences,
     "op7_decontamination": contamination.op7_decontamination,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_line_dedup": line_index.op9_line_dedup,

@@ -222,6 +222,31 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ke
     return map_batches(text_bytes(docs, key, text=text), batch, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long")
 
 
+def encode_ids(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row of `docs`: key, n_tokens, ids (array of int). Null and empty texts have none. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def batch(b):
+        encode = coder_for(shared).encoder.encode
+        ids = [encode(t.as_py().decode("utf-8", "replace")) for t in b.column("_text")]
+        return {key: b.column(key), "n_tokens": [len(x) for x in ids], "ids": ids}
+
+    kind = docs.select(key).schema[key].dataType.simpleString()
+    return map_batches(text_bytes(docs, key, text=text), batch, f"{key} {kind}, n_tokens long, ids array<int>")
+
+
+def decode_ids(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFrame:
+    """Per row of `encoded` (key, ids): key, text; bytes that are no UTF-8 become the replacement character."""
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.entries)
+
+    def batch(b):
+        entries = shared.value
+        return {key: b.column(key), "text": [b"".join([entries[i] for i in x or ()]).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]}
+
+    kind = encoded.select(key).schema[key].dataType.simpleString()
+    return map_batches(encoded.select(key, "ids"), batch, f"{key} {kind}, text string")
+
+
 def default_vocabulary() -> Vocabulary:
     import public_tokenizers
 

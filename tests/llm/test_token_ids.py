@@ -4,7 +4,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rankloom.llm.token_ids import Encoder, TextDigests, default_vocabulary
+from rankloom.llm.token_ids import Encoder, TextDigests, decode_ids, default_vocabulary, encode_ids, encode_texts
 
 V = default_vocabulary()
 CODER = TextDigests(V)
@@ -36,3 +36,13 @@ def test_letters_alone():
     coder = Encoder(V)
     for word in ("theaningtionandness", "aaaaaaaaaaab", "ionionionio", "zxqzxqzxq"):
         assert list(coder.encode_piece(word.encode())) == THEIRS.encode_ordinary(word)
+
+
+def test_rows(spark):
+    texts = [None, "", "Some text,  twice", "Some text,  twice", "é" * 30000, "word and " * 9000]
+    docs = spark.createDataFrame([(i % 5, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    ids = encode_ids(docs, V)
+    assert sorted((r.doc_id, r.ids) for r in ids.collect()) == sorted((i % 5, THEIRS.encode_ordinary(t or "")) for i, t in enumerate(texts))
+    assert sorted(map(tuple, decode_ids(ids, V).collect())) == sorted((i % 5, t or "") for i, t in enumerate(texts))
+    assert sorted((r.doc_id, r.n_tokens) for r in encode_texts(docs, V).collect()) == sorted((r.doc_id, r.n_tokens) for r in ids.collect())
+    assert encode_ids(docs.limit(0), V).count() == 0
