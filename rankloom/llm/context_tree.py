@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import LOWER_BYTES, held_out, map_batches, table, text_bytes, written
+from rankloom.llm.common import LOWER_BYTES, held_out, map_batches, table, written
 from rankloom.llm.word_counts import corpus_words, summed_over_words
 
 DEPTH = 5
@@ -30,29 +30,25 @@ BLOCK_RUNS = 3_000_000
 #: Runs that one task should work out.
 TASK_RUNS = 60_000
 START = b"\n" * DEPTH
-_MASK = np.int64((1 << (8 * (DEPTH + 1))) - 1)
 
 
 def runs(text: bytes) -> np.ndarray:
     """For each byte of a text, the number made of it and the DEPTH bytes before it, the byte itself last."""
-    b = np.frombuffer(START + text, np.uint8).astype(np.int64)
-    out = np.zeros(len(text), np.int64)
-    for k in range(DEPTH + 1):
-        out = (out << 8) | b[k : k + len(text)]
-    return out
+    padded = START + text + bytes(7 - DEPTH)
+    # Eight bytes from each place on as one number; what lies beyond the byte itself is shifted out.
+    return (np.ndarray((len(text),), ">u8", padded, strides=(1,)).astype(np.uint64) >> np.uint64(8 * (7 - DEPTH))).astype(np.int64)
 
 
 def run_counts(texts: DataFrame) -> DataFrame:
     """run, n: occurrences in the rows where `_train` holds; runs of the others alone have n = 0."""
 
     def batch(b):
-        found = {}
+        parts = []
         for inside in (True, False):
-            own = [runs(t.as_py()) for t, i in zip(b.column("_text"), b.column("_train").to_pylist(), strict=True) if i is inside]
-            for at in range(0, len(own), 500):
-                got = pd.Series(np.concatenate(own[at : at + 500])).value_counts(sort=False)
-                found.setdefault(inside, []).append(got)
-        parts = [(pd.concat(v).groupby(level=0).sum(), k) for k, v in found.items()]
+            own = [t for t, i in zip(b.column("_text"), b.column("_train").to_pylist(), strict=True) if i is inside]
+            found = [pd.Series(np.concatenate([runs(t.as_py()) for t in own[at : at + 250]])).value_counts(sort=False) for at in range(0, len(own), 250)]
+            if found:
+                parts.append((pd.concat(found).groupby(level=0, sort=False).sum(), inside))
         return {"run": np.concatenate([p.index.to_numpy() for p, _ in parts]), "n": np.concatenate([p.to_numpy() * int(k) for p, k in parts])}
 
     return map_batches(texts, batch, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
@@ -158,9 +154,10 @@ def top_levels(second: DataFrame) -> DataFrame:
 
 def run_chances(counts: DataFrame) -> DataFrame:
     """run, logp (natural log of the chance of the run's last byte after the others)."""
+    counts = written(counts, "runs")
     tasks = max(8, counts.count() // TASK_RUNS)
     keyed = counts.withColumn("context", F.shiftright("run", 8).bitwiseAND(F.lit(65535)))
-    keyed = written(keyed.withColumn("task", F.pmod(F.xxhash64("context"), F.lit(tasks)).cast("int")), "run-counts")
+    keyed = keyed.withColumn("task", F.pmod(F.xxhash64("context"), F.lit(tasks)).cast("int"))
 
     def up(g: pd.DataFrame) -> pd.DataFrame:
         levels, weighted = subtree(g["run"].to_numpy(), g["n"].to_numpy(), 2)
@@ -201,8 +198,9 @@ def scored(texts: DataFrame, model: DataFrame, keys: list[str], block_runs: int
     parts = []
     for block in range(blocks):
         # At most about `block_runs` rows of 16 bytes come back at a time.
-        own = model.where(F.pmod(F.xxhash64("run"), F.lit(blocks)) == block).orderBy("run").toPandas()
-        shared = spark.sparkContext.broadcast((own["run"].to_numpy(), own["logp"].to_numpy() / log(10)))
+        own = model.where(F.pmod(F.xxhash64("run"), F.lit(blocks)) == block).select("run", (F.col("logp") / log(10)).cast("double").alias("p")).toArrow()
+        shared = spark.sparkContext.broadcast((own.column("run").to_numpy(), own.column("p").to_numpy()))
+        del own
 
         def batch(b, shared=shared):
             find, value = lookup_for(shared)
@@ -232,11 +230,9 @@ def lookup_for(shared):
     return _kept[1]
 
 
-def words_of(text: bytes) -> dict[bytes, int]:
-    """Words `[^\\x20\\x09-\\x0D]+` of a lower-cased text and their number, and one end (the key b"\\n")."""
-    from collections import Counter
-
-    return Counter(text.split()) | {b"\n": 1}
+def words_of(text: bytes) -> list[bytes]:
+    """Words `[^\\x20\\x09-\\x0D]+` of a lower-cased text, and one end (b"\\n", which is no word)."""
+    return [*text.split(), b"\n"]
 
 
 def lm_scores(docs: DataFrame, train_where, keys: list[str], text: str = "text") -> DataFrame:

@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,20 +24,20 @@ _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\x
 _kept: list = [None, None]
 
 
-def splitter(tokenizer_json: str) -> Callable[[bytes], Counter]:
-    """The function from a text to its runs and their number. Special strings are runs of their own."""
+def splitter(tokenizer_json: str) -> Callable[[bytes], list]:
+    """The function from a text to its runs. Special strings are runs of their own."""
     special = [t["content"].encode() for t in json.loads(tokenizer_json).get("added_tokens", [])]
     cut = re.compile(b"(" + b"|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + b")") if special else None
 
-    def runs(text: bytes) -> Counter:
+    def runs(text: bytes) -> list:
         if cut and any(s in text for s in special):
-            out: Counter = Counter()
+            out: list = []
             for i, part in enumerate(cut.split(text)):
-                out.update([part] if i % 2 else _WIDE_SPACE.sub(b" ", part).split())
+                out += [part] if i % 2 else _WIDE_SPACE.sub(b" ", part).split()
             return out
         if not text.isascii():
             text = _WIDE_SPACE.sub(b" ", text)
-        return Counter(text.split())
+        return text.split()
 
     return runs
 
@@ -54,14 +53,14 @@ def tokenizer_for(shared):
 
 
 def pieces_per_word(words: DataFrame, tokenizer_json: str) -> DataFrame:
-    """`words` (word, n_docs) with `pieces`, the number of tokens of each."""
+    """`words` (word, n_all) with `pieces`, the number of tokens of each."""
     shared = words.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def batch(b):
         got = tokenizer_for(shared).encode_batch([w.as_py().decode("utf-8", "replace") for w in b.column("word")], add_special_tokens=False)
-        return {"word": b.column("word"), "n_docs": b.column("n_docs"), "pieces": [len(x) for x in got]}
+        return {"word": b.column("word"), "n_all": b.column("n_all"), "pieces": [len(x) for x in got]}
 
-    return map_batches(words.select("word", "n_docs"), batch, "word binary, n_docs long, pieces long")
+    return map_batches(words.select("word", "n_all"), batch, "word binary, n_all long, pieces long")
 
 
 def token_counts(docs: DataFrame, tokenizer_json: str, limit: int = LIMIT, text: str = "text", key: str = "doc_id") -> DataFrame:
