@@ -53,16 +53,17 @@ def text_bytes(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     return docs.select(*keep, F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("_text"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """`fn` turns each Arrow batch into columns (a dict of lists or arrays) of `schema`."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str, rows: int = 1 << 20) -> DataFrame:
+    """`fn` turns each Arrow batch, in slices of at most `rows` rows, into columns (a dict of lists or arrays) of `schema`."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (cols := fn(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                if (cols := fn(whole.slice(at, rows))) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)

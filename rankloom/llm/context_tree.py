@@ -51,7 +51,7 @@ def run_counts(texts: DataFrame) -> DataFrame:
                 parts.append((pd.concat(found).groupby(level=0, sort=False).sum(), inside))
         return {"run": np.concatenate([p.index.to_numpy() for p, _ in parts]), "n": np.concatenate([p.to_numpy() * int(k) for p, k in parts])}
 
-    return map_batches(texts, batch, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    return map_batches(texts, batch, "run long, n long", 2000).groupBy("run").agg(F.sum("n").alias("n"))
 
 
 def gamma_table() -> np.ndarray:
@@ -222,6 +222,11 @@ def scored(texts: DataFrame, model: DataFrame, keys: list[str], block_runs: int
 _kept: list = [None, None]
 
 
+def forget() -> None:
+    """Lets go of a worker's index of an earlier model before texts of a new one are read."""
+    _kept[:] = None, None
+
+
 def lookup_for(shared):
     """One index of the model for each Python worker. Runs of other blocks find the 0 at the end."""
     if _kept[0] is not shared:
@@ -260,7 +265,12 @@ def lm_scores(docs: DataFrame, train_where, keys: list[str], text: str = "text")
 def lowered(texts: DataFrame, keys: list[str]) -> DataFrame:
     """A-Z lower-cased, with `_row`, a number of the row. Written, so that all later reads see the same numbers."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*keys).schema) + ", _train boolean, _text binary"
-    low = map_batches(texts, lambda b: {k: b.column(k) for k in (*keys, "_train")} | {"_text": [t.as_py().translate(LOWER_BYTES) for t in b.column("_text")]}, schema)
+
+    def batch(b):
+        forget()
+        return {k: b.column(k) for k in (*keys, "_train")} | {"_text": [t.as_py().translate(LOWER_BYTES) for t in b.column("_text")]}
+
+    low = map_batches(texts, batch, schema, 2000)
     return written(low.withColumn("_row", F.monotonically_increasing_id()), "lowered-texts")
 
 

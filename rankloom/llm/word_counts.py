@@ -33,7 +33,7 @@ def corpus_words(texts: DataFrame, words: Callable[[bytes], list], where: str |
         own, other = counts[True], counts[False]
         return {"word": [*own, *other], "n": [*own.values(), *[0] * len(other)], "n_all": [*own.values(), *other.values()]}
 
-    counted = map_batches(texts, batch, "word binary, n long, n_all long")
+    counted = map_batches(texts, batch, "word binary, n long, n_all long", 4000)
     return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
 
@@ -77,7 +77,7 @@ def summed_over_words(texts: DataFrame, words: Callable[[bytes], list], found: D
                 out[f"s_{k}"].append(v[at].sum())
         return out | {k: b.column(k) for k in keys}
 
-    rows = written(map_batches(texts, batch, schema).withColumn("_nth", F.monotonically_increasing_id()), "common-sums")
+    rows = written(map_batches(texts, batch, schema, 2000).withColumn("_nth", F.monotonically_increasing_id()), "common-sums")
     spread = rows.select("_nth", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_nth", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     rare = spread.join(valued.where(F.col("n_all") <= cut), "word").groupBy("_nth").agg(*[F.sum(F.col("times") * F.col(k)).alias(f"r_{k}") for k in names])
     return rows.join(rare, "_nth", "left").select(*keys, "n_words", *[(F.col(f"s_{k}") + F.coalesce(F.col(f"r_{k}"), F.lit(0))).alias(k) for k in names])
