@@ -81,10 +81,9 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma_half(zeros) + log_gamma_half(ones) - log(np.pi) - log_gamma_one(zeros + ones)
 
 
-def nodes_of(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte its eight nodes (1 to 255) and bits."""
-    k = np.arange(8)
-    return (256 | byte[:, None]) >> (8 - k), (byte[:, None] >> (7 - k)) & 1
+def node_of(byte: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte the node (1 to 255) of its decision k and the bit there."""
+    return (256 | byte) >> (8 - k), (byte >> (7 - k)) & 1
 
 
 class Level:
@@ -103,13 +102,12 @@ class Level:
         return (np.where(bit == 1, b, a) + 0.5) / (a + b + 1)
 
 
-def subtree(run: np.ndarray, n: np.ndarray, top: int) -> tuple[list[Level], list[np.ndarray]]:
-    """The levels from depth `top` to DEPTH over these runs, and each level's log weighted chance. The shorter a
-    context, the fewer of a run's bytes before the last it keeps: the last d of them."""
-    byte, before = run & 255, run >> 8
-    node, bit = nodes_of(byte)
-    rows = np.repeat(n, 8)
-    levels = [Level(np.repeat(before & ((1 << (8 * d)) - 1), 8), node.ravel(), bit.ravel(), rows) for d in range(top, DEPTH + 1)]
+def subtree(run: np.ndarray, n: np.ndarray, top: int, k: int) -> tuple[list[Level], list[np.ndarray]]:
+    """The levels from depth `top` to DEPTH over decision k of these runs, and each level's log weighted chance. The
+    shorter a context, the fewer of a run's bytes before the last it keeps: the last d of them."""
+    node, bit = node_of(run & 255, k)
+    before = run >> 8
+    levels = [Level(before & ((1 << (8 * d)) - 1), node, bit, n) for d in range(top, DEPTH + 1)]
     weighted = [levels[-1].kt]
     for level, below in zip(levels[-2::-1], levels[:0:-1], strict=True):
         parent = np.zeros(len(below.codes), np.int64)
@@ -159,10 +157,14 @@ def run_chances(counts: DataFrame) -> DataFrame:
     keyed = counts.withColumn("context", F.shiftright("run", 8).bitwiseAND(F.lit(65535)))
     keyed = keyed.withColumn("task", F.pmod(F.xxhash64("context"), F.lit(tasks)).cast("int"))
 
+    # Nodes of different decisions share no tree, so a group's decisions are worked out one after another.
     def up(g: pd.DataFrame) -> pd.DataFrame:
-        levels, weighted = subtree(g["run"].to_numpy(), g["n"].to_numpy(), 2)
-        top = levels[0]
-        return pd.DataFrame({"task": int(g["task"].iloc[0]), "context": top.codes >> 8, "node": (top.codes & 255).astype(np.int32), "zeros": top.zeros, "ones": top.ones, "p": weighted[0]})
+        run, n, task, parts = g["run"].to_numpy(), g["n"].to_numpy(), int(g["task"].iloc[0]), []
+        for k in range(8):
+            levels, weighted = subtree(run, n, 2, k)
+            top = levels[0]
+            parts.append(pd.DataFrame({"task": task, "context": top.codes >> 8, "node": (top.codes & 255).astype(np.int32), "zeros": top.zeros, "ones": top.ones, "p": weighted[0]}))
+        return pd.concat(parts)
 
     second = written(keyed.groupBy("task").applyInPandas(up, "task int, context long, node int, zeros long, ones long, p double"), "context-roots")
     above = top_levels(second).withColumn("task", F.pmod(F.xxhash64("context"), F.lit(tasks)).cast("int"))
@@ -170,16 +172,16 @@ def run_chances(counts: DataFrame) -> DataFrame:
     def down(g: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         if not len(g):
             return pd.DataFrame({"run": [], "logp": []})
-        run = g["run"].to_numpy()
-        levels, weighted = subtree(run, g["n"].to_numpy(), 2)
-        bit = nodes_of(run & 255)[1].ravel()
-        total, left = path_chances(levels, weighted, bit)
+        run, n, logp = g["run"].to_numpy(), g["n"].to_numpy(), np.zeros(len(g))
         codes = above["context"].to_numpy() * 256 + above["node"].to_numpy()
         order = np.argsort(codes)
-        at = order[np.searchsorted(codes[order], levels[0].codes)][levels[0].where]
-        up = np.where(bit == 1, above["up1"].to_numpy()[at], above["up0"].to_numpy()[at])
-        chance = up + above["left"].to_numpy()[at] * total
-        return pd.DataFrame({"run": run, "logp": np.log(chance).reshape(-1, 8).sum(1)})
+        codes, up1, up0, rest = (x[order] for x in (codes, *(above[c].to_numpy() for c in ("up1", "up0", "left"))))
+        for k in range(8):
+            levels, weighted = subtree(run, n, 2, k)
+            bit = node_of(run & 255, k)[1]
+            at = np.searchsorted(codes, levels[0].codes)[levels[0].where]
+            logp += np.log(np.where(bit == 1, up1[at], up0[at]) + rest[at] * path_chances(levels, weighted, bit)[0])
+        return pd.DataFrame({"run": run, "logp": logp})
 
     return keyed.groupBy("task").cogroup(above.groupBy("task")).applyInPandas(down, "run long, logp double")
 
@@ -197,9 +199,9 @@ def scored(texts: DataFrame, model: DataFrame, keys: list[str], block_runs: int
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", n_bytes long, score double"
     parts = []
     for block in range(blocks):
-        # At most about `block_runs` rows of 16 bytes come back at a time.
+        # At most about `block_runs` rows of 16 bytes come back at a time; executors get 12 bytes a run.
         own = model.where(F.pmod(F.xxhash64("run"), F.lit(blocks)) == block).select("run", (F.col("logp") / log(10)).cast("double").alias("p")).toArrow()
-        shared = spark.sparkContext.broadcast((own.column("run").to_numpy(), own.column("p").to_numpy()))
+        shared = spark.sparkContext.broadcast((own.column("run").to_numpy(), np.append(own.column("p").to_numpy(), 0.0).astype(np.float32)))
         del own
 
         def batch(b, shared=shared):
@@ -207,7 +209,7 @@ def scored(texts: DataFrame, model: DataFrame, keys: list[str], block_runs: int
             out = []
             for t in b.column("_text"):
                 at = find.get_indexer(runs(t.as_py()))
-                out.append(float(value[at].sum()))
+                out.append(float(value[at].sum(dtype=np.float64)))
             return {k: b.column(k) for k in keys} | {"n_bytes": [len(t.as_py()) for t in b.column("_text")], "score": out}
 
         parts.append(map_batches(texts, batch, schema))
@@ -230,8 +232,9 @@ def forget() -> None:
 def lookup_for(shared):
     """One index of the model for each Python worker. Runs of other blocks find the 0 at the end."""
     if _kept[0] is not shared:
+        forget()
         run, logp = shared.value
-        _kept[:] = shared, (pd.Index(run), np.append(logp, 0.0))
+        _kept[:] = shared, (pd.Index(run), logp)
     return _kept[1]
 
 
