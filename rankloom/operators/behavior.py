@@ -81,3 +81,10 @@ def category_priors(ref: DataFrame, products: DataFrame) -> DataFrame:
     by_category = rows.groupBy("time_block", "category").agg(*[mean(c, seen).alias(k) for k, c in rates.items()])
     whole = rows.groupBy("time_block").agg(*[F.coalesce(mean(c, seen), mean(c, F.lit(True))).alias(f"global_{k}") for k, c in rates.items()])
     return by_category.join(whole, "time_block").select("time_block", "category", *[F.coalesce(k, f"global_{k}").alias(k) for k in rates], *[f"global_{k}" for k in rates])
+
+
+def warmed_up(log: DataFrame, clicks: int = 3) -> DataFrame:
+    """The event at which a product has its `clicks`-th click. Only that many rows of a product leave each task."""
+    order = Window.partitionBy("product_id").orderBy("time_block", "event_seq")
+    first = log.where("clicked = 1").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= clicks)
+    return first.where(F.col("_n") == clicks).select("product_id", "event_seq", "time_block")

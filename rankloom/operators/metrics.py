@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +89,44 @@ def doubly_robust(log: DataFrame, folds: int = 5) -> DataFrame:
     full = rows.join(mu.select("context", "action", "fold", "mu"), ["context", "action", "fold"]).join(direct, ["context", "fold"])
     w = F.col("candidate_propensity") / F.greatest(F.col("logging_propensity"), F.lit(1e-8))
     return full.agg(F.avg("dm").alias("direct"), F.avg(F.col("dm") + w * (F.col("reward") - F.col("mu"))).alias("doubly_robust"))
+
+
+def softmax(rows: DataFrame, score: str, keys: list[str], name: str = "share") -> DataFrame:
+    """exp(score) over its sum in each group, shifted by the group's greatest score."""
+    group = Window.partitionBy(*keys)
+    e = F.exp(F.col(score) - F.max(score).over(group))
+    return rows.withColumn("_e", e).withColumn(name, F.col("_e") / F.sum("_e").over(group)).drop("_e")
+
+
+def poisson_steps(most: int = 12) -> list[int]:
+    """A Poisson(1) draw is the number of these that a draw from 0 to 2**32 - 1 reaches."""
+    out, term, total = [], math.exp(-1), 0.0
+    for k in range(most):
+        total += term
+        out.append(math.floor(total * 2**32))
+        term /= k + 1
+    return out
+
+
+def bootstrap_mean(rows: DataFrame, value: str, key: str, draws: int = 100) -> DataFrame:
+    """mean, low and high (2.5 and 97.5 %) of a mean under Poisson resampling. A row's weight in a draw follows from
+    its key, so reruns agree; draws are summed where the rows are read, and one row for each draw is shuffled."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("draw").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    weight = sum((F.when(F.col("u") >= s, 1).otherwise(0) for s in poisson_steps()), F.lit(0))
+    spread = rows.where(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("u", u).withColumn("w", weight)
+    means = spread.groupBy("draw").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    ends = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return rows.agg(F.avg(value).alias("mean")).join(ends)
+
+
+def result_contract(ranked: DataFrame, score: str) -> DataFrame:
+    """Per query: rows, distinct products, ranks that are missing, and rows scored above the row before them."""
+    w = Window.partitionBy("query_id").orderBy("rank")
+    rows = ranked.withColumn("rises", (F.col(score) > F.lag(score).over(w)) | F.isnan(score))
+    return rows.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("product_id").alias("products"), (F.max("rank") - F.count_distinct("rank")).alias("gaps"), F.count_if("rises").alias("rises"))
+
+
+def value_report(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """n, mean and the 50th, 95th and 99th percentile by group."""
+    p = lambda q: F.percentile(value, F.lit(q / 100)).alias(f"p{q}")
+    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), p(50), p(95), p(99))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["seed", "proposal_index", "action", "scenario", "replication", "day"]
@@ -37,3 +37,32 @@ def contrast(daily: DataFrame, baseline: str) -> DataFrame:
     base = every.where(F.col("action") == baseline).select(*on, F.col("delta").alias("base_delta"))
     rows = every.where(F.col("action") != baseline).join(base, on).withColumn("d", F.col("delta") - F.col("base_delta"))
     return rows.groupBy("seed", "proposal_index", "action").agg(F.count("*").alias("blocks"), F.avg("d").alias("contrast"), F.percentile("d", F.lit(0.5)).alias("median"))
+
+
+def scenario_summary(daily: DataFrame) -> DataFrame:
+    """One row: the worst scenario's mean delta, and the 10th percentile and mean over (replication, scenario)."""
+    cells = blocks(daily).groupBy("scenario", "replication").agg(F.sum("delta").alias("delta"))
+    worst = cells.groupBy("scenario").agg(F.avg("delta").alias("m")).agg(F.min("m").alias("worst_scenario"), F.count("*").alias("scenarios"))
+    return cells.agg(F.percentile("delta", F.lit(0.1)).alias("p10"), F.avg("delta").alias("mean")).join(worst)
+
+
+def aggregation_rules(daily: DataFrame) -> DataFrame:
+    """By action the mean delta of days, the mean of blocks' means, and the mean of blocks' sums."""
+    rows = paired(daily).withColumn("d", F.col("treatment") - F.col("base")).where("d is not null")
+    by = rows.groupBy(*KEYS[:-1]).agg(F.sum("d").alias("s"), F.count("*").alias("n"))
+    return by.groupBy("action").agg((F.sum("s") / F.sum("n")).alias("daily_mean"), F.avg(F.col("s") / F.col("n")).alias("mean_of_means"), F.avg("s").alias("mean_of_sums"))
+
+
+def best_action(daily: DataFrame, baseline: str) -> DataFrame:
+    """Per context (seed, proposal_index) the action of the greatest utility, ties to the first by name, and its gap
+    to `baseline`, null where the context lacks that."""
+    rows = action_utility(daily).withColumn("utility", F.round("utility", 9))
+    order = Window.partitionBy("seed", "proposal_index").orderBy(F.desc("utility"), "action")
+    best = rows.withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    base = rows.where(F.col("action") == baseline).select("seed", "proposal_index", F.col("utility").alias("_base"))
+    return best.join(base, ["seed", "proposal_index"], "left").select("seed", "proposal_index", "action", "utility", (F.col("utility") - F.col("_base")).alias("gap"))
+
+
+def by_action(daily: DataFrame) -> DataFrame:
+    u = action_utility(daily)
+    return u.groupBy("action").agg(F.count("*").alias("n"), F.avg("utility").alias("mean"), F.percentile("utility", F.lit(0.5)).alias("median"), F.count_if(F.col("utility") > 0).alias("better"))

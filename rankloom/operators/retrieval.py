@@ -78,3 +78,20 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, block: str = "lab
     pairs = q.join(vectors.select("vec_id", "embedding", block), block).where("vec_id <> query_id")
     scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("qe"), F.col("embedding")), 9).alias("similarity"))
     return top(scored, "similarity", k, ["query_id"], "vec_id")
+
+
+def blended(rows: DataFrame, a: str, b: str, weight: float, keys: list[str], name: str = "base_score") -> DataFrame:
+    """`weight` times the percentile of `a` and the rest times that of `b`."""
+    return rows.withColumn(name, F.round(weight * percentile(a, keys) + (1 - weight) * percentile(b, keys), 9))
+
+
+def geometry(ranked: DataFrame, score: str, pivot: int = 10) -> DataFrame:
+    """Each ranked row within its query: z-score, rank fraction, gaps to the rows above and below, and the lift it
+    needs to reach the score at rank `pivot` (the last row's in shorter lists; 0 above it)."""
+    group, order = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy("rank")
+    s = F.col(score)
+    edge = F.coalesce(F.max(F.when(F.col("rank") == pivot, s)).over(group), F.min(s).over(group))
+    z = (s - F.avg(s).over(group)) / F.nullif(F.round(F.stddev_pop(s).over(group), 9), F.lit(0.0))
+    return ranked.select(
+        "query_id", "product_id", "rank", z.alias("z_score"), (F.col("rank") / F.count("*").over(group)).alias("rank_fraction"), (F.lag(s).over(order) - s).alias("gap_above"),
+        (s - F.lead(s).over(order)).alias("gap_below"), F.greatest(edge - s, F.lit(0.0)).alias("required_lift"))

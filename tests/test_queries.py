@@ -8,9 +8,10 @@ import duckdb
 import pytest
 
 from rankloom.operators import behavior, metrics, retrieval
-from rankloom.plans import registry
+from rankloom.plans import registry, reports
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLE_SQL = registry.QUERIES | reports.QUERIES, registry.ORACLE_SQL | reports.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
@@ -26,11 +27,11 @@ def same(a, b):
     return a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, abs_tol=1.1e-6))
 
 
-@pytest.mark.parametrize("name", list(registry.QUERIES))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_against_sql(spark, oracle, name):
-    df = registry.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     names = sorted(df.columns)
-    want = oracle.execute(f"select {', '.join(f'{chr(34)}{n}{chr(34)}' for n in names)} from ({registry.ORACLE_SQL[name]})").fetchall()
+    want = oracle.execute(f"select {', '.join(f'{chr(34)}{n}{chr(34)}' for n in names)} from ({ORACLE_SQL[name]})").fetchall()
     got = [tuple(r) for r in df.select(*names).collect()]
     key = lambda r: tuple((x is None, round(x, 4) if isinstance(x, float) else x) if not isinstance(x, str) else (False, x) for x in r)
     assert len(got) == len(want)
