@@ -63,7 +63,7 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "e12_warmed_up": lambda s, d: rounded(behavior.warmed_up(view(s, d, "v_interactions"))),
+    "o5_warmed_up": lambda s, d: rounded(behavior.warmed_up(view(s, d, "v_interactions"))),
     "k3_cohort_ndcg": cohort_ndcg,
     "k11_paired_ndcg": paired_ndcg,
     "k17_value_report": lambda s, d: rounded(metrics.value_report(view(s, d, "events"), "value", ["event_type"])),
@@ -103,7 +103,7 @@ _WEIGHT = "+".join(f"cast(u>={s} as int)" for s in poisson_steps())
 _SPEC = ", ".join(f"('{g}','{m}','{op}',{t!r}::double,{str(h).lower()})" for g, m, op, t, h in GATES)
 
 ORACLE_SQL = {
-    "e12_warmed_up": with_views("""select product_id, event_seq, cast(time_block as bigint) as time_block from (
+    "o5_warmed_up": with_views("""select product_id, event_seq, cast(time_block as bigint) as time_block from (
  select *, sum(clicked) over (partition by product_id order by time_block, event_seq rows unbounded preceding) as upto from v_interactions) x where upto=3 and clicked=1""", "v_interactions"),
     "k3_cohort_ndcg": with_views(_TOP + _ndcg_sql("cold", "lexical", f"case when p.launch_block>={COLD_FROM} then v.relevance end") + " select query_id, round(ndcg,6) as ndcg from cold", *_RANKED),
     "k11_paired_ndcg": with_views(_TOP + _BLENDED + _ndcg_sql("a", "lexical", "v.relevance") + _ndcg_sql("b", "reranked", "v.relevance") + " select a.query_id, round(b.ndcg-a.ndcg,6)+0e0 as delta from a join b on a.query_id=b.query_id", *_RANKED),
