@@ -67,6 +67,43 @@ def fused(lexical: DataFrame, dense: DataFrame, keys: list[str], k: int) -> Data
     return both.withColumn("retrieval_score", score).drop("in_lexical", "in_dense")
 
 
+def grams(text: Column) -> Column:
+    """Words of two letters or more, and the pairs of neighbours among them."""
+    t = tokens(text)
+    pairs = F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    return F.concat(t, pairs)
+
+
+def tfidf(queries: DataFrame, products: DataFrame, members: DataFrame, text: str = "title") -> DataFrame:
+    """scope, query_id, product_id, dense_score: cosine of TF-IDF rows (words and pairs of words, 1 + ln tf, smooth idf of
+    the scope's members). Pairs meet through shared terms; without one the cosine is 0 and there is no row."""
+    weight = (1 + F.log("tf")).alias("s")
+    docs = products.select("product_id", F.explode(grams(F.col(text))).alias("term")).groupBy("product_id", "term").agg(F.count("*").alias("tf")).select("product_id", "term", weight)
+    asked = queries.select("query_id", F.explode(grams(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf")).select("query_id", "term", weight)
+    size = members.groupBy("scope").agg(F.count("*").alias("n"))
+    inside = members.join(docs, "product_id")
+    idf = inside.groupBy("scope", "term").agg(F.count("*").alias("df")).join(F.broadcast(size), "scope")
+    idf = idf.select("scope", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighed = inside.join(idf, ["scope", "term"]).withColumn("w", F.col("s") * F.col("idf"))
+    length = weighed.groupBy("scope", "product_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("d_len"))
+    of_query = asked.join(idf, "term").withColumn("qw", F.col("s") * F.col("idf")).drop("s", "idf")
+    q_len = of_query.groupBy("scope", "query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_len"))
+    dots = of_query.join(weighed.select("scope", "term", "product_id", "w"), ["scope", "term"]).groupBy("scope", "query_id", "product_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    scored = dots.join(length, ["scope", "product_id"]).join(q_len, ["scope", "query_id"])
+    return scored.select("scope", "query_id", "product_id", (F.col("dot") / (F.col("d_len") * F.col("q_len"))).alias("dense_score"))
+
+
+def intent() -> Column:
+    """The intent of rows with query and their top product's model, brand, attribute and category; the first that holds."""
+    q = F.lower("query")
+    words = F.split(F.replace(q, F.lit("_"), F.lit(" ")), "\\s+")
+    known = lambda c: ~F.lower(c).isin("", "unknown") & F.contains(q, F.lower(c))
+    meets = lambda c: F.arrays_overlap(words, F.split(F.replace(F.lower(c), F.lit("_"), F.lit(" ")), "\\s+"))
+    accessory = F.arrays_overlap(words, F.array(*[F.lit(w) for w in ("case", "cover", "charger", "strap", "replacement")]))
+    out = F.when(known(F.col("model")), "exact_model").when(meets(F.col("attribute")), "attribute").when(known(F.col("brand")) & meets(F.col("category")), "brand_category")
+    return out.when(accessory, "accessory").otherwise("generic")
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
