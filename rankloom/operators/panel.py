@@ -66,3 +66,46 @@ def best_action(daily: DataFrame, baseline: str) -> DataFrame:
 def by_action(daily: DataFrame) -> DataFrame:
     u = action_utility(daily)
     return u.groupBy("action").agg(F.count("*").alias("n"), F.avg("utility").alias("mean"), F.percentile("utility", F.lit(0.5)).alias("median"), F.count_if(F.col("utility") > 0).alias("better"))
+
+
+def block_contrasts(daily: DataFrame, baseline: str) -> DataFrame:
+    """`d` of each block: an action's delta less the baseline's on the same block."""
+    every = blocks(daily)
+    on = ["seed", "proposal_index", "scenario", "replication"]
+    base = every.where(F.col("action") == baseline).select(*on, F.col("delta").alias("base_delta"))
+    return every.where(F.col("action") != baseline).join(base, on).withColumn("d", F.col("delta") - F.col("base_delta"))
+
+
+def feasibility(daily: DataFrame) -> DataFrame:
+    """Labels of (context, action) counted by action, by seed, and in all, in one scan: contexts, those of benefit and
+    those without harm, the mean utility. Nulls in action or seed mean all of them."""
+    rows = action_utility(daily).select("action", "seed", F.round("utility", 9).alias("utility"))
+    rows = rows.groupingSets([[F.col("action")], [F.col("seed")], []], F.col("action"), F.col("seed"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("utility") > 0).alias("benefit"), F.count_if(F.col("utility") >= 0).alias("no_harm"), F.avg("utility").alias("mean"))
+
+
+def regret(daily: DataFrame) -> DataFrame:
+    """By seed: the policy that takes, in each context, the action of the greatest mean utility over other seeds (the mean
+    of all where it has none there), against the best action of the context: contexts, hits, mean utility and regret."""
+    rows = action_utility(daily).withColumn("utility", F.round("utility", 9))
+    own = rows.groupBy("action", "seed").agg(F.sum("utility").alias("s"), F.count("*").alias("n"))
+    every = own.groupBy("action").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+    whole = every.agg((F.sum("ts") / F.sum("tn")).alias("overall"))
+    guess = own.join(F.broadcast(every), "action").join(F.broadcast(whole)).select("action", "seed", F.round(F.coalesce((F.col("ts") - F.col("s")) / F.nullif(F.col("tn") - F.col("n"), F.lit(0)), F.col("overall")), 9).alias("predicted"))
+    ctx = Window.partitionBy("seed", "proposal_index")
+    both = rows.join(guess, ["action", "seed"]).withColumns({"_p": F.row_number().over(ctx.orderBy(F.desc("predicted"), "action")), "_best": F.max("utility").over(ctx)})
+    chosen = both.where("_p = 1").withColumn("_lost", F.col("_best") - F.col("utility"))
+    return chosen.groupBy("seed").agg(F.count("*").alias("contexts"), F.count_if(F.col("_lost") == 0).alias("hits"), F.avg("utility").alias("utility"), F.avg("_lost").alias("regret"))
+
+
+def reconciled(candidates: DataFrame, published: DataFrame, keys: list[str], value: str, tolerance: float = 1e-8) -> DataFrame:
+    """metric, matched, missing, mean_error, max_error, exact, correlation: how well each numeric column of `candidates`,
+    as it is or negated, gives the published value."""
+    names = [c for c, t in candidates.dtypes if c not in keys and t in ("double", "float", "bigint", "int") or t.startswith("decimal")]
+    forms = F.array(*[F.struct(F.lit(p + c).alias("metric"), (s * F.col(c).cast("double")).alias("x")) for c in names for p, s in (("", 1), ("-", -1))])
+    long = candidates.select(*keys, F.inline(forms))
+    both = published.select(*keys, F.col(value).cast("double").alias("_v")).join(long, keys)
+    gap = F.abs(F.col("x") - F.col("_v"))
+    total = published.agg(F.count("*").alias("_all"))
+    out = both.groupBy("metric").agg(F.count("x").alias("matched"), F.avg(gap).alias("mean_error"), F.max(gap).alias("max_error"), F.corr("x", "_v").alias("correlation")).join(F.broadcast(total))
+    return out.select("metric", "matched", (F.col("_all") - F.col("matched")).alias("missing"), "mean_error", "max_error", F.coalesce((F.col("max_error") <= tolerance) & (F.col("matched") == F.col("_all")), F.lit(False)).alias("exact"), "correlation")

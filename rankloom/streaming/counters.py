@@ -25,3 +25,21 @@ def daily_counters(spark: SparkSession, files: str, schema: StructType, folder:
     query.awaitTermination()
     kept = spark.read.schema(StructType([*rows.schema.fields]).add("batch", "long")).option("basePath", out).parquet(f"{out}/batch=*")
     return kept.groupBy("day", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))
+
+
+def running_velocity(spark: SparkSession, files: str, schema: StructType, folder: str, keep: float = 0.75) -> DataFrame:
+    """product_id, last_block, clicks and velocity, where a click loses a quarter with each block since. Each click is
+    counted as keep ** -block and the sum scaled back, so batches, partitions and late files merge by addition. The
+    powers stay doubles for some 2,000 blocks; beyond that, count blocks from a later start."""
+    log = spark.readStream.schema(schema).parquet(files).where("product_id is not null and time_block is not null")
+    raised = F.sum(F.coalesce("clicked", F.lit(0)) * F.pow(F.lit(1 / keep), F.col("time_block")))
+    rows = log.groupBy("product_id").agg(F.max("time_block").alias("last_block"), F.sum("clicked").alias("clicks"), raised.alias("raised"))
+    out = f"{folder}/velocity"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    rows.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.schema(StructType([*rows.schema.fields]).add("batch", "long")).option("basePath", out).parquet(f"{out}/batch=*")
+    last = kept.groupBy("product_id").agg(F.max_by(F.struct("last_block", "clicks", "raised"), "batch").alias("x"))
+    return last.select("product_id", "x.last_block", "x.clicks", (F.col("x.raised") * F.pow(F.lit(keep), F.col("x.last_block"))).alias("velocity"))

@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 from rankloom.operators import behavior, metrics, retrieval
-from rankloom.plans import policy, registry, reports
+from rankloom.plans import policy, registry, reports, studies
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE_SQL = registry.QUERIES | reports.QUERIES | policy.QUERIES, registry.ORACLE_SQL | reports.ORACLE_SQL | policy.ORACLE_SQL
+QUERIES, ORACLE_SQL = registry.QUERIES | reports.QUERIES | policy.QUERIES | studies.QUERIES, registry.ORACLE_SQL | reports.ORACLE_SQL | policy.ORACLE_SQL | studies.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
