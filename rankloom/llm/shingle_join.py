@@ -1,0 +1,158 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles: a prefix-filtered set join, and groups.
+
+A text is the set of its shingles' XXH64. Sets of similarity >= 4/5 share at least 4/5 of either's shingles, so under
+any fixed order of shingles each of two such sets has a shingle of the other among its first n - ceil(4n/5) + 1: all
+pairs meet, none by chance. The order puts shingles that are common in a sample of the texts last; the sample moves
+only the work, not the result.
+
+Equal sets are one node. Shingles held by the same nodes are one group. The nodes of a group are compared in blocks of
+bounded size and each block gives back a spanning forest of verified links, so the links written grow with the nodes and
+not with their pairs. Bitmaps of parities (their differing bits never exceed the sets' difference) spare most comparisons.
+"""
+
+from __future__ import annotations
+
+from itertools import accumulate
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rankloom.llm.common import LOWER_BYTES, map_batches, written
+from rankloom.llm.simhash import components
+
+#: Nodes of a group compared with one another in one block, bytes of sets in a task, texts in the sample, shingles that are put last.
+BLOCK, BYTES, SAMPLE, COMMON = 2_000, 16_000_000, 10_000, 500_000
+
+
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct XXH64 (seed 42) of the text's shingles, sorted; a shorter text is one shingle, one without words none."""
+    from xxhash import xxh64_intdigest
+
+    words = text.translate(LOWER_BYTES).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
+    ends = [x - 1 for x in accumulate([len(w) + 1 for w in words])]
+    starts = [0, *[x + 1 for x in ends]]
+    return np.unique(np.array([xxh64_intdigest(joined[a:z], 42) for a, z in zip(starts, ends[shingle - 1 :], strict=False)], np.uint64))
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles held by three texts or more of a sample of bounded size, sorted, and how many hold each."""
+    every = max(1, docs.count() // SAMPLE)
+
+    def batch(b):
+        sets = [shingles(t.as_py(), shingle) for t in b.column("_text")]
+        return {"token": np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)}
+
+    seen = map_batches(docs.where(F.pmod("th", F.lit(every)) == 0).select("_text"), batch, "token long", rows=256)
+    top = seen.groupBy("token").count().where("count >= 3").orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
+    token, n = top.column("token").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def prefix(tokens: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The shingles of a set by one of which every set of similarity >= 4/5 can be met."""
+    n = len(tokens)
+    held = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        held = np.where(common[at] == tokens, count[at], 0)
+    return tokens[np.lexsort((tokens, held))[: n - (4 * n + 4) // 5 + 1]]
+
+
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.packbits((np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.uint64) for s in sets])
+
+
+def forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links (places in `sets`) of a spanning forest over all pairs of similarity >= 4/5."""
+    a, b = [], []
+    size, bits, rest = np.array([len(s) for s in sets]), bitmaps(sets), np.arange(len(sets))
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            q = queue.pop()
+            both = size[rest] + size[q]
+            # 9 * difference <= sum of sizes is similarity >= 4/5.
+            maybe = np.flatnonzero((9 * np.abs(size[rest] - size[q]) <= both) & (9 * np.bitwise_count(bits[rest] ^ bits[q]).sum(1, dtype=np.int64) <= both))
+            found = np.zeros(len(rest), bool)
+            for k in maybe:
+                shared = len(np.intersect1d(sets[q], sets[rest[k]], assume_unique=True))
+                found[k] = 9 * shared >= 4 * both[k]
+            new, rest = rest[found], rest[~found]
+            a += [q] * len(new)
+            b += list(new)
+            queue += list(new)
+    return a, b
+
+
+def links(nodes: DataFrame, docs: DataFrame, shingle: int, block: int = BLOCK) -> DataFrame:
+    """a, b: links among `nodes` (node, n, prefix, at_doc, th) that connect whatever is of similarity >= 4/5."""
+    posts = nodes.select("node", F.explode("prefix").alias("token"))
+    # Shingles of the same holders are one group: a count and 128 bits of the holders tell.
+    groups = posts.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
+    groups = groups.where("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    members = written(posts.join(groups, "token"), "shingle-members")
+    needed = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "th", F.col("at_doc").alias("doc_id"))
+    texts = docs.alias("d").join(needed.alias("n"), (F.col("d.th") == F.col("n.th")) & F.col("d.doc_id").eqNullSafe(F.col("n.doc_id"))).select("n.node", "d._text")
+
+    def batch(b):
+        return {"node": b.column("node"), "tokens": [shingles(t.as_py(), shingle).tobytes() for t in b.column("_text")]}
+
+    sets = written(map_batches(texts, batch, "node long, tokens binary", rows=256), "shingle-sets").dropDuplicates(["node"])
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("segment"), "node")
+    placed = written(placed.join(sets, "node"), "shingle-placed")
+    total = placed.agg(F.sum(F.octet_length("tokens").cast("long") + 200)).first()[0] or 0
+    tasks = max(8, total // BYTES)
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["segment", "node"])
+        node, segment = g["node"].to_numpy(), g["segment"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in g["tokens"]]
+        edge = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1], [True])))
+        a, b, done = [], [], set()
+        for start, end in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if end - start == 2 and (pair := (node[start], node[start + 1])) in done:
+                continue
+            if end - start == 2:
+                done.add(pair)
+            i, j = forest(sets[start:end])
+            a += [node[start + k] for k in i]
+            b += [node[start + k] for k in j]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return placed.groupBy(F.pmod("segment", F.lit(tasks)).alias("task")).applyInPandas(compare, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int, block: int = BLOCK) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, component_id (the smallest doc_id reachable over pairs of shingle
+    Jaccard similarity >= 4/5, its own included). Texts without words are equal to one another."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.coalesce(docs["text"].cast("binary"), F.lit(b"")).alias("_text")).withColumn("th", F.xxhash64("_text"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts, shingle))
+
+    def batch(b):
+        from xxhash import xxh64_intdigest
+
+        sets = [shingles(t.as_py(), shingle) for t in b.column("_text")]
+        node = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
+        return {"doc_id": b.column("doc_id"), "th": b.column("th"), "node": node, "prefix": [prefix(s, *common.value).view(np.int64) if len(s) else [] for s in sets]}
+
+    rows = written(map_batches(texts, batch, f"doc_id {kind}, th long, node long, prefix array<bigint>", rows=256), "shingle-prefixes")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc"), "th")).alias("one")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), one, F.first("prefix").alias("prefix"))
+    nodes = written(nodes.select("node", "first", F.col("one.doc").alias("at_doc"), F.col("one.th").alias("th"), "prefix"), "shingle-nodes")
+    label = components(links(nodes, texts, shingle, block)).withColumnRenamed("label", "lowest")
+    named = nodes.select(F.col("node").alias("own"), "first").join(label, F.col("own") == label["node"], "left").select("own", "first", F.coalesce("lowest", "own").alias("label"))
+    named = written(named, "shingle-labels")
+    lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    group = written(named.join(lowest, "label").select("own", "component_id"), "shingle-groups")
+    return rows.join(group, rows["node"] == group["own"]).select("doc_id", "component_id")
