@@ -5,24 +5,27 @@ any fixed order of shingles each of two such sets has a shingle of the other amo
 pairs meet, none by chance. The order puts shingles that are common in a sample of the texts last; the sample moves
 only the work, not the result.
 
-Equal sets are one node. Shingles held by the same nodes are one group. The nodes of a group are compared in blocks of
-bounded size and each block gives back a spanning forest of verified links, so the links written grow with the nodes and
-not with their pairs. Bitmaps of parities (their differing bits never exceed the sets' difference) spare most comparisons.
+Equal sets are one node. Nodes that share such a shingle are first compared by bitmaps of parities, whose differing bits
+never exceed the sets' difference, so no pair that is due is lost. What bitmaps connect is then compared by the sets
+themselves. Both compare in blocks of bounded size, and each block gives back a spanning forest, so the links written
+grow with the nodes and not with their pairs.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import LOWER_BYTES, map_batches, written
 from rankloom.llm.simhash import components
 
-#: Nodes of a group compared with one another in one block, bytes of sets in a task, texts in the sample, shingles that are put last.
+#: Nodes compared with one another in one block, bytes of sets in a task, texts in the sample, shingles that are put last.
 BLOCK, BYTES, SAMPLE, COMMON = 2_000, 16_000_000, 10_000, 500_000
 
 
@@ -66,25 +69,33 @@ def prefix(tokens: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndar
     return tokens[np.lexsort((tokens, held))[: n - (4 * n + 4) // 5 + 1]]
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.packbits((np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.uint64) for s in sets])
+def bitmap(tokens: np.ndarray, width: int) -> bytes:
+    """Bit i is the parity of the shingles that are i modulo 2^width."""
+    at = (tokens & np.uint64((1 << width) - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=1 << width) & 1).astype(np.uint8)).tobytes()
 
 
-def forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """Links (places in `sets`) of a spanning forest over all pairs of similarity >= 4/5."""
-    a, b = [], []
-    size, bits, rest = np.array([len(s) for s in sets]), bitmaps(sets), np.arange(len(sets))
+def widths(n: int) -> list[int]:
+    """A set's bitmaps have 2^width >= n bits, and twice as many too if larger sets of similarity >= 4/5 have that."""
+    own = max(10, (n - 1).bit_length())
+    return [own, own + 1] if 5 * n > 4 << own else [own]
+
+
+def forest(size: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None) -> tuple[list[int], list[int]]:
+    """Links (places) of a spanning forest over all pairs of similarity >= 4/5; without `sets`, over all that may have it."""
+    a, b, rest = [], [], np.arange(len(size))
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             q = queue.pop()
             both = size[rest] + size[q]
             # 9 * difference <= sum of sizes is similarity >= 4/5.
-            maybe = np.flatnonzero((9 * np.abs(size[rest] - size[q]) <= both) & (9 * np.bitwise_count(bits[rest] ^ bits[q]).sum(1, dtype=np.int64) <= both))
-            found = np.zeros(len(rest), bool)
-            for k in maybe:
-                shared = len(np.intersect1d(sets[q], sets[rest[k]], assume_unique=True))
-                found[k] = 9 * shared >= 4 * both[k]
+            found = 9 * np.abs(size[rest] - size[q]) <= both
+            if bits is not None:
+                found &= 9 * np.bitwise_count(bits[rest] ^ bits[q]).sum(1, dtype=np.int64) <= both
+            if sets is not None:
+                for k in np.flatnonzero(found):
+                    found[k] = 9 * len(np.intersect1d(sets[q], sets[rest[k]], assume_unique=True)) >= 4 * both[k]
             new, rest = rest[found], rest[~found]
             a += [q] * len(new)
             b += list(new)
@@ -92,44 +103,85 @@ def forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def links(nodes: DataFrame, docs: DataFrame, shingle: int, block: int = BLOCK) -> DataFrame:
-    """a, b: links among `nodes` (node, n, prefix, at_doc, th) that connect whatever is of similarity >= 4/5."""
-    posts = nodes.select("node", F.explode("prefix").alias("token"))
-    # Shingles of the same holders are one group: a count and 128 bits of the holders tell.
-    groups = posts.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
-    groups = groups.where("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    members = written(posts.join(groups, "token"), "shingle-members")
-    needed = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "th", F.col("at_doc").alias("doc_id"))
-    texts = docs.alias("d").join(needed.alias("n"), (F.col("d.th") == F.col("n.th")) & F.col("d.doc_id").eqNullSafe(F.col("n.doc_id"))).select("n.node", "d._text")
+def sharers(posts: DataFrame) -> DataFrame:
+    """x, y, m, width, node: the nodes that share a shingle, once for each set of nodes (128 bits of it, and its size)."""
+    dealt = posts.repartition("token").sortWithinPartitions("token", "width", "node")
 
-    def batch(b):
-        return {"node": b.column("node"), "tokens": [shingles(t.as_py(), shingle).tobytes() for t in b.column("_text")]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = [np.zeros(0, np.int64)] * 3
+        for b in chain(batches, [None]):
+            cols = left if b is None else [np.concatenate([x, b.column(k).to_numpy()]) for x, k in zip(left, ("token", "width", "node"), strict=True)]
+            if not len(cols[0]):
+                continue
+            token, width, node = cols
+            new = np.concatenate(([True], (token[1:] != token[:-1]) | (width[1:] != width[:-1])))
+            cut = len(token) if b is None else int(np.flatnonzero(new)[-1])
+            left = [x[cut:] for x in cols]
+            first = (new | np.concatenate(([True], node[1:] != node[:-1])))[:cut]
+            new, width, node = new[:cut][first], width[:cut][first], node[:cut][first]
+            if not len(node):
+                continue
+            start = np.flatnonzero(new)
+            m = np.diff(np.append(start, len(node)))
+            u = node.view(np.uint64)
+            mixed = (u ^ (u >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            sums = [np.repeat(np.bitwise_xor.reduceat(v, start), m) for v in (u, mixed ^ (mixed >> np.uint64(32)))]
+            keep = np.repeat(m > 1, m)
+            out = [*(v[keep].view(np.int64) for v in sums), np.repeat(m, m)[keep], width[keep], node[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], names=["x", "y", "m", "width", "node"])
+
+    return dealt.mapInArrow(run, "x long, y long, m long, width long, node long").distinct()
+
+
+def blocked(members: DataFrame, keys: list[str], many: str, block: int, *more: str) -> DataFrame:
+    """segment, node: the members of each group, each block of a group with each other."""
+    blocks = F.ceil(F.col(many) / block).cast("int")
+    placed = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select(F.xxhash64(*keys, F.least("own", "other"), F.greatest("own", "other")).alias("segment"), "node", *more)
 
-    sets = written(map_batches(texts, batch, "node long, tokens binary", rows=256), "shingle-sets").dropDuplicates(["node"])
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("segment"), "node")
-    placed = written(placed.join(sets, "node"), "shingle-placed")
-    total = placed.agg(F.sum(F.octet_length("tokens").cast("long") + 200)).first()[0] or 0
-    tasks = max(8, total // BYTES)
+
+def linked(placed: DataFrame) -> DataFrame:
+    """a, b: links within the segments of `placed` (segment, node, n and either bits or tokens)."""
+    exact = "tokens" in placed.columns
+    total = placed.agg(F.sum(F.octet_length("tokens" if exact else "bits").cast("long") + 200)).first()[0] or 0
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["segment", "node"])
-        node, segment = g["node"].to_numpy(), g["segment"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in g["tokens"]]
+        node, segment, n = g["node"].to_numpy(), g["segment"].to_numpy(), g["n"].to_numpy()
         edge = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1], [True])))
-        a, b, done = [], [], set()
+        a, b = [], []
         for start, end in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if end - start == 2 and (pair := (node[start], node[start + 1])) in done:
-                continue
-            if end - start == 2:
-                done.add(pair)
-            i, j = forest(sets[start:end])
+            if exact:
+                sets = [np.frombuffer(x, np.uint64) for x in g["tokens"].iloc[start:end]]
+                bits = np.stack([np.frombuffer(bitmap(s, 12), np.uint64) for s in sets])
+            else:
+                sets, bits = None, np.stack([np.frombuffer(x, np.uint64) for x in g["bits"].iloc[start:end]])
+            i, j = forest(n[start:end], bits, sets)
             a += [node[start + k] for k in i]
             b += [node[start + k] for k in j]
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return placed.groupBy(F.pmod("segment", F.lit(tasks)).alias("task")).applyInPandas(compare, "a long, b long").distinct()
+    return placed.groupBy(F.pmod("segment", F.lit(max(8, total // BYTES))).alias("task")).applyInPandas(compare, "a long, b long").distinct()
+
+
+def links(rows: DataFrame, texts: DataFrame, shingle: int, block: int = BLOCK) -> DataFrame:
+    """a, b: links among the nodes of `rows` that connect whatever is of similarity >= 4/5."""
+    posts = rows.select("node", "prefix", F.explode("maps.width").alias("width")).select("node", F.col("width").cast("long").alias("width"), F.explode("prefix").alias("token"))
+    members = blocked(sharers(posts), ["x", "y", "m", "width"], "m", block, "width")
+    bits = rows.select("node", "n", F.explode("maps").alias("map")).select("node", "n", F.col("map.width").cast("long").alias("width"), "map.bits").dropDuplicates(["node", "width"])
+    maybe = components(linked(written(members.join(bits, ["node", "width"]), "shingle-bitmaps")))
+    one = rows.join(maybe, "node").groupBy("node", "label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("one"))
+    one = written(one.select("node", "label", F.col("one.doc_id").alias("at"), F.col("one.th").alias("at_th")), "shingle-near")
+    found = texts.join(one, (texts["th"] == one["at_th"]) & texts["doc_id"].eqNullSafe(one["at"])).select("node", "label", "_text")
+
+    def batch(b):
+        sets = [shingles(t.as_py(), shingle) for t in b.column("_text")]
+        return {"node": b.column("node"), "label": b.column("label"), "n": [len(s) for s in sets], "tokens": [s.tobytes() for s in sets]}
+
+    sets = written(map_batches(found, batch, "node long, label long, n long, tokens binary", rows=256), "shingle-sets").dropDuplicates(["node"])
+    size = one.groupBy("label").agg(F.count("*").alias("many"))
+    return linked(blocked(sets.join(size, "label"), ["label"], "many", block, "n", "tokens"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int, block: int = BLOCK) -> DataFrame:
@@ -143,15 +195,15 @@ def near_duplicates(docs: DataFrame, shingle: int, block: int = BLOCK) -> DataFr
         from xxhash import xxh64_intdigest
 
         sets = [shingles(t.as_py(), shingle) for t in b.column("_text")]
-        node = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-        return {"doc_id": b.column("doc_id"), "th": b.column("th"), "node": node, "prefix": [prefix(s, *common.value).view(np.int64) if len(s) else [] for s in sets]}
-
-    rows = written(map_batches(texts, batch, f"doc_id {kind}, th long, node long, prefix array<bigint>", rows=256), "shingle-prefixes")
-    one = F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc"), "th")).alias("one")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), one, F.first("prefix").alias("prefix"))
-    nodes = written(nodes.select("node", "first", F.col("one.doc").alias("at_doc"), F.col("one.th").alias("th"), "prefix"), "shingle-nodes")
-    label = components(links(nodes, texts, shingle, block)).withColumnRenamed("label", "lowest")
-    named = nodes.select(F.col("node").alias("own"), "first").join(label, F.col("own") == label["node"], "left").select("own", "first", F.coalesce("lowest", "own").alias("label"))
+        return {
+            "doc_id": b.column("doc_id"), "th": b.column("th"), "node": np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64), "n": [len(s) for s in sets],
+            "prefix": [prefix(s, *common.value).view(np.int64) if len(s) else [] for s in sets], "maps": [[{"width": w, "bits": bitmap(s, w)} for w in widths(len(s))] if len(s) else [] for s in sets],
+        }
+
+    rows = written(map_batches(texts, batch, f"doc_id {kind}, th long, node long, n long, prefix array<bigint>, maps array<struct<width:int,bits:binary>>", rows=256), "shingle-prefixes")
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
+    label = components(links(rows, texts, shingle, block)).select(F.col("node").alias("in_group"), F.col("label").alias("lowest"))
+    named = nodes.join(label, F.col("node") == F.col("in_group"), "left").select(F.col("node").alias("own"), "first", F.coalesce("lowest", "node").alias("label"))
     named = written(named, "shingle-labels")
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     group = written(named.join(lowest, "label").select("own", "component_id"), "shingle-groups")
