@@ -5,8 +5,8 @@ file is a licence file if it is named as one, or if at least half its words lie
 directory and all below. A file without a licence line inherits from its nearest ancestor directory that has one.
 DataFrame functions only.
 
-Weights are (1 + ln tf) * idf, idf = ln((1 + lines) / (1 + lines with the term)) + 1, over all lines of all files;
-terms in no notice count as held by one line. By Cauchy-Schwarz a line can reach the least similarity to a
+Weights are (1 + ln tf) * idf, idf = ln((1 + lines) / (1 + lines with the term)) + 1, over all lines of all files,
+for the terms of the notices and for all others of the lines compared. By Cauchy-Schwarz a line can reach the least similarity to a
 notice only if it has one of the notice's heaviest terms (the fewest that leave too little weight without them), so
 only lines with such a term are weighed.
 """
@@ -55,14 +55,14 @@ def line_terms(files: DataFrame, text: str) -> DataFrame:
     return lines.select("_file", "line", F.regexp_extract_all(F.lower("_words"), F.lit(TERM), F.lit(0)).alias("terms")).where(F.size("terms") > 0)
 
 
-def weights(lines: DataFrame) -> tuple[dict[str, float], float]:
-    """idf of each term of the notices, and of all other terms. A row for each of those terms comes back."""
+def weights(lines: DataFrame) -> tuple[dict[str, float], int]:
+    """idf of each term of the notices, and the number of lines. A row for each of those terms comes back."""
     vocabulary = sorted({t for _, _, own in notices() for t in own})
     held = F.array_intersect("terms", F.array(*[F.lit(t) for t in vocabulary]))
     seen = lines.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("t")).groupBy("t").count()
     count = {r["t"]: r["count"] for r in seen.collect()}
     n = count.get("", 0)
-    return {t: log((1 + n) / (1 + count.get(t, 0))) + 1 for t in vocabulary}, log((1 + n) / 2) + 1 if n else 1.0
+    return {t: log((1 + n) / (1 + count.get(t, 0))) + 1 for t in vocabulary}, n
 
 
 def needed_terms(weighted: dict[str, float], least: float) -> list[str]:
@@ -81,16 +81,17 @@ def licence_lines(files: DataFrame, text: str, least: float) -> DataFrame:
     """_file, line, licence, similarity, words for each line that is like a notice; ties go to the first name."""
     spark = files.sparkSession
     lines = line_terms(files, text)
-    idf, other = weights(lines)
+    idf, n_lines = weights(lines)
     own = [(i, name, {t: (1 + log(n)) * idf[t] for t, n in terms.items()}) for i, name, terms in notices()]
     needed = sorted({t for _, _, w in own for t in needed_terms(w, least)})
-    likely = lines.where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in needed])))
+    likely = written(lines.where(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in needed]))), "licence-likely")
     spread = likely.select("_file", "line", F.size("terms").alias("words"), F.explode("terms").alias("term")).groupBy("_file", "line", "words", "term").agg(F.count("*").alias("tf"))
-    # Both tables hold the notices' terms alone.
-    known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
+    # Lines that hold each term of the likely lines, counted over all lines.
+    held = lines.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = held.join(spread.select("term").distinct(), "term", "left_semi")
     rows = [(i, name, t, w, sum(x * x for x in weighted.values()) ** 0.5) for i, name, weighted in own for t, w in weighted.items()]
     notice = F.broadcast(spark.createDataFrame(rows, "notice int, licence string, term string, nw double, length double"))
-    weighed = spread.join(known, "term", "left").withColumn("w", (1 + F.log(F.col("tf"))) * F.coalesce("idf", F.lit(other)))
+    weighed = spread.join(df, "term").withColumn("w", (1 + F.log(F.col("tf"))) * (F.log(F.lit(1.0 + n_lines) / (1 + F.col("df"))) + 1))
     length = weighed.groupBy("_file", "line", "words").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"), F.collect_list(F.struct("term", "w")).alias("all"))
     dots = length.select("_file", "line", "words", "len", F.explode("all").alias("x")).select("_file", "line", "words", "len", F.col("x.term").alias("term"), F.col("x.w").alias("w"))
     near = dots.join(notice, "term").groupBy("_file", "line", "words", "len", "notice", "licence", "length").agg(F.sum(F.col("w") * F.col("nw")).alias("dot"))

@@ -43,3 +43,11 @@ def test_against_brute_force(spark):
     assert by["a/b/z.py"].own == ["CC-BY-NC-4.0", "Proprietary"] and by["a/b/z.py"].inherited is None
     assert by["a/q/w.py"].inherited == ["GPL-3.0"] and by["a/q/readme"].is_licence_file
     assert ls.licences(files.limit(0)).count() == 0
+
+
+def test_ordinary_words_weigh_the_same_in_a_larger_corpus(spark):
+    notice = "This whole software project is released under the MIT License."
+    for times in (1, 60):
+        rows = [(f"p/{i}", notice if i % 1000 == 0 else f"software project whole this is u{i} under" if i % 20 == 0 else f"this is u{i} under v{i}") for i in range(1000 * times)]
+        found = ls.licence_lines(spark.createDataFrame(rows, "path string, text string").selectExpr("monotonically_increasing_id() as _file", "text"), "text", ls.LEAST).collect()
+        assert len(found) == times and {r.licence for r in found} == {"MIT"}
