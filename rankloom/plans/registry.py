@@ -42,6 +42,11 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.neighbours(vectors, vectors.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", "similarity", "rank"))
 
 
+def nearest_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = view(spark, sf_dir, "embeddings")
+    return rounded(retrieval.nearest_of_all(vectors, vectors.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", "similarity", "rank"))
+
+
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, products = log_and_products(spark, sf_dir)
     return rounded(contracts.temporal_split(log, products).groupBy("split").agg(F.count("*").alias("n"), F.min("time_block").alias("first"), F.max("time_block").alias("last")))
@@ -64,6 +69,7 @@ QUERIES = {
     "e9_category_priors": lambda s, d: rounded(behavior.category_priors(behavior.reference(*log_and_products(s, d), BLOCKS), view(s, d, "v_products"))),
     "f5_bm25_top": lambda s, d: rounded(lexical(s, d).select("query_id", "product_id", "bm25_score", "rank")),
     "f11_nearest_vectors": nearest,
+    "f11_nearest_of_all_vectors": nearest_of_all,
     "k2_ndcg_lexical": flagship,
     "k4_exposure": lambda s, d: rounded(metrics.exposure(lexical(s, d), view(s, d, "v_relevance"), 10)),
     "k8_calibration_error": lambda s, d: rounded(metrics.calibration_error(view(s, d, "v_calibration"))),
@@ -137,6 +143,9 @@ ORACLE_SQL = {
     "f5_bm25_top": with_views(_TOP + "select query_id, product_id, round(bm25_score,6) as bm25_score, rank from lexical", "v_products", "v_queries"),
     "f11_nearest_vectors": """with p as (select q.vec_id as query_id, v.vec_id, round(list_dot_product(cast(q.embedding as double[]),cast(v.embedding as double[]))/sqrt(list_dot_product(cast(q.embedding as double[]),cast(q.embedding as double[]))*list_dot_product(cast(v.embedding as double[]),cast(v.embedding as double[]))),9) as s
  from embeddings q join embeddings v on q.label=v.label and q.vec_id<>v.vec_id where q.vec_id%50=0)
+ select query_id, vec_id, round(s,6) as similarity, rank from (select *, row_number() over (partition by query_id order by s desc, vec_id) as rank from p) where rank<=5""",
+    "f11_nearest_of_all_vectors": """with p as (select q.vec_id as query_id, v.vec_id, round(list_dot_product(cast(q.embedding as double[]),cast(v.embedding as double[]))/sqrt(list_dot_product(cast(q.embedding as double[]),cast(q.embedding as double[]))*list_dot_product(cast(v.embedding as double[]),cast(v.embedding as double[]))),9) as s
+ from embeddings q join embeddings v on q.vec_id<>v.vec_id where q.vec_id%50=0)
  select query_id, vec_id, round(s,6) as similarity, rank from (select *, row_number() over (partition by query_id order by s desc, vec_id) as rank from p) where rank<=5""",
     "k2_ndcg_lexical": with_views(_TOP + """, r as (select l.query_id, l.product_id, l.rank, v.relevance, row_number() over (partition by l.query_id order by v.relevance desc nulls last, l.product_id) as ir
  from lexical l left join v_relevance v on v.query_id=l.query_id and v.product_id=l.product_id),
