@@ -1,15 +1,15 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by hash grouping of sparse suffixes; no suffix array is sorted.
 
 Of all suffixes of all texts only those are kept that begin at a minimiser: a word whose next `GRAM` words have the
 smallest hash among `SPREAD + 1` places in a row. The choice depends on the content alone, so two copies of a
 passage of `CORE + SPREAD` words keep the same suffix, and its next `CORE` words lie inside both. The kept suffixes
-are sorted by those words, and neighbours that agree in them are compared to the left and to the right: each
+are grouped by a hash of those words, and where a group has two documents, windows around them are grouped: each
 suffix stands for the SPREAD + 1 windows of `LEAST` words that begin up to SPREAD words before it, and a window is
 repeated if another document has it as well.
 
 Suffixes that agree in all words that any of these windows can reach are one row from the start, with the
 smallest and the largest document that has it, so a passage in a third of all documents costs no more than
-another. Sorting and comparing are by 64-bit hashes of words, spread over the shuffle by these hashes.
+another. Suffixes and windows are grouped by 64-bit hashes, which spread them over the shuffle.
 """
 
 from __future__ import annotations
