@@ -9,7 +9,8 @@ w_d = 1/2 KT(s) / P(s) of what the shorter ones left.
 
 All of it follows from how often each run of DEPTH + 1 bytes occurs, which Spark counts over the whole corpus.
 Trees are then built and read in groups that hold whole subtrees (the last two bytes decide the group); the two
-depths above are a few grouped sums. The chance of every run goes into a table, and texts add up their runs'.
+depths above are a few grouped sums. The chance of every run goes into a table, and texts add up their runs'. A text is its
+bytes and one end, the byte 0xFF, which UTF-8 never holds: chances of whole texts then add up to 1 at most.
 """
 
 from __future__ import annotations
@@ -22,25 +23,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import LOWER_BYTES, held_out, map_batches, table, written
-from rankloom.llm.word_counts import corpus_words, summed_over_words
+from rankloom.llm.word_counts import common_cut, corpus_words, summed_over_words
 
 DEPTH = 5
-#: Runs sent to the executors at a time; with more, texts are read once for each block and the sums added.
-BLOCK_RUNS = 3_000_000
+#: Runs sent to the executors at most, the commonest of all texts: 12 bytes each, some 50 in a worker. All others are
+#: joined by a shuffle, so texts are read once and the model stays in Spark, however large it is.
+COMMON_RUNS = 1_000_000
 #: Runs that one task should work out.
 TASK_RUNS = 60_000
-START = b"\n" * DEPTH
+START, END = b"\n" * DEPTH, b"\xff"
 
 
 def runs(text: bytes) -> np.ndarray:
-    """For each byte of a text, the number made of it and the DEPTH bytes before it, the byte itself last."""
+    """For each byte of a text and its end, the number made of it and the DEPTH bytes before it, the byte itself last."""
+    text += END
     padded = START + text + bytes(7 - DEPTH)
     # Eight bytes from each place on as one number; what lies beyond the byte itself is shifted out.
     return (np.ndarray((len(text),), ">u8", padded, strides=(1,)).astype(np.uint64) >> np.uint64(8 * (7 - DEPTH))).astype(np.int64)
 
 
 def run_counts(texts: DataFrame) -> DataFrame:
-    """run, n: occurrences in the rows where `_train` holds; runs of the others alone have n = 0."""
+    """run, n (occurrences in the rows where `_train` holds), n_all (in all rows)."""
 
     def batch(b):
         parts = []
@@ -49,9 +52,9 @@ def run_counts(texts: DataFrame) -> DataFrame:
             found = [pd.Series(np.concatenate([runs(t.as_py()) for t in own[at : at + 250]])).value_counts(sort=False) for at in range(0, len(own), 250)]
             if found:
                 parts.append((pd.concat(found).groupby(level=0, sort=False).sum(), inside))
-        return {"run": np.concatenate([p.index.to_numpy() for p, _ in parts]), "n": np.concatenate([p.to_numpy() * int(k) for p, k in parts])}
+        return {"run": np.concatenate([p.index.to_numpy() for p, _ in parts]), "n": np.concatenate([p.to_numpy() * int(k) for p, k in parts]), "n_all": np.concatenate([p.to_numpy() for p, _ in parts])}
 
-    return map_batches(texts, batch, "run long, n long", 2000).groupBy("run").agg(F.sum("n").alias("n"))
+    return map_batches(texts, batch, "run long, n long, n_all long", 2000).groupBy("run").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
 
 def gamma_table() -> np.ndarray:
@@ -151,7 +154,7 @@ def top_levels(second: DataFrame) -> DataFrame:
 
 
 def run_chances(counts: DataFrame) -> DataFrame:
-    """run, logp (natural log of the chance of the run's last byte after the others)."""
+    """run, n_all, logp (natural log of the chance of the run's last byte after the others)."""
     counts = written(counts, "runs")
     tasks = max(8, counts.count() // TASK_RUNS)
     keyed = counts.withColumn("context", F.shiftright("run", 8).bitwiseAND(F.lit(65535)))
@@ -171,7 +174,7 @@ def run_chances(counts: DataFrame) -> DataFrame:
 
     def down(g: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         if not len(g):
-            return pd.DataFrame({"run": [], "logp": []})
+            return pd.DataFrame({"run": [], "n_all": [], "logp": []})
         run, n, logp = g["run"].to_numpy(), g["n"].to_numpy(), np.zeros(len(g))
         codes = above["context"].to_numpy() * 256 + above["node"].to_numpy()
         order = np.argsort(codes)
@@ -181,44 +184,43 @@ def run_chances(counts: DataFrame) -> DataFrame:
             bit = node_of(run & 255, k)[1]
             at = np.searchsorted(codes, levels[0].codes)[levels[0].where]
             logp += np.log(np.where(bit == 1, up1[at], up0[at]) + rest[at] * path_chances(levels, weighted, bit)[0])
-        return pd.DataFrame({"run": run, "logp": logp})
+        return pd.DataFrame({"run": run, "n_all": g["n_all"], "logp": logp})
 
-    return keyed.groupBy("task").cogroup(above.groupBy("task")).applyInPandas(down, "run long, logp double")
+    return keyed.groupBy("task").cogroup(above.groupBy("task")).applyInPandas(down, "run long, n_all long, logp double")
 
 
 def train(texts: DataFrame) -> DataFrame:
-    """The written table (run, logp) for all runs of `texts` (`_text`, `_train`), counted where `_train` holds."""
+    """The written table (run, n_all, logp) for all runs of `texts` (`_text`, `_train`), counted where `_train` holds."""
     return written(run_chances(run_counts(texts)), "run-chances")
 
 
-def scored(texts: DataFrame, model: DataFrame, keys: list[str], block_runs: int = BLOCK_RUNS) -> DataFrame:
-    """Per row of `texts`: `keys`, n_bytes, score (log10 of the text's chance). Each block of the model adds its runs."""
-    spark = texts.sparkSession
-    blocks = max(1, -(-model.count() // block_runs))
+def scored(texts: DataFrame, model: DataFrame, keys: list[str], common: int = COMMON_RUNS) -> DataFrame:
+    """Per row of `texts`: `keys`, n_bytes, score (log10 of the chance of the text and its end). The commonest runs go to
+    the executors; each row lists its other runs, and these lists meet the model by a shuffle on the run."""
+    cut = common_cut(model, common)
+    valued = model.select("run", "n_all", (F.col("logp") / log(10)).alias("p"))
+    own = valued.where(F.col("n_all") > cut).select("run", F.col("p").cast("float")).toArrow()
+    shared = texts.sparkSession.sparkContext.broadcast((own.column("run").to_numpy(), np.append(own.column("p").to_numpy(), np.float32(0))))
+    del own
     kinds = texts.select(*keys).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", n_bytes long, score double"
-    parts = []
-    for block in range(blocks):
-        # At most about `block_runs` rows of 16 bytes come back at a time; executors get 12 bytes a run.
-        own = model.where(F.pmod(F.xxhash64("run"), F.lit(blocks)) == block).select("run", (F.col("logp") / log(10)).cast("double").alias("p")).toArrow()
-        shared = spark.sparkContext.broadcast((own.column("run").to_numpy(), np.append(own.column("p").to_numpy(), 0.0).astype(np.float32)))
-        del own
-
-        def batch(b, shared=shared):
-            find, value = lookup_for(shared)
-            out = []
-            for t in b.column("_text"):
-                at = find.get_indexer(runs(t.as_py()))
-                out.append(float(value[at].sum(dtype=np.float64)))
-            return {k: b.column(k) for k in keys} | {"n_bytes": [len(t.as_py()) for t in b.column("_text")], "score": out}
-
-        parts.append(map_batches(texts, batch, schema))
-    if blocks == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy(*keys, "n_bytes").agg(F.sum("score").alias("score"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", n_bytes long, common double, rare array<long>, times array<int>"
+
+    def batch(b):
+        find, value = lookup_for(shared)
+        out: dict[str, list] = {"n_bytes": [], "common": [], "rare": [], "times": []}
+        for t in b.column("_text"):
+            text = t.as_py()
+            run = runs(text)
+            at = find.get_indexer(run)
+            rare, times = np.unique(run[at < 0], return_counts=True)
+            for k, v in zip(out, (len(text), float(value[at].sum(dtype=np.float64)), rare, times), strict=True):
+                out[k].append(v)
+        return {k: b.column(k) for k in keys} | out
+
+    rows = written(map_batches(texts, batch, schema, 2000).withColumn("_nth", F.monotonically_increasing_id()), "common-runs")
+    spread = rows.select("_nth", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_nth", F.col("x.rare").alias("run"), F.col("x.times").alias("times"))
+    rest = spread.join(valued.where(F.col("n_all") <= cut), "run").groupBy("_nth").agg(F.sum(F.col("times") * F.col("p")).alias("more"))
+    return rows.join(rest, "_nth", "left").select(*keys, "n_bytes", (F.col("common") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 _kept: list = [None, None]
@@ -230,7 +232,7 @@ def forget() -> None:
 
 
 def lookup_for(shared):
-    """One index of the model for each Python worker. Runs of other blocks find the 0 at the end."""
+    """One index of the common runs for each Python worker. Other runs find the 0 at the end."""
     if _kept[0] is not shared:
         forget()
         run, logp = shared.value
@@ -245,8 +247,8 @@ def words_of(text: bytes) -> list[bytes]:
 
 def lm_scores(docs: DataFrame, train_where, keys: list[str], text: str = "text") -> DataFrame:
     """Per row of `docs`: `keys`, n_tokens, n_known, train_tokens, base_score (unigram), score (context tree), n_bytes
-    and bits_per_byte. `train_where` is a boolean column; null and empty texts have one token, the end, and score 0
-    by the tree, which has no end. A corpus without training rows knows no token (train_tokens 0) and its tree holds
+    and bits_per_byte (the end counted as a byte). `train_where` is a boolean column; null and empty texts have one token, the end, and the
+    tree's chance of an end at the start. A corpus without training rows knows no token (train_tokens 0) and its tree holds
     every bit for even. Rows are told apart by their keys and their order in the written table, so keys may repeat.
     """
     texts = docs.select(*keys, train_where.alias("_train"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("_text"))
@@ -261,7 +263,7 @@ def lm_scores(docs: DataFrame, train_where, keys: list[str], text: str = "text")
         {"base_score": ("double", F.log10((F.col("n") + 0.5) / F.lit(n + 0.5 * (v + 1)))), "n_known": ("long", (F.col("n") > 0).cast("long"))},
     )
     out = base.withColumnRenamed("n_words", "n_tokens").join(scored_rows.select("_row", "n_bytes", "score"), "_row")
-    bits = -F.col("score") * F.lit(log(10) / log(2)) / F.nullif(F.col("n_bytes"), F.lit(0))
+    bits = -F.col("score") * F.lit(log(10) / log(2)) / (F.col("n_bytes") + 1)
     return out.select(*keys, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", bits.alias("bits_per_byte"))
 
 

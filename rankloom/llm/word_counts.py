@@ -37,6 +37,18 @@ def corpus_words(texts: DataFrame, words: Callable[[bytes], list], where: str |
     return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
 
+def common_cut(counted: DataFrame, common: int) -> int:
+    """The count (`n_all`) beyond which rows of `counted` are common: at most `common` rows are; ties at it are rare."""
+    if counted.count() <= common:
+        return 0
+    left = common
+    for r in counted.groupBy("n_all").count().orderBy(F.desc("n_all")).toLocalIterator():
+        left -= r["count"]
+        if left < 0:
+            return r["n_all"]
+    return 0
+
+
 def summed_over_words(texts: DataFrame, words: Callable[[bytes], list], found: DataFrame, keys: list[str], values: dict[str, tuple[str, Column]], common: int = COMMON) -> DataFrame:
     """Per row of `texts`: `keys`, n_words, and for each name in `values` the sum over the row's words of its value.
     `found` is a written table of all words: word, n_all, and the columns in `values`, which maps a name to (type,
@@ -44,17 +56,7 @@ def summed_over_words(texts: DataFrame, words: Callable[[bytes], list], found: D
     spark = texts.sparkSession
     names = list(values)
     valued = found.select("word", "n_all", *[v.cast(t).alias(k) for k, (t, v) in values.items()])
-    total = valued.count()
-    cut = 0
-    if total > common:
-        # Words that occur more often than `cut` are common; ties at the cut are rare words, so the bound holds.
-        steps = valued.groupBy("n_all").count().orderBy(F.desc("n_all"))
-        left = common
-        for r in steps.toLocalIterator():
-            left -= r["count"]
-            if left < 0:
-                cut = r["n_all"]
-                break
+    cut = common_cut(valued, common)
     rows = valued.where(F.col("n_all") > cut).toArrow()
     place = {w: i for i, w in enumerate(rows.column("word").to_pylist())}
     # The last entry, 0, is what words that aren't common find.

@@ -14,7 +14,7 @@ class Slow:
     def __init__(self, texts):
         self.seen, self.children = Counter(), {}
         for t in texts:
-            t = ct.START + t
+            t = ct.START + t + ct.END
             for i in range(ct.DEPTH, len(t)):
                 for k in range(8):
                     node, bit = (256 | t[i]) >> (8 - k), t[i] >> (7 - k) & 1
@@ -49,7 +49,7 @@ class Slow:
         return w * own + (1 - w) * self.chance(node, bit, before, d + 1)
 
     def score(self, t):
-        t = ct.START + t
+        t = ct.START + t + ct.END
         return sum(log10(self.chance((256 | t[i]) >> (8 - k), t[i] >> (7 - k) & 1, t[i - ct.DEPTH : i])) for i in range(ct.DEPTH, len(t)) for k in range(8))
 
 
@@ -75,7 +75,7 @@ def test_against_recursion(spark):
     assert ct.lm_scores(docs.limit(0), F.lit(True), ["doc_id"]).count() == 0
 
 
-def test_blocks_add_up(spark):
+def test_common_and_rare_runs_add_up(spark):
     docs = spark.createDataFrame([(i, "some words " * i + chr(97 + i)) for i in range(9)], "doc_id long, text string")
     texts = ct.lowered(docs.select("doc_id", F.lit(True).alias("_train"), F.col("text").cast("binary").alias("_text")), ["doc_id"])
     model = ct.train(texts)
