@@ -22,13 +22,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import LOWER_BYTES, held_out, map_batches, table, written
+from rankloom.llm.common import LOWER_BYTES, batch_rows, held_out, map_batches, table, written
 from rankloom.llm.word_counts import common_cut, corpus_words, summed_over_words
 
 DEPTH = 5
 #: Runs sent to the executors at most, the commonest of all texts: 12 bytes each, some 50 in a worker. All others are
 #: joined by a shuffle, so texts are read once and the model stays in Spark, however large it is.
 COMMON_RUNS = 1_000_000
+#: Rows of a batch of texts.
+TEXT_ROWS = 2000
 #: Runs that one task should work out.
 TASK_RUNS = 60_000
 START, END = b"\n" * DEPTH, b"\xff"
@@ -253,15 +255,16 @@ def lm_scores(docs: DataFrame, train_where, keys: list[str], text: str = "text")
     """
     texts = docs.select(*keys, train_where.alias("_train"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("_text"))
     texts = texts.withColumn("_train", F.coalesce("_train", F.lit(False)))
-    lower = lowered(texts, keys)
-    found = written(corpus_words(lower, words_of, "_train"), "training-words")
-    total = found.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
-    n, v = total["n"] or 0, total["v"] or 0
-    scored_rows = scored(lower, train(lower), [*keys, "_row"])
-    base = summed_over_words(
-        lower, words_of, found, [*keys, "_row"],
-        {"base_score": ("double", F.log10((F.col("n") + 0.5) / F.lit(n + 0.5 * (v + 1)))), "n_known": ("long", (F.col("n") > 0).cast("long"))},
-    )
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        lower = lowered(texts, keys)
+        found = written(corpus_words(lower, words_of, "_train"), "training-words")
+        total = found.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
+        n, v = total["n"] or 0, total["v"] or 0
+        scored_rows = scored(lower, train(lower), [*keys, "_row"])
+        base = summed_over_words(
+            lower, words_of, found, [*keys, "_row"],
+            {"base_score": ("double", F.log10((F.col("n") + 0.5) / F.lit(n + 0.5 * (v + 1)))), "n_known": ("long", (F.col("n") > 0).cast("long"))},
+        )
     out = base.withColumnRenamed("n_words", "n_tokens").join(scored_rows.select("_row", "n_bytes", "score"), "_row")
     bits = -F.col("score") * F.lit(log(10) / log(2)) / (F.col("n_bytes") + 1)
     return out.select(*keys, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", bits.alias("bits_per_byte"))
