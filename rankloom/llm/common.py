@@ -52,6 +52,17 @@ def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(name, was)
 
 
+def join_rows(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`rows` joined on `key` to `found`, which has each key once and in `n` how many rows have it; `n` goes. Keys with
+    over a thousandth of the rows - under a thousand keys, whatever the input - go to all tasks, so no task gets all
+    rows of a hot key; all other keys meet by a shuffle."""
+    total = found.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * 1000 > total
+    many = F.broadcast(found.where(hot).drop("n"))
+    rest = rows.join(F.broadcast(found.where(hot).select(key)), key, "left_anti").join(found.where(~hot).drop("n"), key, how)
+    return rows.join(many, key).unionByName(rest)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to lower case and nothing else; texts of ASCII alone take the quicker function."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

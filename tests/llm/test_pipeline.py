@@ -3,10 +3,9 @@ import random
 import corpus_pipeline as cp
 from rankloom.llm import contamination as cn
 from rankloom.llm import passage_classifier as pc
-from rankloom.llm import simhash as sh
 from rankloom.llm.token_ids import TextDigests, default_vocabulary
 from tests.llm.test_line_index import li
-from tests.llm.test_simhash import slow_components
+from tests.llm.test_similar import slow
 
 
 def slow_lines(rows):
@@ -41,7 +40,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     left = [(d, t) for d, t, *_ in rows if float(model.scores(x := pc.passages((t or "").encode()), [0] * len(x), 1)[0]) >= pc.THRESHOLD]
     assert len(left) < len(rows) - 25
     left = slow_lines(left)
-    comp = slow_components([sh.fingerprint(t.encode(), 5) for _, t in left])
+    comp, _ = slow([t for _, t in left])
     left = [r for i, r in enumerate(left) if comp[i] == i]
     left = [r for r, hit in zip(left, (x[2] for x in cn.brute(left, items))) if not hit]
     coder = TextDigests(default_vocabulary())

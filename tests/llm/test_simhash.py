@@ -29,7 +29,7 @@ def slow_components(fps):
 def test_fingerprints():
     rng = random.Random(1)
     for t in ["", "  ", "One", "one two", "A b C", "é É Ü", " ".join(rng.choices("abc def ghi jkl É".split(), k=70000))]:
-        assert sh.fingerprint(t.encode()) == slow_fp(t)
+        assert sh.fingerprint(t.encode())[0] == slow_fp(t) and sh.fingerprint(t.encode(), 3, 5)[0] == slow_fp(t)
 
 
 def test_groups_against_brute_force(spark):
@@ -45,9 +45,9 @@ def test_groups_against_brute_force(spark):
             b = x if rng.random() < 0.5 else b
     fps = sorted(fps)
     want = slow_components(fps)
-    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
-    for block in (8000, 100):
-        label = {r.node: r.label for r in sh.components(sh.links(df, block=block)).collect()}
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "node long").selectExpr("node", "array(node) as fps")
+    for block, parts in ((8000, None), (100, None), (8000, 3), (8000, 2)):
+        label = {r.node: r.label for r in sh.components(sh.links(df, block=block, parts=parts)).collect()}
         got = [label.get(f := int(np.uint64(x).astype(np.int64)), f) for x in fps]
         pairs = {}
         for g, w in zip(got, want):

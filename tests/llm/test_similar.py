@@ -1,7 +1,8 @@
 import random
 
 import corpus_pipeline as cp
-from rankloom.llm import shingle_join as sj
+from rankloom.llm import shingle_sets as ss
+from rankloom.llm import simhash as sh
 
 
 def grams(text, k=5):
@@ -40,13 +41,22 @@ def test_stage_finds_all_near_copies_from_four_fifths(spark):
     want, close = slow(texts)
     assert sum(0.8 <= x < 0.85 for x in close) > 5 and sum(0.85 <= x < 0.95 for x in close) > 10
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    for block in (2000, 3):
-        got = {r.doc_id: r.component_id for r in sj.near_duplicates(docs, 5, block).collect()}
-        assert got == dict(enumerate(want))
+    got = {r.doc_id: r.component_id for r in sh.similar(docs).collect()}
+    assert got == dict(enumerate(want))
     assert {r.doc_id for r in cp.near_duplicate_stage(spark, docs, "").collect()} == set(want)
-    assert sj.near_duplicates(docs.limit(0), 5).count() == 0
+    assert sh.similar(docs.limit(0)).count() == 0
 
 
 def test_rows_without_a_key_stay(spark):
     docs = spark.createDataFrame([(None, "a b c d e f g"), (4, "a b c d e f g"), (3, "A b c d e f g"), (3, "other")], "doc_id long, text string").selectExpr("*", "'' as lang", "'' as source", "cast(0 as long) as n_chars")
     assert sorted(str(r.doc_id) for r in cp.near_duplicate_stage(spark, docs, "").collect()) == ["3", "3", "None"]
+
+
+def test_blocks_of_sets_lose_no_link(spark):
+    texts = corpus()
+    want, _ = slow(texts)
+    sets = [(i, 0, ss.shingles((t or "").encode(), 5).tobytes()) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(sets, "node long, label long, tokens binary")
+    for block in (2000, 30):
+        label = {r.node: r.label for r in sh.components(ss.linked(ss.blocked(df, block))).collect()}
+        assert [label.get(i, i) for i in range(len(texts))] == want
