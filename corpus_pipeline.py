@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import contamination, line_index, passage_classifier, shingle_join, token_ids
+from rankloom.llm import contamination, line_index, passage_classifier, simhash, token_ids
 from rankloom.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,7 +32,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (shingle similarity >= 4/5, chained) the document of the smallest doc_id; rows
     without a doc_id stay."""
-    groups = shingle_join.near_duplicates(docs, SHINGLE)
+    groups = simhash.similar(docs, SHINGLE)
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
 
@@ -52,7 +52,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("quality classifier", quality_stage),
     ("line dedup", line_stage),
-    ("shingle near-dedup", near_duplicate_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
     ("byte-level BPE", encoding_stage),
 ]
