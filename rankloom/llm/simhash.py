@@ -23,7 +23,7 @@ from math import ceil, comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import LOWER_BYTES, batch_rows, join_rows, map_batches, table, text_bytes, written
@@ -293,6 +293,11 @@ def links(nodes: DataFrame, differ: int = DIFFER, near: int | None = None, words
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node that each node of `edges` (a, b) reaches. Labels spread over links and jump to
     their own label's label, so rounds grow with the logarithm of the longest chain; each round is a written table."""
+    # A node linked to several is linked to the smallest of them, and they to that one: of a large group, whose nodes meet
+    # in many parts, few links are left.
+    least = edges.withColumn("low", F.min("b").over(Window.partitionBy("a")))
+    fewer = least.select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x"))
+    edges = fewer.select("x.a", "x.b").where("a <> b").distinct()
     both = written(edges.union(edges.select("b", "a")), "links")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
     while True:
