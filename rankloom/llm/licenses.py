@@ -19,7 +19,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import table, written
+from rankloom.llm.common import join_rows, table, written
 
 #: The wording of short licence notices.
 NOTICES = {
@@ -125,11 +125,14 @@ def licences(files: DataFrame, path: str = "path", text: str = "text", least: fl
     directories = found.where("is_licence_file and path is not null").select(F.element_at(above, -1)["dir"].alias("dir"), F.explode("own").alias("licence"))
     directories = directories.groupBy("dir").agg(F.array_sort(F.collect_set("licence")).alias("licences"))
     # Directories, not files, look for their ancestors, so a directory of many files asks once.
-    bare = found.where("own is null and path is not null").select(F.element_at(above, -1)["dir"].alias("home"), above.alias("above"))
-    asking = bare.groupBy("home").agg(F.first("above").alias("above")).select("home", F.explode("above").alias("a")).select("home", F.col("a.depth").alias("depth"), F.col("a.dir").alias("dir"))
-    nearest = asking.join(directories, "dir").groupBy("home").agg(F.max(F.struct("depth", "dir", "licences")).alias("n"))
-    nearest = nearest.select("home", F.col("n.dir").alias("inherited_from"), F.col("n.licences").alias("inherited"))
-    out = found.withColumn("home", F.when(F.col("own").isNull(), F.element_at(above, -1)["dir"])).join(nearest, "home", "left")
+    bare = found.where("own is null and path is not null").withColumn("above", above).withColumn("home", F.element_at("above", -1)["dir"])
+    homes = written(bare.groupBy("home").agg(F.first("above").alias("above"), F.count("*").alias("n")), "licence-homes")
+    asking = homes.select("home", F.explode("above").alias("a")).select("home", F.col("a.depth").alias("depth"), F.col("a.dir").alias("dir"))
+    nearest = asking.join(directories, "dir").groupBy("home").agg(F.max(F.struct("depth", "dir", "licences")).alias("near"))
+    nearest = nearest.select("home", F.col("near.dir").alias("inherited_from"), F.col("near.licences").alias("inherited"))
+    nearest = written(homes.select("home", "n").join(nearest, "home", "left"), "licence-inherited")
+    others = found.where("own is not null or path is null").withColumn("inherited_from", F.lit(None).cast("string")).withColumn("inherited", F.lit(None).cast("array<string>"))
+    out = join_rows(bare.drop("above"), nearest, "home").drop("home").unionByName(others)
     return out.select("path", F.coalesce("own", F.array().cast("array<string>")).alias("own"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), "is_licence_file", "inherited", "inherited_from")
 
 
