@@ -2,8 +2,12 @@
 
 Each document gets a few measures. Per language and source, KLL sketches of each measure are built in partial
 aggregates and merged; cells of too few documents take the merged sketch of their language, and languages of too
-few that of all documents. A measure is refused beyond its cell's fence: a quartile and `REACH` times the spread
-between quartiles. DataFrame functions only.
+few that of all documents. A measure is refused beyond its cell's fence: the tail quantile (99 %), and as far again as the
+tail lies from the middle. Where a cell's tail is its middle (a measure that is the same in nearly all documents), the
+distance is that of its language, or else of all. No constant enters a fence. DataFrame functions only.
+
+A sketch of up to SKETCH_K values is exact; beyond it ranks are off by some 2 / SKETCH_K, a tenth of the tail, and as
+sketches drop values by chance a rerun may move a fence by that much.
 """
 
 from __future__ import annotations
@@ -13,9 +17,9 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import table, written
 
-WORD, WINDOW, LEAST_WORDS, LEAST_DOCS, REACH = r"[^\x20\x09-\x0D]+", 8, 20, 200, 6.0
-#: Measures with the spread a cell has at least, and whether small values are refused as well.
-MEASURES = {"symbol_rate": (0.02, False), "repeat_rate": (0.02, False), "dup_line_rate": (0.05, False), "capital_rate": (0.03, False), "word_length": (0.5, True)}
+WORD, WINDOW, LEAST_WORDS, LEAST_DOCS, TAIL, SKETCH_K = r"[^\x20\x09-\x0D]+", 8, 20, 200, 0.99, 2000
+#: Measures, and whether small values are refused as well.
+MEASURES = {"symbol_rate": False, "repeat_rate": False, "dup_line_rate": False, "capital_rate": False, "word_length": True}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -55,43 +59,54 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def sketches(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """KLL sketches of each measure by (lang, source), by lang, and of all: each is merged from the one before."""
-    one = [F.kll_sketch_agg_double(m).alias(m) for m in MEASURES]
-    more = [F.kll_merge_agg_double(m).alias(m) for m in MEASURES]
+    one = [F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES]
+    more = [F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES]
     cells = written(rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *one), "quality-sketches")
     langs = cells.groupBy("lang").agg(F.sum("n").alias("n"), *more)
     return cells, langs, langs.agg(F.sum("n").alias("n"), *more)
 
 
-def fences(rows: DataFrame, least_docs: int = LEAST_DOCS, reach: float = REACH) -> DataFrame:
-    """lang, source, and low_m, high_m for each measure m."""
+def fences(rows: DataFrame, least_docs: int = LEAST_DOCS, tail: float = TAIL) -> DataFrame:
+    """lang, source, level (which sketch the fences come from: cell, language or all), and low_m, high_m for each measure m."""
     cells, langs, whole = sketches(rows)
     name = lambda df, p, *keep: df.select(*keep, *[F.col(c).alias(f"{p}_{c}") for c in ("n", *MEASURES)])
     both = name(cells, "c", "lang", "source").join(name(langs, "l", F.col("lang").alias("l_lang")), F.col("lang").eqNullSafe(F.col("l_lang")))
     # The whole's sketches are a single row.
     both = both.withColumn("one", F.lit(1)).join(F.broadcast(name(whole, "w").withColumn("one", F.lit(1))), "one")
-    out = ["lang", "source"]
-    for m, (spread, both_sides) in MEASURES.items():
-        sketch = F.when(F.col("c_n") >= least_docs, F.col(f"c_{m}")).when(F.col("l_n") >= least_docs, F.col(f"l_{m}")).otherwise(F.col(f"w_{m}"))
-        some = F.kll_sketch_get_n_double(sketch) > 0
-        q1, q3 = (F.when(some, F.kll_sketch_get_quantile_double(sketch, F.lit(q))) for q in (0.25, 0.75))
-        width = reach * F.greatest(q3 - q1, F.lit(spread))
-        out += [(q3 + width).alias(f"high_{m}"), (q1 - width if both_sides else F.lit(None).cast("double")).alias(f"low_{m}")]
+    level = F.when(F.col("c_n") >= least_docs, F.lit("cell")).when(F.col("l_n") >= least_docs, F.lit("language")).otherwise(F.lit("all"))
+    out = ["lang", "source", level.alias("level")]
+    for m, both_sides in MEASURES.items():
+
+        def at(p, q, m=m):
+            sketch = F.col(f"{p}_{m}")
+            return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(q)))
+
+        def own(q, level=level, at=at):
+            return F.when(level == "cell", at("c", q)).when(level == "language", at("l", q)).otherwise(at("w", q))
+
+        def reach(q, level=level, at=at):
+            far = lambda p: F.nullif(F.abs(at(p, q) - at(p, 0.5)), F.lit(0.0))
+            return F.coalesce(F.when(level == "cell", far("c")), F.when(level != "all", far("l")), far("w"), F.lit(0.0))
+
+        low = own(1 - tail) - reach(1 - tail) if both_sides else F.lit(None).cast("double")
+        out += [(own(tail) + reach(tail)).alias(f"high_{m}"), low.alias(f"low_{m}")]
     return both.select(*out)
 
 
-def quality(docs: DataFrame, least_docs: int = LEAST_DOCS, reach: float = REACH, text: str = "text") -> DataFrame:
-    """Per row of `docs`: doc_id, the base measures, base_failed, kept, and refused (the measures beyond their fence).
+def quality(docs: DataFrame, least_docs: int = LEAST_DOCS, tail: float = TAIL, text: str = "text") -> DataFrame:
+    """Per row of `docs`: doc_id, the base measures, base_failed, kept, refused (the measures beyond their fence), and
+    level (which sketch the fences come from).
 
     Refused at once are texts of under 20 words and those with over 30 % of their words in repeated windows. Null
     languages and sources are cells of their own. Rows with equal doc_id give a row each; other columns are left out.
     """
     rows = written(measured(docs, text), "quality-measures")
-    limits = fences(rows, least_docs, reach).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = fences(rows, least_docs, tail).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     out = rows.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     beyond = [F.when((F.col(m) > F.col(f"high_{m}")) | F.coalesce(F.col(m) < F.col(f"low_{m}"), F.lit(False)), F.lit(m)) for m in MEASURES]
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = out.withColumn("refused", F.array_compact(F.array(*beyond))).withColumn("base_failed", failed)
-    return out.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.size("refused") == 0)).alias("kept"), "refused")
+    return out.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.size("refused") == 0)).alias("kept"), "refused", "level")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,3 +39,20 @@ def test_fences(spark):
     got = {r.doc_id: r for r in qr.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[i].kept for i in range(300))
     assert got[1000].refused[0] == "symbol_rate" and "capital_rate" in got[1001].refused
+
+
+def test_fences_follow_each_cell(spark):
+    rng = random.Random(6)
+    value = {s: [round(rng.random() * scale, 6) for _ in range(900)] for s, scale in (("plain", 0.01), ("forum", 0.2))}
+    same = {"repeat_rate": 0.0, "dup_line_rate": 0.0, "capital_rate": 0.1}
+    rows = [("en", s, v, *same.values(), 4 + v) for s, own in value.items() for v in own] + [("en", "tiny", 0.9, 0.0, 0.5, 0.1, 4.0), (None, None, 0.5, 0.0, 0.0, 0.1, 4.0)]
+    df = spark.createDataFrame(rows, "lang string, source string, symbol_rate double, repeat_rate double, dup_line_rate double, capital_rate double, word_length double")
+    got = {r.source: r for r in qr.fences(df).collect()}
+    rank = lambda own, q: sorted(own)[max(0, -(-int(q * 1000) * len(own) // 1000) - 1)]
+    for s, own in value.items():
+        near = lambda q, own=own: {rank(own, q + d) for d in (-0.002, 0, 0.002)}
+        top, mid = near(0.99), near(0.5)
+        assert min(2 * t - m for t in top for m in mid) - 1e-9 <= got[s].high_symbol_rate <= max(2 * t - m for t in top for m in mid) + 1e-9
+        assert got[s].level == "cell" and got[s].high_capital_rate == 0.1 and got[s].low_word_length < 4
+    assert got["forum"].high_symbol_rate > 10 * got["plain"].high_symbol_rate
+    assert got["tiny"].level == "language" and got[None].level == "all"
