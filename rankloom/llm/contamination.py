@@ -8,17 +8,15 @@ in the document bounds where the window must begin and end (positional and lengt
 then compared one by one.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z is lower-cased. The benchmark is sent to the executors in
-blocks of at most `BLOCK_WINDOWS` distinct windows: every document is held against every block, so a benchmark
-of any size is joined exactly, in one scan of the documents for each block.
+blocks of about `BLOCK_WINDOWS` windows, one at a time: every document is held against every block, so a benchmark
+of any size is joined exactly, in two scans of the documents for each block.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +24,7 @@ from rankloom.llm.common import LOWER_BYTES, map_batches, table, text_bytes, wri
 
 WINDOW, SHINGLE = 10, 5
 BLOCK_WINDOWS = 200_000
+FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<first:long,n:long>>"
 _OTHER = bytes(i for i in range(128) if not (48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122))
 #: For bytes.translate: A-Z lower-cased, every byte that is in no word a blank.
 WORD_BYTES = bytes(32 if i in _OTHER else LOWER_BYTES[i] for i in range(256))
@@ -135,44 +134,40 @@ def known_runs(ids: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(known[size:] - known[:-size] == size)
 
 
-def shingle_counts(docs: DataFrame, blocks: list[Windows], shingles: list[dict[int, np.ndarray]], text: str) -> dict[tuple[int, int], int]:
-    """Over all documents, how often each of the benchmark's shingles occurs; at most one row for each of them comes back."""
-    shared = docs.sparkSession.sparkContext.broadcast([(b.number, s) for b, s in zip(blocks, shingles, strict=True)])
+def shingle_counts(texts: DataFrame, block: Windows) -> dict[tuple[int, int], int]:
+    """Over all documents, how often each of a block's shingles occurs; at most one row for each of them comes back."""
+    shared = texts.sparkSession.sparkContext.broadcast((block.number, block.all_shingles()))
 
     def batch(b):
-        seen: Counter = Counter()
-        words = [words_of(t.as_py()) for t in b.column("_text")]
-        for number, by_size in shared.value:
-            counts = {size: np.zeros(len(keys), np.int64) for size, keys in by_size.items()}
-            for own in words:
-                ids = numbers(own, number)
-                for size, keys in by_size.items():
-                    if len(runs := known_runs(ids, size)):
-                        h = shingle_hashes(ids, size, runs)
-                        k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                        counts[size] += np.bincount(k[keys[k] == h], minlength=len(keys))
+        number, by_size = shared.value
+        counts = {size: np.zeros(len(keys), np.int64) for size, keys in by_size.items()}
+        for t in b.column("_text"):
+            ids = numbers(words_of(t.as_py()), number)
             for size, keys in by_size.items():
-                for k in np.flatnonzero(counts[size]).tolist():
-                    seen[size, int(keys[k].astype(np.int64))] += int(counts[size][k])
-        return {"size": [k[0] for k in seen], "h": [k[1] for k in seen], "n": list(seen.values())}
+                if len(runs := known_runs(ids, size)):
+                    h = shingle_hashes(ids, size, runs)
+                    k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    counts[size] += np.bincount(k[keys[k] == h], minlength=len(keys))
+        seen = [(size, int(keys[k].astype(np.int64)), int(counts[size][k])) for size, keys in by_size.items() for k in np.flatnonzero(counts[size]).tolist()]
+        return {name: [x[i] for x in seen] for i, name in enumerate(("size", "h", "n"))}
 
-    got = map_batches(text_bytes(docs, text=text), batch, "size int, h long, n long").groupBy("size", "h").agg(F.sum("n").alias("n"))
-    return {(r["size"], r["h"]): r["n"] for r in got.collect()}
+    got = map_batches(texts, batch, "size int, h long, n long").groupBy("size", "h").agg(F.sum("n").alias("n"))
+    out = {(r["size"], r["h"]): r["n"] for r in got.collect()}
+    shared.unpersist()
+    return out
 
 
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, window: int, block_windows: int) -> list[list[tuple[object, list[bytes]]]]:
-    """Items with words, in blocks by their number of windows; rows stream in one partition at a time."""
-    blocks, n = [[]], 0
-    rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(item, F.col(text).cast("binary").alias("t"))
-    for r in rows.toLocalIterator():
-        words = words_of(bytes(r["t"]))
-        if words:
-            if n and n + len(words) > block_windows:
-                blocks.append([])
-                n = 0
-            blocks[-1].append((r[item], words))
-            n += max(1, len(words) - window + 1)
-    return [b for b in blocks if b]
+def in_blocks(benchmark: DataFrame, item: str, text: str, window: int, block_windows: int) -> tuple[DataFrame, int]:
+    """The items (item, t, block) and the number of blocks, such that a block has about `block_windows` windows: items are
+    dealt by a hash, so Spark holds the benchmark and the driver sees one block of it at a time."""
+    rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).alias("item"), F.col(text).cast("binary").alias("t"))
+
+    def batch(b):
+        return {"n": [max(1, n - window + 1) if (n := len(words_of(t.as_py()))) else 0 for t in b.column("t")]}
+
+    windows = map_batches(rows.select("t"), batch, "n long").agg(F.sum("n")).first()[0] or 0
+    blocks = -(-windows // block_windows)
+    return rows.withColumn("block", F.pmod(F.xxhash64(F.col("item").cast("string"), "t"), F.lit(max(1, blocks)))), blocks
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
@@ -180,64 +175,69 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     item ids, as strings, with an occurring window) and spans (array of first word, number of words).
 
     Null and empty texts have no words and no hits; null or wordless items count for nothing; an empty benchmark
-    hits nothing; equal items are all listed. Rows with equal keys give a row each.
+    hits nothing; equal items are all listed. Rows with equal keys give a row each, however many blocks there are.
     """
-    spark = docs.sparkSession
-    kind = docs.select(key).schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, n_words long, n_hit long, items array<string>, spans array<struct<first:long,n:long>>"
-    items = benchmark_blocks(benchmark, item, "text", window, block_windows)
-    blocks = [Windows(b, window, shingle) for b in items] or [Windows([], window, shingle)]
-    seen = shingle_counts(docs, blocks, [b.all_shingles() for b in blocks], text) if items else {}
-    parts = []
-    for block in blocks:
-        block.choose(seen)
-        shared = spark.sparkContext.broadcast(block)
-
-        def batch(b, shared=shared):
-            block = shared.value
-            out: dict[str, list] = {"n_words": [], "n_hit": [], "items": [], "spans": []}
-            for t in b.column("_text"):
-                words = words_of(t.as_py())
-                begin, w = block.found(numbers(words, block.number)) if block.prefix else ((), ())
-                edge = np.zeros(len(words) + 1, np.int64)
-                if len(begin):
-                    np.add.at(edge, begin, 1)
-                    np.add.at(edge, begin + block.length[w], -1)
-                hit = np.cumsum(edge)[:-1] > 0
-                turns = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).reshape(-1, 2)
-                out["n_words"].append(len(words))
-                out["n_hit"].append(int(hit.sum()))
-                out["items"].append(sorted({str(i) for x in np.unique(w).tolist() for i in block.items[x]}) if len(begin) else [])
-                out["spans"].append([{"first": a, "n": z - a} for a, z in turns.tolist()])
-            return out | {key: b.column(key)}
-
-        parts.append(map_batches(text_bytes(docs, key, text=text), batch, schema))
-    if len(parts) == 1:
-        return parts[0]
-    return merged_blocks(parts, docs, text, key, schema)
-
-
-def merged_blocks(parts: list[DataFrame], docs: DataFrame, text: str, key: str, schema: str) -> DataFrame:
-    """Blocks find different spans in the same row; rows that agree in key and number of words and spans are put together."""
-    every = parts[0].withColumn("b", F.lit(0))
-    for i, p in enumerate(parts[1:], 1):
-        every = every.unionByName(p.withColumn("b", F.lit(i)))
-    ranked = written(every, "contamination")
-    from pyspark.sql import Window
-
-    # Rows that share a key are told apart by their order within each block's scan, which depends on their own spans alone.
-    ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy(key, "b").orderBy("n_words", F.to_json("spans"))))
-
-    def together(g: pd.DataFrame) -> pd.DataFrame:
-        hit = np.zeros(int(g["n_words"].max()), bool)
-        for spans in g["spans"]:
+    items, blocks = in_blocks(benchmark, item, "text", window, block_windows)
+    texts = text_bytes(docs, key, text=text)
+    if blocks <= 1:
+        return found_in_block(texts, items, [key], window, shingle)
+    # Numbered once and written, so that every block sees the same rows under the same numbers.
+    texts = written(texts.withColumn("_row", F.monotonically_increasing_id()), "numbered-texts")
+    parts = [written(found_in_block(texts, items.where(F.col("block") == k), [key, "_row"], window, shingle), "contamination") for k in range(blocks)]
+    return merged_blocks(parts, key)
+
+
+def found_in_block(texts: DataFrame, items: DataFrame, keys: list[str], window: int, shingle: int) -> DataFrame:
+    """Per row of `texts` (`keys`, `_text`): `keys` and what `contamination` returns, for these items alone."""
+    own = [(r["item"], words) for r in items.select("item", "t").toLocalIterator() if (words := words_of(bytes(r["t"])))]
+    block = Windows(own, window, shingle)
+    block.choose(shingle_counts(texts, block) if own else {})
+    shared = texts.sparkSession.sparkContext.broadcast(block)
+
+    def batch(b):
+        block = shared.value
+        out: dict[str, list] = {"n_words": [], "n_hit": [], "items": [], "spans": []}
+        for t in b.column("_text"):
+            words = words_of(t.as_py())
+            begin, w = block.found(numbers(words, block.number)) if block.prefix else ((), ())
+            edge = np.zeros(len(words) + 1, np.int64)
+            if len(begin):
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, begin + block.length[w], -1)
+            hit = np.cumsum(edge)[:-1] > 0
+            turns = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).reshape(-1, 2)
+            out["n_words"].append(len(words))
+            out["n_hit"].append(int(hit.sum()))
+            out["items"].append(sorted({str(i) for x in np.unique(w).tolist() for i in block.items[x]}) if len(begin) else [])
+            out["spans"].append([{"first": a, "n": z - a} for a, z in turns.tolist()])
+        return out | {k: b.column(k) for k in keys}
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.select(*keys).schema)
+    return map_batches(texts, batch, f"{kinds}, {FOUND}")
+
+
+def merged_blocks(parts: list[DataFrame], key: str) -> DataFrame:
+    """What the blocks found in each row, put together. Rows that no block hits have nothing to put together."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    rows = every.groupBy("_row").agg(F.first(key).alias(key), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("_spans"))
+
+    def batch(b):
+        out: dict[str, list] = {"n_hit": [], "spans": []}
+        for n, spans in zip(b.column("n_words").to_pylist(), b.column("_spans").to_pylist(), strict=True):
+            edge = np.zeros(n + 1, np.int64)
             for s in spans:
-                hit[s["first"] : s["first"] + s["n"]] = True
-        turns = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).reshape(-1, 2).tolist()
-        items = sorted({i for x in g["items"] for i in x})
-        return pd.DataFrame({key: [g[key].iloc[0]], "n_words": [len(hit)], "n_hit": [int(hit.sum())], "items": [items], "spans": [[{"first": a, "n": z - a} for a, z in turns]]})
+                edge[s["first"]] += 1
+                edge[s["first"] + s["n"]] -= 1
+            hit = np.cumsum(edge)[:-1] > 0
+            turns = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))).reshape(-1, 2)
+            out["n_hit"].append(int(hit.sum()))
+            out["spans"].append([{"first": a, "n": z - a} for a, z in turns.tolist()])
+        return out | {k: b.column(k) for k in (key, "n_words", "items")}
 
-    return ranked.groupBy(key, "nth").applyInPandas(together, schema)
+    kind = rows.schema[key].dataType.simpleString()
+    return map_batches(rows, batch, f"{key} {kind}, {FOUND}")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,23 +246,3 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
-
-
-def brute(docs, benchmark, window=WINDOW):
-    """The same by comparing every window with every place; for tests."""
-    held = defaultdict(set)
-    for item, t in benchmark:
-        w = words_of((t or "").encode())
-        for i in range(max(1, len(w) - window + 1)) if w else ():
-            held[tuple(w[i : i + window])].add(str(item))
-    out = []
-    for d, t in docs:
-        w = words_of((t or "").encode())
-        hit, items = set(), set()
-        for n in {len(x) for x in held}:
-            for i in range(len(w) - n + 1):
-                if own := held.get(tuple(w[i : i + n])):
-                    hit |= set(range(i, i + n))
-                    items |= own
-        out.append((d, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()))
-    return sorted(out)

@@ -1,9 +1,9 @@
 import random
 
 import corpus_pipeline as cp
-from rankloom.llm import contamination as cn
 from rankloom.llm import passage_classifier as pc
 from rankloom.llm.token_ids import TextDigests, default_vocabulary
+from tests.llm.test_contamination import brute
 from tests.llm.test_line_index import li
 from tests.llm.test_similar import slow
 
@@ -42,7 +42,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     left = slow_lines(left)
     comp, _ = slow([t for _, t in left])
     left = [r for i, r in enumerate(left) if comp[i] == i]
-    left = [r for r, hit in zip(left, (x[2] for x in cn.brute(left, items))) if not hit]
+    left = [r for r, hit in zip(left, (x[2] for x in brute(left, items))) if not hit]
     coder = TextDigests(default_vocabulary())
     got = {r.doc_id: r["ids"] for r in cp.run(spark, folder).collect()}
     assert got == {d: coder.encoder.encode(t) for d, t in left}
