@@ -2,11 +2,11 @@
 
 Each document gets a few measures. Per language and source, KLL sketches of each measure are built in partial
 aggregates and merged; cells of too few documents take the merged sketch of their language, and languages of too
-few that of all documents. A measure is refused beyond its cell's fence: the tail quantile (99 %), and as far again as the
-tail lies from the middle. Where a cell's tail is its middle (a measure that is the same in nearly all documents), the
-distance is that of its language, or else of all. No constant enters a fence. DataFrame functions only.
+few that of all documents. A measure is refused beyond its cell's fence: the quantile of 90 %, and REACH times as far
+again as it lies from the middle. Where a cell's quantile is its middle (a measure that is the same in nearly all documents), the
+distance is that of its language, or else of all. DataFrame functions only.
 
-A sketch of up to SKETCH_K values is exact; beyond it ranks are off by some 2 / SKETCH_K, a tenth of the tail, and as
+A sketch of up to SKETCH_K values is exact; beyond it ranks are off by some 2 / SKETCH_K, a hundredth of the tail, and as
 sketches drop values by chance a rerun may move a fence by that much.
 """
 
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import table, written
 
-WORD, WINDOW, LEAST_WORDS, LEAST_DOCS, TAIL, SKETCH_K = r"[^\x20\x09-\x0D]+", 8, 20, 200, 0.99, 2000
-#: Measures, and whether small values are refused as well.
-MEASURES = {"symbol_rate": False, "repeat_rate": False, "dup_line_rate": False, "capital_rate": False, "word_length": True}
+WORD, WINDOW, LEAST_WORDS, LEAST_DOCS, TAIL, REACH, SKETCH_K = r"[^\x20\x09-\x0D]+", 8, 20, 200, 0.9, 3.0, 2000
+#: Measures: what is never refused however rare it is (a rate that nearly all documents have at 0 has no scale of its
+#: own), and whether small values are refused as well.
+MEASURES = {"symbol_rate": (0.05, False), "repeat_rate": (0.1, False), "dup_line_rate": (0.2, False), "capital_rate": (0.0, False), "word_length": (0.0, True)}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -75,7 +76,7 @@ def fences(rows: DataFrame, least_docs: int = LEAST_DOCS, tail: float = TAIL) ->
     both = both.withColumn("one", F.lit(1)).join(F.broadcast(name(whole, "w").withColumn("one", F.lit(1))), "one")
     level = F.when(F.col("c_n") >= least_docs, F.lit("cell")).when(F.col("l_n") >= least_docs, F.lit("language")).otherwise(F.lit("all"))
     out = ["lang", "source", level.alias("level")]
-    for m, both_sides in MEASURES.items():
+    for m, (least, both_sides) in MEASURES.items():
 
         def at(p, q, m=m):
             sketch = F.col(f"{p}_{m}")
@@ -88,8 +89,9 @@ def fences(rows: DataFrame, least_docs: int = LEAST_DOCS, tail: float = TAIL) ->
             far = lambda p: F.nullif(F.abs(at(p, q) - at(p, 0.5)), F.lit(0.0))
             return F.coalesce(F.when(level == "cell", far("c")), F.when(level != "all", far("l")), far("w"), F.lit(0.0))
 
-        low = own(1 - tail) - reach(1 - tail) if both_sides else F.lit(None).cast("double")
-        out += [(own(tail) + reach(tail)).alias(f"high_{m}"), low.alias(f"low_{m}")]
+        low = own(1 - tail) - REACH * reach(1 - tail) if both_sides else F.lit(None).cast("double")
+        high = own(tail) + REACH * reach(tail)
+        out += [F.when(high < least, F.lit(least)).otherwise(high).alias(f"high_{m}"), low.alias(f"low_{m}")]
     return both.select(*out)
 
 

@@ -51,8 +51,8 @@ def test_fences_follow_each_cell(spark):
     rank = lambda own, q: sorted(own)[max(0, -(-int(q * 1000) * len(own) // 1000) - 1)]
     for s, own in value.items():
         near = lambda q, own=own: {rank(own, q + d) for d in (-0.002, 0, 0.002)}
-        top, mid = near(0.99), near(0.5)
-        assert min(2 * t - m for t in top for m in mid) - 1e-9 <= got[s].high_symbol_rate <= max(2 * t - m for t in top for m in mid) + 1e-9
+        top, mid = near(0.9), near(0.5)
+        assert min(t + qr.REACH * (t - m) for t in top for m in mid) - 1e-9 <= got[s].high_symbol_rate <= max(t + qr.REACH * (t - m) for t in top for m in mid) + 1e-9
         assert got[s].level == "cell" and got[s].high_capital_rate == 0.1 and got[s].low_word_length < 4
     assert got["forum"].high_symbol_rate > 10 * got["plain"].high_symbol_rate
     assert got["tiny"].level == "language" and got[None].level == "all"
