@@ -43,7 +43,7 @@ def test_fences(spark):
 
 def test_fences_follow_each_cell(spark):
     rng = random.Random(6)
-    value = {s: [round(rng.random() * scale, 6) for _ in range(900)] for s, scale in (("plain", 0.01), ("forum", 0.2))}
+    value = {s: [round(rng.random() * scale, 6) for _ in range(900)] for s, scale in (("plain", 0.1), ("forum", 2.0))}
     same = {"repeat_rate": 0.0, "dup_line_rate": 0.0, "capital_rate": 0.1}
     rows = [("en", s, v, *same.values(), 4 + v) for s, own in value.items() for v in own] + [("en", "tiny", 0.9, 0.0, 0.5, 0.1, 4.0), (None, None, 0.5, 0.0, 0.0, 0.1, 4.0)]
     df = spark.createDataFrame(rows, "lang string, source string, symbol_rate double, repeat_rate double, dup_line_rate double, capital_rate double, word_length double")
