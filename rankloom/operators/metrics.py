@@ -130,3 +130,50 @@ def value_report(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """n, mean and the 50th, 95th and 99th percentile by group."""
     p = lambda q: F.percentile(value, F.lit(q / 100)).alias(f"p{q}")
     return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), p(50), p(95), p(99))
+
+
+def cold_exposure(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
+    """Per query: n (rows of the top k) and hits (those without history that are judged relevant, 2 or more), as counts."""
+    top = ranked.where(F.col("rank") <= k).join(judged.select("query_id", "product_id", "relevance"), ["query_id", "product_id"], "left")
+    return top.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if((F.col("zero_history") == 1) & (F.col("relevance") >= 2)).alias("hits"))
+
+
+def paired_report(before: DataFrame, after: DataFrame, judged: DataFrame, k: int, cold: str) -> DataFrame:
+    """One row over the queries that both rankings answer: queries, mean NDCG@k before and after and its mean delta, the
+    same over the cold rows alone, and of both top k the irrelevant, the judged and the cold relevant rows as counts.
+    `before` and `after` have query_id, product_id, rank, zero_history and the boolean column `cold`."""
+    name = lambda df, n: df.withColumnRenamed("ndcg", n)
+    whole = name(ndcg(before, judged, k), "base").join(name(ndcg(after, judged, k), "final"), "query_id")
+    part = name(ndcg(before, judged, k, F.col(cold)), "base").join(name(ndcg(after, judged, k, F.col(cold)), "final"), "query_id")
+    means = lambda df, p: df.agg(F.count("*").alias(f"{p}queries"), F.avg("base").alias(f"{p}base_ndcg"), F.avg("final").alias(f"{p}final_ndcg"), F.avg(F.col("final") - F.col("base")).alias(f"{p}delta")).withColumn("one", F.lit(1))
+    out = means(whole, "").join(means(part, "cold_"), "one")
+    for p, ranked in (("base_", before), ("final_", after)):
+        top = ranked.where(F.col("rank") <= k).join(judged.select("query_id", "product_id", "relevance"), ["query_id", "product_id"], "left")
+        shown = top.agg(
+            F.count("*").alias(f"{p}shown"), F.count_if(F.expr("relevance is not null")).alias(f"{p}judged"), F.count_if(F.expr("relevance = 0")).alias(f"{p}irrelevant"),
+            F.count_if(F.expr("zero_history = 1 and relevance >= 2")).alias(f"{p}cold_relevant"))
+        out = out.join(shown.withColumn("one", F.lit(1)), "one")
+    return out.drop("one")
+
+
+def regression_scores(rows: DataFrame) -> DataFrame:
+    """MAE, RMSE, Brier score and what they gain on always predicting the mean (null where that is perfect)."""
+    mean = rows.agg(F.avg("y").alias("m")).withColumn("one", F.lit(1))
+    # One row, from an aggregate without keys.
+    both = rows.withColumn("one", F.lit(1)).join(F.broadcast(mean), "one")
+    mae, plain = F.avg(F.abs(F.col("p") - F.col("y"))), F.avg(F.abs(F.col("m") - F.col("y")))
+    brier, flat = F.avg(F.pow(F.col("p") - F.col("y"), 2)), F.avg(F.pow(F.col("m") - F.col("y"), 2))
+    return both.agg(mae.alias("mae"), F.sqrt(brier).alias("rmse"), brier.alias("brier"), (1 - brier / F.nullif(flat, F.lit(0.0))).alias("brier_skill"), (1 - mae / F.nullif(plain, F.lit(0.0))).alias("mae_improvement"))
+
+
+def estimate_errors(estimates: DataFrame, truth: DataFrame) -> DataFrame:
+    """Estimates (estimator, value, low, high) against the one row of `truth` (truth): error, its size, and whether the
+    interval holds the true value."""
+    both = estimates.withColumn("one", F.lit(1)).join(F.broadcast(truth.select("truth", F.lit(1).alias("one"))), "one")
+    return both.select("estimator", "value", "truth", (F.col("value") - F.col("truth")).alias("error"), F.abs(F.col("value") - F.col("truth")).alias("absolute_error"), F.col("truth").between(F.col("low"), F.col("high")).alias("covered"))
+
+
+def click_chance(relevance: Column, quality: Column, rank: Column, cold: Column, novelty: float, base: float = -2.2, gain: float = 0.9, worth: float = 0.8) -> Column:
+    """Expected click of a shown row: a logistic of relevance, quality, the place's attention and novelty."""
+    x = base + gain * relevance + worth * quality + F.log(1 / F.log2(rank + 1.5)) + novelty * cold
+    return 1 / (1 + F.exp(-x))

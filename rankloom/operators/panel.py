@@ -109,3 +109,24 @@ def reconciled(candidates: DataFrame, published: DataFrame, keys: list[str], val
     total = published.agg(F.count("*").alias("_all"))
     out = both.groupBy("metric").agg(F.count("x").alias("matched"), F.avg(gap).alias("mean_error"), F.max(gap).alias("max_error"), F.corr("x", "_v").alias("correlation")).join(F.broadcast(total))
     return out.select("metric", "matched", (F.col("_all") - F.col("matched")).alias("missing"), "mean_error", "max_error", F.coalesce((F.col("max_error") <= tolerance) & (F.col("matched") == F.col("_all")), F.lit(False)).alias("exact"), "correlation")
+
+
+def counter_utility(rows: DataFrame) -> DataFrame:
+    """Counters of each (replication, policy) and their utility (discoveries - 0.2 irrelevant - 2 false warm-ups), as means
+    over the replications of a policy."""
+    per = rows.groupBy("replication", "policy").agg(*[F.sum(c).alias(c) for c in ("discovery", "irrelevant", "false_warm_up")])
+    per = per.withColumn("utility", F.col("discovery") - 0.2 * F.col("irrelevant") - 2 * F.col("false_warm_up"))
+    return per.groupBy("policy").agg(F.count("*").alias("replications"), *[F.avg(c).alias(c) for c in ("discovery", "irrelevant", "false_warm_up", "utility")])
+
+
+def safety_contrast(effects: DataFrame, baseline: str, measures: dict[str, int], tolerance: float = 1e-8) -> DataFrame:
+    """Per context and alternative action: the delta of each measure against the baseline action, and `safe` - no measure is
+    worse by more than the tolerance. `measures` maps a column to 1 (more is better) or -1."""
+    keys = [c for c in effects.columns if c not in measures and c != "action"]
+    base = effects.where(F.col("action") == baseline).select(*keys, *[F.col(m).alias(f"_{m}") for m in measures])
+    both = effects.where(F.col("action") != baseline).join(base, keys)
+    deltas = {m: F.col(m) - F.col(f"_{m}") for m in measures}
+    safe = F.lit(True)
+    for m, sign in measures.items():
+        safe = safe & (sign * deltas[m] >= -tolerance)
+    return both.select(*keys, "action", *[d.alias(f"delta_{m}") for m, d in deltas.items()], safe.alias("safe"))

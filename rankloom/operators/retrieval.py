@@ -176,3 +176,17 @@ def geometry(ranked: DataFrame, score: str, pivot: int = 10) -> DataFrame:
     return ranked.select(
         "query_id", "product_id", "rank", z.alias("z_score"), (F.col("rank") / F.count("*").over(group)).alias("rank_fraction"), (F.lag(s).over(order) - s).alias("gap_above"),
         (s - F.lead(s).over(order)).alias("gap_below"), F.greatest(edge - s, F.lit(0.0)).alias("required_lift"))
+
+
+def answers(queries: DataFrame, sources: list[tuple[str, DataFrame, int]], k: int) -> DataFrame:
+    """Per query of `queries` (query_id) up to k rows of the first source that has any for it: query_id, product_id, rank,
+    source, and reason (the sources that had none, joined by commas; empty for the first). `sources` are (name, ranked
+    rows, how many of them are asked for), best first. Queries that no source answers have no row."""
+    rows = None
+    for i, (name, ranked, least) in enumerate(sources):
+        own = ranked.where(F.col("rank") <= max(k, least)).select("query_id", "product_id", "rank", F.lit(i).alias("at"), F.lit(name).alias("source"))
+        rows = own if rows is None else rows.unionByName(own)
+    first = rows.groupBy("query_id").agg(F.min("at").alias("at"))
+    reasons = F.create_map(*[x for i in range(len(sources)) for x in (F.lit(i), F.lit(",".join(f"no_{n}" for n, *_ in sources[:i])))])
+    found = rows.join(first, ["query_id", "at"]).join(queries.select("query_id").distinct(), "query_id", "left_semi")
+    return found.where(F.col("rank") <= k).select("query_id", "product_id", "rank", "source", F.element_at(reasons, F.col("at")).alias("reason"))

@@ -73,3 +73,17 @@ def graded(examples: DataFrame, products: DataFrame, label: str = "label") -> tu
     reason = F.when(F.col("relevance").isNull(), "unknown_label").when(F.col("_found").isNull(), "orphan")
     rows = rows.withColumn("reason", reason).drop("_found")
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
+
+
+def recall_log(df: DataFrame) -> DataFrame:
+    """A recall log with its item and time columns renamed; user_id, session_id and query are required, the rest is kept."""
+    df = df.withColumnsRenamed({"item_id": "product_id", "timestamp": "time_block"})
+    _require(df, ["user_id", "session_id", "query"])
+    return df
+
+
+def relevance_table(df: DataFrame) -> DataFrame:
+    """Judgments with their item, score and brand columns renamed; query, title and relevance are required."""
+    df = df.withColumnsRenamed({"item_id": "product_id", "score": "relevance", "brand_name": "brand"})
+    _require(df, ["query", "title", "relevance"])
+    return df
