@@ -62,13 +62,19 @@ def reference(log: DataFrame, products: DataFrame, blocks: int) -> DataFrame:
     return out.withColumns(smoothed(c, p, i) | {"first_observed_age": F.greatest(F.lit(0), F.col("time_block") - F.col("launch_block"))} | history_flags(c, p)).drop("launch_block")
 
 
-def event_velocity(log: DataFrame, last: int = 128) -> DataFrame:
-    """Per product and block, the decayed clicks before the block: each event keeps 3/4 of what was and adds its click."""
-    order = Window.partitionBy("product_id").orderBy("time_block", "query_id", "position", "event_seq")
-    recent = F.collect_list(F.col("clicked").cast("double")).over(order.rowsBetween(-(last - 1), 0))
-    running = log.select("product_id", "time_block", F.aggregate(recent, F.lit(0.0), lambda a, x: a * DECAY + x).alias("v"), F.row_number().over(order).alias("n"))
-    ends = running.groupBy("product_id", "time_block").agg(F.max_by("v", "n").alias("v"))
-    return ends.select("product_id", "time_block", F.coalesce(F.lag("v").over(Window.partitionBy("product_id").orderBy("time_block")), F.lit(0.0)).alias("velocity"))
+def event_velocity(log: DataFrame) -> DataFrame:
+    """Per product and block, the decayed clicks before the block: each event keeps 3/4 of what was and adds its click. A
+    block of n events turns v into v * (3/4)^n plus its own clicks, each decayed by the events after it; one row for each
+    block of a product is folded in order."""
+    block = Window.partitionBy("product_id", "time_block")
+    later = F.count("*").over(block) - F.row_number().over(block.orderBy("query_id", "position", "event_seq"))
+    own = log.select("product_id", "time_block", (F.col("clicked") * F.pow(F.lit(DECAY), later)).alias("v"))
+    blocks = own.groupBy("product_id", "time_block").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    rows = blocks.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("time_block", "v", "n"))).alias("b"))
+    step = lambda a, x: F.struct((a["v"] * F.pow(F.lit(DECAY), x["n"]) + x["v"]).alias("v"), F.concat(a["seen"], F.array(a["v"])).alias("seen"))
+    start = F.struct(F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("seen"))
+    before = F.aggregate("b", start, step, lambda a: a["seen"])
+    return rows.select("product_id", F.explode(F.arrays_zip(F.col("b.time_block").alias("time_block"), before.alias("velocity"))).alias("x")).select("product_id", "x.time_block", "x.velocity")
 
 
 def category_priors(ref: DataFrame, products: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of values that are ranked apart.
+RANGES = 64
+
+
 def dcg(relevance: Column, rank: Column, k: int) -> Column:
     return F.sum(F.when(rank <= k, (F.pow(F.lit(2.0), relevance) - 1) / F.log2(rank + 1)))
 
@@ -46,9 +50,15 @@ def calibration_error(rows: DataFrame, bins: int = 10) -> DataFrame:
 
 def binary_scores(rows: DataFrame) -> DataFrame:
     """ROC-AUC (mean ranks; null with one class), Brier score and log-loss of p against y."""
-    # Ranks come from counts by value: one row for each value goes through the window, not one for each row.
+    # Ranks come from counts by value, summed inside ranges of values that quantiles cut, and over the few ranges before.
     by = rows.groupBy("p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    upto = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = by.agg(F.percentile_approx("p", [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
+    by = by.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("p")))).drop("cuts")
+    ranges = by.groupBy("range").agg(F.sum("n").alias("n"))
+    below = Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    by = by.join(ranges.select("range", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("below")), "range")
+    inside = Window.partitionBy("range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("below") + F.coalesce(F.sum("n").over(inside), F.lit(0))
     ranked = by.select("n", "pos", (upto + (F.col("n") + 1) / 2).alias("rank"))
     auc = ranked.agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("a"), F.sum(F.col("n") - F.col("pos")).alias("b"))
     auc = auc.select(((F.col("r") - F.col("a") * (F.col("a") + 1) / 2) / F.nullif(F.col("a") * F.col("b"), F.lit(0))).alias("auc"), F.lit(1).alias("one"))

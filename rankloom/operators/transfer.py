@@ -81,7 +81,7 @@ def transfer(targets: DataFrame, related: DataFrame, graph: DataFrame, state: Da
     ones for the rest. Only neighbours with impressions and a positive weight lend, the `n` heaviest of them; a row
     depends on no other candidate. Below `min_support` the category's rates stand, with confidence 0 and dispersion 1."""
     world = F.broadcast(priors.select(F.first("global_prior_ctr").alias("gc"), F.first("global_prior_purchase").alias("gp")))
-    kinds = products.select("product_id", "category", "attribute").join(F.broadcast(priors.select("category", "prior_ctr", "prior_purchase")), "category", "left").join(world)
+    kinds = products.select("product_id", "category", "attribute").join(priors.select("category", "prior_ctr", "prior_purchase"), "category", "left").join(world)
     kinds = kinds.select("product_id", "attribute", F.coalesce("prior_ctr", "gc").alias("prior_ctr"), F.coalesce("prior_purchase", "gp").alias("prior_purchase"))
     rows = targets.select("query_id", "product_id").join(related.select("query_id", "product_id", utility().alias("target_utility"), "p_irrelevant", F.greatest(F.least(F.col("p_exact") + F.col("p_substitute"), F.lit(1.0)), F.lit(0.0)).alias("compatibility")), ["query_id", "product_id"]).join(kinds, "product_id")
     lent = state.where("prior_impressions > 0").select(F.col("product_id").alias("neighbor_product_id"), F.col("smoothed_ctr").alias("ctr"), F.col("smoothed_purchase_rate").alias("pr"))
