@@ -246,3 +246,19 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+_WORDS_SQL = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP7_SQL = f"""
+with d as (select row_number() over () as r, doc_id, {_WORDS_SQL.format("coalesce(text,'')")} as w from documents),
+b as (select cast(item_id as varchar) as item_id, {_WORDS_SQL.format("text")} as w from benchmark where text is not null and item_id is not null),
+bw as (select distinct item_id, least({WINDOW},len(w)) as n, array_to_string(list_slice(w,i,i+least({WINDOW},len(w))-1),' ') as win
+ from (select item_id, w, unnest(range(1,greatest(1,len(w)-{WINDOW - 1})+1)) as i from b where len(w)>0) x),
+sizes as (select distinct n from bw),
+dw as (select r, i, n, array_to_string(list_slice(w,i,i+n-1),' ') as win from (select d.r, d.w, s.n, unnest(range(1,len(d.w)-s.n+2)) as i from d, sizes s where len(d.w)>=s.n) x),
+hits as (select dw.r, dw.i, dw.n, bw.item_id from dw join bw on dw.n=bw.n and dw.win=bw.win),
+covered as (select r, count(distinct k) as n_hit from (select r, unnest(range(i,i+n)) as k from hits) x group by 1),
+found as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct r, item_id from hits) x group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit,0) as n_hit, coalesce(n_items,0) as n_items, sha256(coalesce(items,'')) as items_sha256, coalesce(n_hit,0)>0 as contaminated
+from d left join covered c on c.r=d.r left join found f on f.r=d.r
+"""

@@ -150,10 +150,11 @@ def counted(postings: DataFrame) -> DataFrame:
     return postings.groupBy("shard", "k1", "k2").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
-def empty_index(spark: SparkSession, shards: int) -> LineIndex:
+def empty_index(spark: SparkSession, shards: int, kind: str = "long") -> LineIndex:
+    """`kind` is the type of doc_id: any that has an order."""
     return LineIndex(
-        spark.createDataFrame([], "shard int, k1 long, k2 long, doc_id long"),
-        spark.createDataFrame([], "shard int, k1 long, k2 long, n_docs long, first_doc long, last_doc long"),
+        spark.createDataFrame([], f"shard int, k1 long, k2 long, doc_id {kind}"),
+        spark.createDataFrame([], f"shard int, k1 long, k2 long, n_docs long, first_doc {kind}, last_doc {kind}"),
         spark.createDataFrame([], FILTERS),
         shards,
     )
@@ -208,7 +209,7 @@ def probed(index: LineIndex, lines: DataFrame) -> DataFrame:
                 hit[own] = CuckooFilter(*shared.value[s]).contains(k1[own])
         return {n: b.column(n).filter(pa.array(hit)) for n in ("doc_id", "h", "pos", "k1", "k2")}
 
-    return map_batches(lines, batch, "doc_id long, h long, pos int, k1 long, k2 long")
+    return map_batches(lines, batch, f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, h long, pos int, k1 long, k2 long")
 
 
 def cleaned(index: LineIndex, docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -239,7 +240,8 @@ def shards_for(docs: DataFrame, text: str = "text") -> int:
 
 def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """One batch from an empty index: insert all documents, then clean them."""
-    index = insert(empty_index(docs.sparkSession, shards_for(docs, text)), docs, text, min_chars)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    index = insert(empty_index(docs.sparkSession, shards_for(docs, text), kind), docs, text, min_chars)
     return cleaned(index, docs, text, min_chars)
 
 

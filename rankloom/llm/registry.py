@@ -15,5 +15,6 @@ QUERIES = {
     "op10_byte_bpe": token_ids.op10_byte_bpe,
 }
 ORACLE_SQL = {
+    "op7_decontamination": contamination.OP7_SQL,
     "op9_line_dedup": line_index.OP9_SQL,
 }
