@@ -38,3 +38,36 @@ def test_against_brute_force(spark):
     assert all(r.other_doc_id != r.doc_id for r in got)
     assert {r.doc_id: r.other_doc_id for r in got}[104] == 103
     assert rp.repeats(docs.limit(0)).count() == 0
+
+
+def test_many_edited_copies_over_many_partitions(spark):
+    rng = random.Random(9)
+    base, spare = [f"w{i}" for i in range(260)], [f"v{i}" for i in range(4)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.choice([2, 4, 8])):
+            words[rng.randrange(len(words))] = rng.choice(spare)
+        first = rng.randrange(120)
+        rows.append((i, " ".join(words[first : first + rng.choice([55, 90, 140])])))
+    rows += [(200, "z" * 5000 + " " + " ".join(base[:70])), (201, "z" * 5000 + " " + " ".join(base[:70]) + " q")]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = rp.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted((r.doc_id, r.n_words, r.n_repeated) for r in got) == slow(rows)
+    assert all(r.other_doc_id != r.doc_id for r in got)
+
+
+def test_neighbours_leave_windows_open(spark):
+    """In both orders the neighbours of the first row share too few words on one side, its partner is further off."""
+    side = lambda own, n, shared: "".join(f"{x} " for x in [*(f"s{i}" for i in range(shared)), *(f"{own}{i}" for i in range(n - shared))]).encode()
+    rows = [(1, 1, 1, 1, side("k", 16, 16), side("k", 16, 16)), (1, 2, 2, 2, side("x", 16, 10), side("y", 16, 10)), (1, 3, 3, 3, side("x", 16, 2), side("s", 16, 15)), (1, 4, 4, 4, side("s", 16, 15), side("x", 16, 2))]
+    df = spark.createDataFrame(rows, "core long, around long, low long, high long, before binary, after binary")
+
+    def shared(a, b, i):
+        return a[4].split()[:i] == b[4].split()[:i] and a[5].split()[: 16 - i] == b[5].split()[: 16 - i]
+
+    want = {r[1]: m for r in rows if (m := sum(1 << i for i in range(17) if any(shared(r, t, i) for t in rows if t is not r)))}
+    assert {r.around: r.mask for r in rp.shared_windows(df, 16).collect()} == want
