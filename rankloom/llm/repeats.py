@@ -255,12 +255,14 @@ def repeats(docs: DataFrame, least: int = LEAST, spread: int = SPREAD, text: str
     alone don't count; rows that share a doc_id give a row each. Other columns are left out.
     """
     kept = written(suffixes(docs, least, spread, text), "suffixes")
-    classes = kept.groupBy("core", "around").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows"))
+    shared = kept.groupBy("core").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n")).where("a < z").select("core", "n")
+    # Only suffixes whose core two documents have go on.
+    kept = written(join_rows(kept, written(shared, "shared-cores"), "core"), "shared-suffixes")
+    classes = kept.groupBy("core", "around").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     classes = written(classes, "suffix-classes")
-    shared = classes.groupBy("core").agg(F.min("low").alias("a"), F.max("high").alias("z"), F.count("*").alias("n")).where("a < z").select("core", "n")
-    rows = written(contexts(docs, join_rows(classes, shared, "core"), least, spread, text), "contexts")
-    found = shared_windows(rows, spread).join(classes.select("core", "around", F.col("rows").alias("n")), ["core", "around"])
-    hits = join_rows(kept.select("core", "around", "doc_id", "nth", "at", "n_words"), written(found, "repeated-classes"), ["core", "around"])
+    rows = written(contexts(docs, classes, least, spread, text), "contexts")
+    found = shared_windows(rows, spread).join(classes.select("core", "around", "n"), ["core", "around"])
+    hits = join_rows(kept, written(found, "repeated-classes"), ["core", "around"])
     hits = hits.groupBy("nth", "doc_id", "n_words").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.struct("at", "mask")).alias("hits"))
 
     def batch(b):
