@@ -230,11 +230,10 @@ def shared_windows(rows: DataFrame, spread: int) -> DataFrame:
     per = both.groupBy("core", "around").agg(F.max("l").alias("l"), F.max("a").alias("a"), F.bit_or("mask").alias("mask"), F.min("low").alias("low"), F.max("high").alias("high"))
     able = F.when(F.col("l") + F.col("a") >= spread, F.expr(f"shiftleft(1L, l + 1) - shiftleft(1L, {spread} - a)")).otherwise(F.lit(0).cast("long"))
     per = written(per.withColumn("able", able.bitwiseOR(F.col("mask"))).where("able <> 0"), "extended")
-    open_cores = per.where("able <> mask").groupBy("core").count().select("core")
-    # A core's windows all come, those that a neighbour has shown as well, so that none lacks its partner. They are
-    # written so that the words meet them by core and class: dealt by core alone, a hot core would be one task's.
-    ways = join_rows(per, per.groupBy("core").agg(F.count("*").alias("n")).join(open_cores, "core", "left_semi"), "core").select("core", "around", "able")
-    ways = written(ways, "open-classes").join(rows, ["core", "around"])
+    cores = per.groupBy("core").agg(F.count("*").alias("n"), F.bool_or(F.expr("able <> mask")).alias("open"))
+    # A core's windows all come, those that a neighbour has shown as well, so that none lacks its partner. Closed
+    # cores are left out after the join, as a hot one of them must be known as hot.
+    ways = join_rows(per, written(cores, "cores"), "core").where("open").select("core", "around", "able").join(rows, ["core", "around"])
     backs = F.filter(F.sequence(F.lit(0), F.lit(spread)), lambda i: F.expr("able").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
     word = lambda side, n: F.concat_ws(" ", F.slice(F.split(F.decode(side, "ISO-8859-1"), " "), F.lit(1), n))
     windows = ways.select("core", "around", "low", "high", "before", "after", F.explode(backs).alias("back"))
