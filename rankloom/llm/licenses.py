@@ -89,12 +89,11 @@ def units_like_templates(blocks: DataFrame, least: float) -> DataFrame:
     written table; a header has block -1, a whole file -2, and all but lines have line -1."""
     spark = blocks.sparkSession
     lines = blocks.select("_file", "block", "in_head", F.posexplode("lines").alias("line", "terms"))
-    # How many lines hold each term, and under "" how many there are.
-    held = written(lines.select(F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "licence-df")
     own = {kind: templates(*sets) for kind, sets in KINDS.items()}
-    vocabulary = sorted({t for kind in own.values() for _, terms in kind for t in terms} | {""})
-    of_words = F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "term string"))
-    count = {r["term"]: r["df"] for r in held.join(of_words, "term").collect()}
+    vocabulary = sorted({t for kind in own.values() for _, terms in kind for t in terms})
+    # Under "" how many lines there are; a row for each of these terms comes back.
+    seen = lines.select(F.explode(F.concat(F.array_intersect("terms", F.array(*[F.lit(t) for t in vocabulary])), F.array(F.lit("")))).alias("t"))
+    count = {r["t"]: r["count"] for r in seen.groupBy("t").count().collect()}
     n_lines = count.get("", 0)
     idf = {t: log((1 + n_lines) / (1 + count.get(t, 0))) + 1 for t in vocabulary}
     weighted = {kind: [(name, {t: (1 + log(n)) * idf[t] for t, n in terms.items()}) for name, terms in rows] for kind, rows in own.items()}
@@ -110,7 +109,9 @@ def units_like_templates(blocks: DataFrame, least: float) -> DataFrame:
     ]:
         units = units.unionByName(some.select("_file", block.alias("block"), "line", "in_head", "terms", kind.alias("kind")))
     spread = written(units.select(*UNIT, F.explode("terms").alias("term")).groupBy(*UNIT, "term").agg(F.count("*").alias("tf")), "licence-units")
-    df = spread.groupBy("term").agg(F.count("*").alias("n")).join(held, "term")
+    # Lines that hold each term of the units, counted over all lines.
+    held = lines.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = written(held.join(spread.groupBy("term").agg(F.count("*").alias("n")), "term"), "licence-df")
     weight = (1 + F.log(F.col("tf"))) * (F.log(F.lit(1.0 + n_lines) / (1 + F.col("df"))) + 1)
     unit = join_rows(spread, df, "term").withColumn("w", weight).groupBy(*UNIT).agg(
         F.sum("tf").alias("words"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"), F.collect_list(F.struct("term", "w")).alias("all"))
