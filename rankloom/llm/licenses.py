@@ -162,11 +162,12 @@ def ancestors(path: Column) -> Column:
 
 def licences(files: DataFrame, path: str = "path", text: str = "text", least: float = LEAST) -> DataFrame:
     """Per row of `files`: path, own (sorted array of its licences), n_lines (lines like a notice), n_blocks (paragraphs,
-    header and whole file like a template), is_licence_file, inherited (array, null if it has its own or no ancestor directory has any), inherited_from (directory).
+    header and whole file like a template), is_licence_file, inherited (array, null if it has its own or no ancestor
+    directory has any), inherited_from (directory).
 
     Null and empty texts have no lines; a null path is a file in no directory. Rows may share a path.
     """
-    blocks = written(text_blocks(files, path, text), "licence-blocks")
+    blocks = written(text_blocks(files, path, text), "licence-blocks", "zstd")
     units = written(units_like_templates(blocks, least), "licence-found")
     own = licences_of_files(units)
     words = blocks.groupBy("_file").agg(F.first("path").alias("path"), F.first("named").alias("named"), F.sum(F.size(F.flatten("lines"))).alias("n_words"))
