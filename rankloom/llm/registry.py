@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that some of them are held against."""
 
-from rankloom.llm import contamination, context_tree, licenses, line_index, passage_classifier, quality_rules, repeats, simhash, token_counts, token_ids
+from rankloom.llm import contamination, context_tree, licenses, line_index, passage_classifier, personal_data, phrases, quality_rules, ranked_search, repeats, simhash, token_counts, token_ids
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,8 +13,13 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_line_dedup": line_index.op9_line_dedup,
     "op10_byte_bpe": token_ids.op10_byte_bpe,
+    "op11_ranked_search": ranked_search.op11_ranked_search,
+    "op12_personal_data": personal_data.op12_personal_data,
+    "op13_phrases": phrases.op13_phrases,
 }
 ORACLE_SQL = {
     "op7_decontamination": contamination.OP7_SQL,
     "op9_line_dedup": line_index.OP9_SQL,
+    "op11_ranked_search": ranked_search.OP11_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }
