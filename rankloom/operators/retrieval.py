@@ -3,16 +3,9 @@ blocks are one job: document lengths and counts don't depend on the scope, only
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.sources.folders import stored
-
 K1, B, LEXICAL = 1.5, 0.75, 0.45
 
 
@@ -111,56 +104,6 @@ def intent() -> Column:
     return out.when(accessory, "accessory").otherwise("generic")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int, block: str = "label") -> DataFrame:
-    """For each query row its k nearest rows of the same block by cosine, itself left out; ties to the smaller id."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), block)
-    pairs = q.join(vectors.select("vec_id", "embedding", block), block).where("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("qe"), F.col("embedding")), 9).alias("similarity"))
-    return top(scored, "similarity", k, ["query_id"], "vec_id")
-
-
-def nearest_of_all(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """query_id, vec_id, similarity, rank: for each query row its k nearest of all rows by cosine, itself left out; ties to
-    the smaller id. Blocks of about `block` queries are sent to the tasks, one after the other; each batch of rows gives back
-    its own k best, and these are merged. A vector without length has similarity 0; rows without one have no neighbours."""
-    spark, kept = vectors.sparkSession, "embedding is not null and vec_id is not null"
-    queries, rows, n = queries.where(kept), vectors.where(kept).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), max(1, -(-queries.count() // block))
-
-    def unit(column) -> np.ndarray:
-        x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
-        size = np.sqrt((x * x).sum(1, keepdims=True))
-        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-
-    def best(part: DataFrame) -> DataFrame:
-        asked = part.toArrow()
-        sent = spark.sparkContext.broadcast((asked.column("query_id").to_numpy(), unit(asked.column("embedding")) if len(asked) else None))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for whole in batches:
-                for b in (whole.slice(at, 4096) for at in range(0, whole.num_rows if len(ids) else 0, 4096)):
-                    v = b.column("vec_id").to_numpy()
-                    order = np.argsort(v, kind="stable")
-                    v, score = v[order], np.round(q @ unit(b.column("embedding"))[order].T, 9)
-                    score[ids[:, None] == v[None, :]] = -np.inf
-                    top_k = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                    found = np.take_along_axis(score, top_k, 1).ravel()
-                    real = np.isfinite(found)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[real]) for x in (np.repeat(ids, top_k.shape[1]), v[top_k].ravel(), found)], names=["query_id", "vec_id", "similarity"])
-
-        return top(rows.mapInArrow(run, "query_id long, vec_id long, similarity double"), "similarity", k, ["query_id"], "vec_id")
-
-    dealt = queries.select(F.col("vec_id").cast("long").alias("query_id"), "embedding")
-    parts = [stored(best(dealt.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)), "nearest") for i in range(n)]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def blended(rows: DataFrame, a: str, b: str, weight: float, keys: list[str], name: str = "base_score") -> DataFrame:
     """`weight` times the percentile of `a` and the rest times that of `b`."""
     return rows.withColumn(name, F.round(weight * percentile(a, keys) + (1 - weight) * percentile(b, keys), 9))

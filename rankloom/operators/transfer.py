@@ -3,9 +3,10 @@ features of (query, product), and the weighted, shrunk rates."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators import vectors
 from rankloom.operators.retrieval import tokens, top
 
 # Intents, words that mark an accessory query, and the utility of each relation.
@@ -15,17 +16,11 @@ UTILITY = {"exact": 1.0, "substitute": 0.85, "complement": 0.08}
 
 
 def edges(products: DataFrame, width: int, within: list[str]) -> DataFrame:
-    """product_id, neighbor_product_id, similarity: each product with the `width` next ones of its group in attribute,
-    brand, model and id order, in both directions, by the Jaccard similarity of their titles. A product has at most
-    2 * `width` edges, so edges grow with products and not with their squares."""
-    order = Window.partitionBy(*within).orderBy("attribute", "brand", "model", "product_id")
-    ahead = F.collect_list(F.struct("product_id", "words")).over(order.rowsBetween(1, width))
-    rows = products.withColumn("words", F.array_distinct(tokens(F.col("title"), 1)))
-    rows = rows.withColumn("ahead", ahead).select("product_id", "words", F.explode("ahead").alias("n"))
-    shared, whole = F.size(F.array_intersect("words", "n.words")), F.size(F.array_union("words", "n.words"))
-    pairs = rows.select(F.col("product_id").alias("a"), F.col("n.product_id").alias("b"), (shared / F.greatest(whole, F.lit(1))).alias("similarity"))
-    ways = F.array(F.struct(F.col("a").alias("product_id"), F.col("b").alias("neighbor_product_id")), F.struct(F.col("b").alias("product_id"), F.col("a").alias("neighbor_product_id")))
-    return pairs.select(F.inline(ways), "similarity")
+    """product_id, neighbor_product_id, similarity: the `width` nearest products of each one's group by the cosine of their
+    titles' sets of words, ties to the smaller id. All products of a group are compared, in blocks."""
+    words = products.select(*within, "product_id", F.array_distinct(tokens(F.col("title"), 1)).alias("vector"))
+    found = vectors.nearest(words.withColumnRenamed("product_id", "query_id"), words.withColumnRenamed("product_id", "vec_id"), width, within, sets=True)
+    return found.select(F.col("query_id").alias("product_id"), F.col("vec_id").alias("neighbor_product_id"), "similarity")
 
 
 def features(rows: DataFrame) -> dict[str, Column]:

@@ -132,9 +132,10 @@ both_scores as (select m.query_id, m.product_id, case when l=1 and d=1 then 'hyb
 fused as (select *, round(0.45e0*{_percentile_sql('bm25_score')}+0.55e0*{_percentile_sql('dense_score')},9) as retrieval_score from both_scores),
 anchor as (select query_id, product_id from (select *, row_number() over (partition by query_id order by retrieval_score desc, product_id) as n from fused) x where n=1)"""
 _EDGES = f"""catalog as (select * from v_products where launch_block<=4),
-er as (select product_id, category, {_WORDS.format('title')} as words, row_number() over (partition by category order by attribute, brand, model, product_id) as rn from catalog),
-ee as (select a.product_id as a, b.product_id as b, len(list_intersect(a.words,b.words))/cast(greatest(len(list_distinct(list_concat(a.words,b.words))),1) as double) as sim from er a join er b on a.category=b.category and b.rn>a.rn and b.rn<=a.rn+8),
-edges as (select a as product_id, b as neighbor_product_id, sim from ee union all select b, a, sim from ee)"""
+titled as (select product_id, category, list_distinct(regexp_extract_all(lower(title),'[\\p{{L}}\\p{{N}}_]+')) as t from catalog),
+ee as (select a.product_id, b.product_id as neighbor_product_id, round(len(list_intersect(a.t,b.t))/sqrt(cast(len(a.t)*len(b.t) as double)),9) as sim
+ from titled a join titled b on a.category=b.category and a.product_id<>b.product_id),
+edges as (select product_id, neighbor_product_id, sim from (select *, row_number() over (partition by product_id order by sim desc, neighbor_product_id) as nth from ee) x where nth<={WIDTH})"""
 
 
 def _features_sql(pairs: str) -> str:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators import behavior, contracts, metrics, panel, retrieval
+from rankloom.operators import behavior, contracts, metrics, panel, retrieval, vectors
 from rankloom.sources.views import view, with_views
 
 BLOCKS, BLOCK, TOP = 8, 4, 50
+#: Numbers in a vector of `embeddings`.
+DIMENSION = 64
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -37,14 +39,18 @@ def log_and_products(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return view(spark, sf_dir, "v_interactions"), view(spark, sf_dir, "v_products")
 
 
+def embedded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries (rows whose id is divisible by 50) and all rows."""
+    rows = view(spark, sf_dir, "embeddings")
+    return vectors.as_vectors(rows.where("vec_id % 50 = 0"), "vec_id", "query_id"), vectors.as_vectors(rows, "vec_id", "vec_id")
+
+
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = view(spark, sf_dir, "embeddings")
-    return rounded(retrieval.neighbours(vectors, vectors.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", "similarity", "rank"))
+    return rounded(vectors.nearest(*embedded(spark, sf_dir), 5))
 
 
-def nearest_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = view(spark, sf_dir, "embeddings")
-    return rounded(retrieval.nearest_of_all(vectors, vectors.where("vec_id % 50 = 0"), 5).select("query_id", "vec_id", "similarity", "rank"))
+def near_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vectors.approximate(*embedded(spark, sf_dir), 5, DIMENSION))
 
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +75,8 @@ QUERIES = {
     "e9_category_priors": lambda s, d: rounded(behavior.category_priors(behavior.reference(*log_and_products(s, d), BLOCKS), view(s, d, "v_products"))),
     "f5_bm25_top": lambda s, d: rounded(lexical(s, d).select("query_id", "product_id", "bm25_score", "rank")),
     "f11_nearest_vectors": nearest,
-    "f11_nearest_of_all_vectors": nearest_of_all,
+    "f11_nearest_of_all_vectors": nearest,
+    "f12_hashed_neighbours": near_by_hash,
     "k2_ndcg_lexical": flagship,
     "k4_exposure": lambda s, d: rounded(metrics.exposure(lexical(s, d), view(s, d, "v_relevance"), 10)),
     "k8_calibration_error": lambda s, d: rounded(metrics.calibration_error(view(s, d, "v_calibration"))),
@@ -142,7 +149,7 @@ ORACLE_SQL = {
  select cast(k.time_block as bigint) as time_block, category, round(coalesce(kc,gc),6) as prior_ctr, round(coalesce(kp,gp),6) as prior_purchase, round(gc,6) as global_prior_ctr, round(gp,6) as global_prior_purchase from k join g on g.time_block=k.time_block""", "v_interactions", "v_products"),
     "f5_bm25_top": with_views(_TOP + "select query_id, product_id, round(bm25_score,6) as bm25_score, rank from lexical", "v_products", "v_queries"),
     "f11_nearest_vectors": """with p as (select q.vec_id as query_id, v.vec_id, round(list_dot_product(cast(q.embedding as double[]),cast(v.embedding as double[]))/sqrt(list_dot_product(cast(q.embedding as double[]),cast(q.embedding as double[]))*list_dot_product(cast(v.embedding as double[]),cast(v.embedding as double[]))),9) as s
- from embeddings q join embeddings v on q.label=v.label and q.vec_id<>v.vec_id where q.vec_id%50=0)
+ from embeddings q join embeddings v on q.vec_id<>v.vec_id where q.vec_id%50=0)
  select query_id, vec_id, round(s,6) as similarity, rank from (select *, row_number() over (partition by query_id order by s desc, vec_id) as rank from p) where rank<=5""",
     "f11_nearest_of_all_vectors": """with p as (select q.vec_id as query_id, v.vec_id, round(list_dot_product(cast(q.embedding as double[]),cast(v.embedding as double[]))/sqrt(list_dot_product(cast(q.embedding as double[]),cast(q.embedding as double[]))*list_dot_product(cast(v.embedding as double[]),cast(v.embedding as double[]))),9) as s
  from embeddings q join embeddings v on q.vec_id<>v.vec_id where q.vec_id%50=0)
