@@ -69,7 +69,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, within: list[str] = (),
 
 
 def best_of_blocks(queries: DataFrame, rows: DataFrame, k: int, within: list[str] = (), sets: bool = False, row_block: int | None = None, query_block: int | None = None) -> DataFrame:
-    """query_id, vec_id, similarity: each query's k best of each block of rows that it meets."""
+    """The columns `within`, query_id, vec_id, similarity: each query's k best of each block of rows that it meets."""
     row_block, query_block = row_block or (SET_BLOCK if sets else ROW_BLOCK), query_block or (SET_BLOCK if sets else QUERY_BLOCK)
     within = list(within)
     keys = within or ["_all"]
@@ -92,7 +92,7 @@ def best_of_blocks(queries: DataFrame, rows: DataFrame, k: int, within: list[str
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return kinds.empty_table()
+            return pa.schema([*[(left if left.num_rows else right).schema.field(c) for c in within], *kinds]).empty_table()
         right = right.sort_by("vec_id")
         ids, v = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
         scores, out = score(left.column("vector"), right.column("vector")), []
@@ -111,11 +111,14 @@ def best_of_blocks(queries: DataFrame, rows: DataFrame, k: int, within: list[str
             i, j, s = i[order], j[order], s[order]
             kept = np.arange(len(i)) - np.searchsorted(i, i) < k
             out.append(pa.table([ids[part][i[kept]], v[j[kept]], s[kept]], schema=kinds))
-        return pa.concat_tables(out)
+        found = pa.concat_tables(out)
+        for n, c in enumerate(within):
+            found = found.add_column(n, c, pa.array([left.column(c)[0].as_py()] * len(found), left.schema.field(c).type))
+        return found
 
     cast = lambda df, id_: df.withColumn(id_, F.col(id_).cast("long"))
     group = [*keys, "_q", "_v"]
-    return dealt(cast(q, "query_id"), "query_id").groupBy(*group).cogroup(dealt(cast(v, "vec_id"), "vec_id").groupBy(*group)).applyInArrow(best, "query_id long, vec_id long, similarity double")
+    return dealt(cast(q, "query_id"), "query_id").groupBy(*group).cogroup(dealt(cast(v, "vec_id"), "vec_id").groupBy(*group)).applyInArrow(best, "".join(f"{c} {dict(q.dtypes)[c]}, " for c in within) + "query_id long, vec_id long, similarity double")
 
 
 def agreement(cosine: float) -> float:
