@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import LOWER, UPPER, join_rows, table, written
+from rankloom.llm.common import LOWER, UPPER, batch_rows, join_rows, table, written
 
 LEAST, LONGEST, FIRST, SCALE = 30, 4, 2000, 2_000_000
 #: A candidate goes if a longer one around it has this share of its occurrences (4 of 5).
@@ -31,10 +31,10 @@ UNKNOWN = "und"
 #: Runs that a partition of the first pass should hold; all its tasks' hashes, 2 to 3 bytes each, meet in one group.
 PART_MASS, LEAST_PARTS = 16_000_000, 64
 #: Runs that a task gathers before it sends them, in the first and in the second pass; they bound its memory.
-SENT_RUNS, SENT_KNOWN = 6_000_000, 2_000_000
+SENT_RUNS, SENT_KNOWN = 3_000_000, 1_000_000
 #: Bits of the bitmap, as a power of two: 8 MB whatever the input.
 BITS = 26
-TEXTS = 256  # a slice of a batch whose words are numbered at a time
+TEXT_ROWS, TEXTS = 2000, 256  # texts in an Arrow batch, and in a slice of it whose words are numbered at a time
 _BREAK = b"\xff"  # in no UTF-8
 _BYTES = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r\t", LOWER.encode() + _BREAK * 10 + b" ")
 _STEP, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -103,12 +103,14 @@ def from_planes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sums of their counts (1 each if there are none)."""
-    if counts is None:
-        keys = np.sort(keys)
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        return keys[first], np.diff(np.append(first, len(keys)))
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct of sorted keys, and how often they are there."""
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
@@ -162,7 +164,10 @@ def survivors(texts: DataFrame, least: int, parts: int) -> DataFrame:
         numbered, held, n = [Numbered()], [], 0
 
         def sent():
-            keys, counts = summed(np.concatenate(held), None)
+            keys = np.concatenate(held)
+            held.clear()
+            keys.sort()
+            keys, counts = distinct(keys)
             part = (keys >> np.uint64(32)).astype(np.int64)
             first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             edge = np.append(first, len(keys))
@@ -225,6 +230,7 @@ def exact_counts(texts: DataFrame, known: np.ndarray, parts: int) -> DataFrame:
             h = np.concatenate([x[0] for x in held])
             rows = np.concatenate([x[1] for x in held])
             lang = np.concatenate([np.array([which[y] for y in x[3]], np.int64)[x[2]] for x in held])
+            held.clear()
             _, first, inverse, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
             # Equal hashes of other words are told apart: such occurrences get a row each.
             other = np.flatnonzero((rows[first][inverse] != rows).any(1) | (lang[first][inverse] != lang))
@@ -286,8 +292,9 @@ def phrases(docs: DataFrame, least: int = LEAST, first: int = FIRST, text: str =
     """
     texts = read(docs, text, lang)
     parts = parts_of(texts)
-    known = bitmap(survivors(texts, least, parts))
-    counts = written(exact_counts(texts, known, parts).where(f"a >= {least} or size = 0"), "phrase-counts")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        known = bitmap(survivors(texts, least, parts))
+        counts = written(exact_counts(texts, known, parts).where(f"a >= {least} or size = 0"), "phrase-counts")
     found = counts.where("size > 1").withColumn("w", F.split("phrase", " ", -1))
     cut = found.select("lang", "phrase", "size", "w", "a", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cut = cut.withColumns({"left": joined("w", F.lit(1), F.col("k")), "right": joined("w", F.col("k") + 1, F.col("size") - F.col("k"))}).drop("w")
