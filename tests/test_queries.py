@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 from rankloom.operators import behavior, metrics, retrieval
-from rankloom.plans import audits, models, policy, registry, reports, studies
+from rankloom.plans import audits, learners, models, policy, registry, reports, studies
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE_SQL = registry.QUERIES | reports.QUERIES | policy.QUERIES | studies.QUERIES | models.QUERIES | audits.QUERIES, registry.ORACLE_SQL | reports.ORACLE_SQL | policy.ORACLE_SQL | studies.ORACLE_SQL | models.ORACLE_SQL | audits.ORACLE_SQL
+QUERIES, ORACLE_SQL = registry.QUERIES | reports.QUERIES | policy.QUERIES | studies.QUERIES | models.QUERIES | audits.QUERIES | learners.QUERIES, registry.ORACLE_SQL | reports.ORACLE_SQL | policy.ORACLE_SQL | studies.ORACLE_SQL | models.ORACLE_SQL | audits.ORACLE_SQL | learners.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
