@@ -84,34 +84,49 @@ def needed_terms(weighted: dict[str, float], least: float) -> list[str]:
     return out
 
 
-def units_like_templates(blocks: DataFrame, least: float) -> DataFrame:
-    """_file, block, line, in_head, kind, words, licence, similarity of the units that are like a template. `blocks` is a
-    written table; a header has block -1, a whole file -2, and all but lines have line -1."""
-    spark = blocks.sparkSession
-    lines = blocks.select("_file", "block", "in_head", F.posexplode("lines").alias("line", "terms"))
+def lines_with_terms(blocks: DataFrame) -> DataFrame:
+    """term, df (lines that hold it), over all lines; the term "" has how many lines there are."""
+    lines = blocks.select(F.explode("lines").alias("terms"))
+    return lines.select(F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def weighted_templates(df: DataFrame) -> tuple[dict[str, list[tuple[str, dict[str, float]]]], int]:
+    """The templates that each kind of unit meets, with the weights of their terms, and the number of lines; of `df` come back
+    the rows of these terms alone."""
     own = {kind: templates(*sets) for kind, sets in KINDS.items()}
     vocabulary = sorted({t for kind in own.values() for _, terms in kind for t in terms})
-    # Under "" how many lines there are; a row for each of these terms comes back.
-    seen = lines.select(F.explode(F.concat(F.array_intersect("terms", F.array(*[F.lit(t) for t in vocabulary])), F.array(F.lit("")))).alias("t"))
-    count = {r["t"]: r["count"] for r in seen.groupBy("t").count().collect()}
+    asked = F.broadcast(df.sparkSession.createDataFrame([(t,) for t in [*vocabulary, ""]], "term string"))
+    count = {r["term"]: r["df"] for r in df.join(asked, "term").collect()}
     n_lines = count.get("", 0)
     idf = {t: log((1 + n_lines) / (1 + count.get(t, 0))) + 1 for t in vocabulary}
-    weighted = {kind: [(name, {t: (1 + log(n)) * idf[t] for t, n in terms.items()}) for name, terms in rows] for kind, rows in own.items()}
+    return {kind: [(name, {t: (1 + log(n)) * idf[t] for t, n in terms.items()}) for name, terms in rows] for kind, rows in own.items()}, n_lines
+
+
+def candidates(blocks: DataFrame, weighted: dict, least: float) -> DataFrame:
+    """The rows of `blocks` with n_words and, in place of all lines, what may be like a template: `some` (line and terms of
+    lines with a needed term) and `whole` (all terms of a block that is compared as a whole; else null)."""
     needed = F.array(*[F.lit(t) for t in sorted({t for _, w in weighted["line"] for t in needed_terms(w, least)})])
+    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("line"), x.alias("terms")))
+    rows = blocks.withColumns({"n_words": F.size(F.flatten("lines")), "several": F.size("lines") > 1, "some": F.filter(numbered, lambda x: F.arrays_overlap(x["terms"], needed))})
+    whole = F.col("named") | F.col("in_head") | (F.col("several") & (F.size("some") > 0))
+    return rows.withColumn("whole", F.when(whole, F.flatten("lines"))).drop("lines")
+
 
+def units_like_templates(blocks: DataFrame, df: DataFrame, weighted: dict, n_lines: int, least: float) -> DataFrame:
+    """_file, block, line, in_head, kind, words, licence, similarity of the units that are like a template. `blocks` is the
+    written table of `candidates`; a header has block -1, a whole file -2, and all but lines have line -1."""
+    spark = blocks.sparkSession
+    units = blocks.select("_file", "block", "in_head", F.inline("some")).withColumn("kind", F.lit("line"))
     paragraph = F.when(F.col("named"), "licence paragraph").otherwise("paragraph")
-    whole = blocks.select("_file", "block", F.lit(-1).alias("line"), "in_head", "named", F.flatten("lines").alias("terms"), (F.size("lines") > 1).alias("several"))
-    units = lines.where(F.arrays_overlap("terms", needed)).withColumn("kind", F.lit("line"))
+    whole = blocks.where("whole is not null").select("_file", "block", F.lit(-1).alias("line"), "in_head", "named", F.col("whole").alias("terms"), (F.col("several") & (F.size("some") > 0)).alias("near"))
     for some, kind, block in [
-        (whole.where(F.col("named") | (F.col("several") & F.arrays_overlap("terms", needed))), paragraph, F.col("block")),
+        (whole.where("named or near"), paragraph, F.col("block")),
         (whole.where("in_head"), F.lit("header"), F.lit(-1)),
         (whole.where("named").withColumn("in_head", F.lit(False)), F.lit("file"), F.lit(-2)),
     ]:
         units = units.unionByName(some.select("_file", block.alias("block"), "line", "in_head", "terms", kind.alias("kind")))
     spread = written(units.select(*UNIT, F.explode("terms").alias("term")).groupBy(*UNIT, "term").agg(F.count("*").alias("tf")), "licence-units")
-    # Lines that hold each term of the units, counted over all lines.
-    held = lines.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    df = written(held.join(spread.groupBy("term").agg(F.count("*").alias("n")), "term"), "licence-df")
+    df = written(df.join(spread.groupBy("term").agg(F.count("*").alias("n")), "term"), "licence-df")
     weight = (1 + F.log(F.col("tf"))) * (F.log(F.lit(1.0 + n_lines) / (1 + F.col("df"))) + 1)
     unit = join_rows(spread, df, "term").withColumn("w", weight).groupBy(*UNIT).agg(
         F.sum("tf").alias("words"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"), F.collect_list(F.struct("term", "w")).alias("all"))
@@ -167,10 +182,15 @@ def licences(files: DataFrame, path: str = "path", text: str = "text", least: fl
 
     Null and empty texts have no lines; a null path is a file in no directory. Rows may share a path.
     """
-    blocks = written(text_blocks(files, path, text), "licence-blocks", "zstd")
-    units = written(units_like_templates(blocks, least), "licence-found")
+    # Texts are read twice, for the lines of each term and for the units, rather than all their terms written. Numbers of
+    # files are given in the second reading alone.
+    every = text_blocks(files, path, text)
+    df = written(lines_with_terms(every), "licence-terms", "zstd")
+    weighted, n_lines = weighted_templates(df)
+    blocks = written(candidates(every, weighted, least), "licence-blocks", "zstd")
+    units = written(units_like_templates(blocks, df, weighted, n_lines, least), "licence-found")
     own = licences_of_files(units)
-    words = blocks.groupBy("_file").agg(F.first("path").alias("path"), F.first("named").alias("named"), F.sum(F.size(F.flatten("lines"))).alias("n_words"))
+    words = blocks.groupBy("_file").agg(F.first("path").alias("path"), F.first("named").alias("named"), F.sum("n_words").alias("n_words"))
     licensed = F.col("own").isNotNull() & (F.col("named") | (2 * F.col("licence_words") >= F.col("n_words")))
     found = words.join(own, "_file", "left")
     found = written(found.select("_file", "path", "own", "n_lines", "n_blocks", F.coalesce(licensed, F.lit(False)).alias("is_licence_file")), "licences-own")
