@@ -3,8 +3,9 @@
 Each document gets a few measures. Per language and source, KLL sketches of each measure are built in partial
 aggregates and merged; cells of too few documents take the merged sketch of their language, and languages of too
 few that of all documents. A measure is refused beyond its cell's fence: the quantile of 90 %, and REACH times as far
-again as it lies from the middle. Where a cell's quantile is its middle (a measure that is the same in nearly all documents), the
-distance is that of its language, or else of all. DataFrame functions only.
+again as it lies from the middle. Where a cell's quantile is its middle (a rate that is 0 in nearly all documents), the
+distance is what one more occurrence adds to the rate in a middling document of the cell: the median of 1 / words (times the
+words of a window), 1 / lines or 1 / characters, out of sketches of the same kind. DataFrame functions only; no cutoff is fixed.
 
 A sketch of up to SKETCH_K values is exact; beyond it ranks are off by some 2 / SKETCH_K, a hundredth of the tail, and as
 sketches drop values by chance a rerun may move a fence by that much.
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import table, written
 
 WORD, WINDOW, LEAST_WORDS, LEAST_DOCS, TAIL, REACH, SKETCH_K = r"[^\x20\x09-\x0D]+", 8, 20, 200, 0.9, 3.0, 2000
-#: Measures: what is never refused however rare it is (a rate that nearly all documents have at 0 has no scale of its
-#: own), and whether small values are refused as well.
-MEASURES = {"symbol_rate": (0.05, False), "repeat_rate": (0.1, False), "dup_line_rate": (0.2, False), "capital_rate": (0.0, False), "word_length": (0.0, True)}
+#: Measures: what they are a share of and how much of it one occurrence takes, and whether small values are refused as well.
+MEASURES = {"symbol_rate": ("n_words", 1, False), "repeat_rate": ("n_words", WINDOW, False), "dup_line_rate": ("n_lines", 1, False), "capital_rate": ("word_chars", 1, False), "word_length": ("n_words", 1, True)}
+#: The shares that one takes: 1 over words, lines and characters.
+STEPS = {c: f"one_of_{c}" for c, *_ in MEASURES.values()}
+SKETCHED = [*MEASURES, *STEPS.values()]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -55,13 +58,14 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "dup_line_rate": F.col("n_dup_lines") / F.nullif("n_lines", F.lit(0)), "capital_rate": F.col("n_capitals") / F.nullif("word_chars", F.lit(0)),
         "word_length": F.col("word_chars") / F.nullif("n_words", F.lit(0)),
     }
-    return d.withColumns({k: v.cast("double") for k, v in rates.items()}).select("doc_id", "lang", "source", *BASE, *MEASURES)
+    rates |= {name: 1 / F.nullif(c, F.lit(0)) for c, name in STEPS.items()}
+    return d.withColumns({k: v.cast("double") for k, v in rates.items()}).select("doc_id", "lang", "source", *BASE, *SKETCHED)
 
 
 def sketches(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """KLL sketches of each measure by (lang, source), by lang, and of all: each is merged from the one before."""
-    one = [F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES]
-    more = [F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in MEASURES]
+    one = [F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in SKETCHED]
+    more = [F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in SKETCHED]
     cells = written(rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *one), "quality-sketches")
     langs = cells.groupBy("lang").agg(F.sum("n").alias("n"), *more)
     return cells, langs, langs.agg(F.sum("n").alias("n"), *more)
@@ -70,28 +74,22 @@ def sketches(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def fences(rows: DataFrame, least_docs: int = LEAST_DOCS, tail: float = TAIL) -> DataFrame:
     """lang, source, level (which sketch the fences come from: cell, language or all), and low_m, high_m for each measure m."""
     cells, langs, whole = sketches(rows)
-    name = lambda df, p, *keep: df.select(*keep, *[F.col(c).alias(f"{p}_{c}") for c in ("n", *MEASURES)])
+    name = lambda df, p, *keep: df.select(*keep, *[F.col(c).alias(f"{p}_{c}") for c in ("n", *SKETCHED)])
     both = name(cells, "c", "lang", "source").join(name(langs, "l", F.col("lang").alias("l_lang")), F.col("lang").eqNullSafe(F.col("l_lang")))
     # The whole's sketches are a single row.
     both = both.withColumn("one", F.lit(1)).join(F.broadcast(name(whole, "w").withColumn("one", F.lit(1))), "one")
     level = F.when(F.col("c_n") >= least_docs, F.lit("cell")).when(F.col("l_n") >= least_docs, F.lit("language")).otherwise(F.lit("all"))
     out = ["lang", "source", level.alias("level")]
-    for m, (least, both_sides) in MEASURES.items():
+    for m, (share_of, times, both_sides) in MEASURES.items():
 
-        def at(p, q, m=m):
-            sketch = F.col(f"{p}_{m}")
-            return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(q)))
-
-        def own(q, level=level, at=at):
-            return F.when(level == "cell", at("c", q)).when(level == "language", at("l", q)).otherwise(at("w", q))
-
-        def reach(q, level=level, at=at):
-            far = lambda p: F.nullif(F.abs(at(p, q) - at(p, 0.5)), F.lit(0.0))
-            return F.coalesce(F.when(level == "cell", far("c")), F.when(level != "all", far("l")), far("w"), F.lit(0.0))
+        def own(q, c=m, level=level):
+            at = lambda p: F.when(F.kll_sketch_get_n_double(f"{p}_{c}") > 0, F.kll_sketch_get_quantile_double(f"{p}_{c}", F.lit(q)))
+            return F.when(level == "cell", at("c")).when(level == "language", at("l")).otherwise(at("w"))
 
+        step = F.coalesce(times * own(0.5, STEPS[share_of]), F.lit(0.0))
+        reach = lambda q, own=own, step=step: F.coalesce(F.nullif(F.abs(own(q) - own(0.5)), F.lit(0.0)), step)
         low = own(1 - tail) - REACH * reach(1 - tail) if both_sides else F.lit(None).cast("double")
-        high = own(tail) + REACH * reach(tail)
-        out += [F.when(high < least, F.lit(least)).otherwise(high).alias(f"high_{m}"), low.alias(f"low_{m}")]
+        out += [(own(tail) + REACH * reach(tail)).alias(f"high_{m}"), low.alias(f"low_{m}")]
     return both.select(*out)
 
 
