@@ -31,10 +31,10 @@ UNKNOWN = "und"
 #: Runs that a partition of the first pass should hold; all its tasks' hashes, 2 to 3 bytes each, meet in one group.
 PART_MASS, LEAST_PARTS = 16_000_000, 64
 #: Runs that a task gathers before it sends them, in the first and in the second pass; they bound its memory.
-SENT_RUNS, SENT_KNOWN = 3_000_000, 1_000_000
+SENT_RUNS, SENT_KNOWN = 2_000_000, 500_000
 #: Bits of the bitmap, as a power of two: 8 MB whatever the input.
 BITS = 26
-TEXT_ROWS, TEXTS = 2000, 256  # texts in an Arrow batch, and in a slice of it whose words are numbered at a time
+TEXT_ROWS, TEXTS = 500, 128  # texts in an Arrow batch, and in a slice of it whose words are numbered at a time
 _BREAK = b"\xff"  # in no UTF-8
 _BYTES = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r\t", LOWER.encode() + _BREAK * 10 + b" ")
 _STEP, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
