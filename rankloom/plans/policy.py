@@ -110,7 +110,7 @@ QUERIES = {
     "h15_transfer": lambda s, d: rounded(lent(s, d, hybrid(s, d)).select(*_LENT)),
     "w9_promotion": lambda s, d: rounded(promoted(s, d).select(*_OUT)),
     "w13_order_agreement": lambda s, d: rounded(agreement(s, d)),
-    "w14_placements": lambda s, d: rounded(placed(s, d)),
+    "w14_placements": lambda s, d: rounded(placed(s, d), 9),
     "w16_best_proposals": lambda s, d: rounded(promotion.best_proposals(gate_input(s, d).withColumn("base_rank", promotion.ranked("base_score", ["query_id"]))).select("query_id", "product_id", "confidence", "base_rank")),
     "n4_boost_sweep": sweep,
 }
@@ -209,7 +209,7 @@ ORACLE_SQL = {
  {' union all '.join(f"select '{k}' as strategy, count(*) as queries, cast(coalesce(sum(cast(a{i} as int)),0) as bigint) as agreeing from o" for i, k in enumerate(_ORDERS))}""", *_ALL[:3]),
     "w14_placements": with_views(_LENT_SQL + f""", sized as (select *, count(*) over (partition by query_id) as n from gate_in), moves as ({_MOVES})
  select query_id, product_id, cast(target as bigint) as target, base_rank, case when target<=n and target<=base_rank then target else base_rank end as achieved, target<=n and target<=base_rank as feasible,
-  case when target<=n and target<=base_rank then round(greatest(edge-base_score,0e0),6) end as required_lift from moves where zero_history=1""", *_ALL[:3]),
+  case when target<=n and target<=base_rank then round(round(greatest(edge-base_score,0e0),12),9) end as required_lift from moves where zero_history=1""", *_ALL[:3]),
     "w16_best_proposals": with_views(_LENT_SQL + " select query_id, product_id, round(confidence,6) as confidence, base_rank from (select *, row_number() over (partition by query_id order by confidence desc, compatibility desc, target_utility desc, base_rank, product_id) as k from gate_in where zero_history=1) x where k=1", *_ALL[:3]),
     "n4_boost_sweep": with_views(_PROMOTED + """, g as (select r.max_boost, r.query_id, r.product_id, r.base_rank, r.final_rank, v.relevance as gain, row_number() over (partition by r.query_id, r.max_boost order by v.relevance desc nulls last, r.product_id) as ir
  from promoted r left join v_relevance v on v.query_id=r.query_id and v.product_id=r.product_id),

@@ -13,13 +13,14 @@ BLOCKS, BLOCK, TOP = 8, 4, 50
 DIMENSION = 64
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to 6 places (and no negative zero), counts as long."""
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to 6 places (and no negative zero), counts as long. Means of few rows, which may lie halfway between two
+    such values, take 9."""
     def one(name: str, kind: str) -> Column:
         c = F.col(name)
         if kind in ("double", "float") or kind.startswith("decimal"):
-            # First to 12 places: sums taken in another order differ there, and must not part at a half of the 6th.
-            return (F.round(F.round(c.cast("double"), 12), 6) + 0.0).alias(name)
+            # First to 12 places: sums taken in another order differ there, and must not part at a half of the last.
+            return (F.round(F.round(c.cast("double"), 12), places) + 0.0).alias(name)
         return c.cast("long").alias(name) if kind in ("int", "bigint", "smallint", "tinyint") else c.alias(name)
 
     return df.select(*[one(*x) for x in df.dtypes])

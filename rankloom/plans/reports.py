@@ -42,7 +42,7 @@ def release_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
         metrics.ndcg(ranked, judged, 10).agg(F.avg("ndcg").alias("ndcg")), metrics.exposure(ranked, judged, 10).select("coverage", "irrelevant"),
         metrics.off_policy(view(spark, sf_dir, "v_ope"), 1.5).select("ess", "support"), metrics.calibration_error(view(spark, sf_dir, "v_calibration")))
     spec = spark.createDataFrame(GATES, "gate string, metric string, op string, threshold double, hold boolean")
-    return rounded(gates.release(found, spec))
+    return rounded(gates.release(found, spec), 9)
 
 
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ ORACLE_SQL = {
  found as (select 'ndcg' as metric, (select avg(ndcg) from plain) as value union all select 'coverage', (select avg(c) from e) union all select 'irrelevant', (select avg(i) from e)
   union all select 'ess', (select ess from o) union all select 'support', (select support from o) union all select 'ece', (select ece from c)),
  judged as (select g.*, f.value, coalesce(case when op='>=' then value>=threshold else value<=threshold end, false) as passed from (values {_SPEC}) g(gate, metric, op, threshold, hold) left join found f on f.metric=g.metric)
- select gate, metric, op, round(threshold,6) as threshold, round(value,6) as value, passed, case when bool_and(passed) over () then 'LAUNCH' when bool_or(not passed and hold) over () then 'HOLD' else 'ITERATE' end as status from judged""", *_RANKED, "v_ope", "v_calibration"),
+ select gate, metric, op, round(threshold,9) as threshold, round(round(value,12),9)+0e0 as value, passed, case when bool_and(passed) over () then 'LAUNCH' when bool_or(not passed and hold) over () then 'HOLD' else 'ITERATE' end as status from judged""", *_RANKED, "v_ope", "v_calibration"),
     "o4_scenario_summary": with_views(_BLOCKS_SQL + """, c as (select scenario, replication, sum(delta) as delta from block group by 1,2), w as (select avg(delta) as m from c group by scenario)
  select (select round(quantile_cont(delta,0.1),6) from c) as p10, (select round(avg(delta),6) from c) as mean, (select round(min(m),6) from w) as worst_scenario, (select count(*) from w) as scenarios""", "v_daily"),
     "o9_aggregation_rules": with_views(_PAIRS + """, d as (select *, treatment-base as d from paired where base is not null and treatment is not null),

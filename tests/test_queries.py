@@ -8,10 +8,10 @@ import duckdb
 import pytest
 
 from rankloom.operators import behavior, metrics, retrieval
-from rankloom.plans import audits, learners, models, policy, registry, reports, studies
+from rankloom.plans import audits, learners, models, policy, registry, releases, reports, studies
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE_SQL = registry.QUERIES | reports.QUERIES | policy.QUERIES | studies.QUERIES | models.QUERIES | audits.QUERIES | learners.QUERIES, registry.ORACLE_SQL | reports.ORACLE_SQL | policy.ORACLE_SQL | studies.ORACLE_SQL | models.ORACLE_SQL | audits.ORACLE_SQL | learners.ORACLE_SQL
+QUERIES, ORACLE_SQL = registry.QUERIES | reports.QUERIES | policy.QUERIES | studies.QUERIES | models.QUERIES | audits.QUERIES | learners.QUERIES | releases.QUERIES, registry.ORACLE_SQL | reports.ORACLE_SQL | policy.ORACLE_SQL | studies.ORACLE_SQL | models.ORACLE_SQL | audits.ORACLE_SQL | learners.ORACLE_SQL | releases.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def oracle():
 
 
 def same(a, b):
-    return a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, abs_tol=1.1e-6))
+    return a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, abs_tol=1e-9))
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
