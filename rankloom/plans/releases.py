@@ -9,7 +9,8 @@ from rankloom.operators import gates, metrics, panel, release
 from rankloom.plans.audits import _WEIGHT
 from rankloom.plans.policy import _ALL, _PROMOTED, BOOSTS, promoted
 from rankloom.plans.registry import rounded
-from rankloom.sources.folders import stored
+from rankloom.sources import bundle
+from rankloom.sources.folders import shared_folder, stored
 from rankloom.sources.views import view, with_views
 
 DRAWS, K, CLIP = 100, 10, 1.5
@@ -56,7 +57,21 @@ def named_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(release.evaluate(found, OWN, sensitivity=False), 9)
 
 
+def bundle_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What breaks a bundle of the domain tables, some of whose rows are spoilt: written, read back as a whole and checked."""
+    products, queries, judged, log = (view(spark, sf_dir, f"v_{n}") for n in ("products", "queries", "relevance", "interactions"))
+    spoilt = bundle.Bundle(
+        products.withColumn("price", F.when(F.col("product_id") % 97 == 5, -1.0).otherwise(F.col("price"))).where("product_id % 101 <> 7"), queries,
+        judged.withColumn("relation", F.when((F.col("query_id") + F.col("product_id")) % 503 == 1, "other").otherwise(F.col("relation"))),
+        log.withColumn("clicked", F.when(F.col("event_seq") % 211 == 3, F.lit(0)).otherwise(F.col("clicked"))))
+    folder = shared_folder(spark, "bundle")
+    bundle.write(spoilt, folder)
+    found = bundle.violations(bundle.read(spark, folder))
+    return found.select("table", "contract", "column", "n", F.array_join("examples", ",").alias("examples"))
+
+
 QUERIES = {
+    "a2_bundle_violations": bundle_violations,
     "k13_ranking_report": lambda s, d: rounded(report(s, d), 9),
     "n1_named_gates": named_gates,
 }
@@ -123,7 +138,16 @@ found as (select * from report
 judged as (select g.*, f.value, coalesce(case when op='>=' then value>=threshold else value<=threshold end, false) as passed from (values {_SPEC}) g(gate, metric, op, threshold, hold) left join found f on f.metric=g.metric)
 select gate, metric, op, round(threshold,9)+0e0 as threshold, round(round(value,12),9)+0e0 as value, passed, case when bool_and(passed) over () then 'LAUNCH' when bool_or(not passed and hold) over () then 'HOLD' else 'ITERATE' end as status from judged"""
 
+_MISSED = "select {k} as k, count(*) as n from {t} where {k} in (select product_id from v_products where product_id%101=7) group by 1"
+_KEYS_SQL = " union all ".join(
+    f"select '{t}' as \"table\", 'key' as contract, '{k}' as \"column\", cast(sum(n) as bigint) as n, (select string_agg(cast(k as varchar), ',' order by k) from (select k from ({_MISSED.format(k=k, t=v)}) y order by k limit 10) z) as examples from ({_MISSED.format(k=k, t=v)}) x"
+    for t, k, v in (("relevance", "product_id", "v_relevance"), ("interactions", "product_id", "v_interactions"), ("queries", "target_product_id", "v_queries")))
+_BUNDLE_SQL = f"""select 'products' as "table", 'bounded' as contract, 'price' as "column", count(*) as n, '' as examples from v_products where product_id%97=5 and product_id%101<>7
+ union all select 'relevance', 'allowed', 'relation', count(*), '' from v_relevance where (query_id+product_id)%503=1
+ union all select 'interactions', 'funnel', 'purchased', count(*), '' from v_interactions where event_seq%211=3 and purchased=1 union all {_KEYS_SQL}"""
+
 ORACLE_SQL = {
+    "a2_bundle_violations": with_views(f"select * from ({_BUNDLE_SQL}) b where n>0", "v_products", "v_queries", "v_relevance", "v_interactions"),
     "k13_ranking_report": with_views(_REPORT_SQL + " select metric, round(round(value,12),9)+0e0 as value from report", *_ALL),
     "n1_named_gates": with_views(_GATES_SQL, *_ALL, "v_ope", "v_daily", "v_calibration"),
 }
