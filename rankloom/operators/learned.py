@@ -3,13 +3,19 @@ a ranker learned from pairs. Features are plain double columns; nulls and NaN co
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators import gates, metrics, retrieval
+from rankloom.operators.contracts import last_of
+from rankloom.sources.folders import stored
+
 CLIP = 1e-6
 
 
@@ -107,3 +113,64 @@ def fit_pairwise(df: DataFrame, columns: list[str], label: str = "relevance", qu
 
 def linear(columns: list[str], weights: list[float]) -> Column:
     return sum((w * F.col(c) for c, w in zip(columns, weights)), F.lit(0.0))
+
+
+@dataclass
+class Calibrated:
+    """A behaviour model and its calibration, each a fitted pipeline. `platt` is None where the later block had one class."""
+
+    columns: list[str]
+    model: PipelineModel
+    platt: PipelineModel | None
+
+    def transform(self, df: DataFrame, name: str = "p", raw: str = "p_raw") -> DataFrame:
+        """`df` with the calibrated chance and the model's own, both within CLIP of 0 and 1."""
+        rows = probabilities(self.model, df, self.columns, ["_no", raw]).drop("_no").withColumn("_logit", _logit(F.col(raw)))
+        within = lambda c: F.least(F.greatest(c, F.lit(CLIP)), F.lit(1 - CLIP))
+        if self.platt is None:
+            return rows.withColumns({name: within(F.col(raw)), raw: within(F.col(raw))}).drop("_logit")
+        out = self.platt.transform(rows).withColumn(name, within(F.element_at(vector_to_array("_p"), 2)))
+        return out.withColumn(raw, within(F.col(raw))).drop("_logit", "_v", "_r", "_p", "_c")
+
+    def save(self, folder: str) -> None:
+        """Both by Spark's own writers; the columns beside them say whether there is a calibration."""
+        spark = SparkSession.getActiveSession()
+        self.model.write().overwrite().save(f"{folder}/model")
+        if self.platt is not None:
+            self.platt.write().overwrite().save(f"{folder}/platt")
+        spark.createDataFrame([(self.columns, self.platt is not None)], "columns array<string>, calibrated boolean").coalesce(1).write.mode("overwrite").json(f"{folder}/contract")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> Calibrated:
+        kept = spark.read.schema("columns array<string>, calibrated boolean").json(f"{folder}/contract").first()
+        return Calibrated(list(kept.columns), PipelineModel.load(f"{folder}/model"), PipelineModel.load(f"{folder}/platt") if kept.calibrated else None)
+
+
+def fit_calibrated(train: DataFrame, later: DataFrame, columns: list[str], label: str) -> Calibrated:
+    """A class-balanced logistic model of `train`, calibrated on the later block. One class in `train` is an error."""
+    if train.agg(F.count_distinct(label)).first()[0] < 2:
+        raise ValueError("the training rows must have both outcomes")
+    model = fit_logistic(train, columns, label)
+    scored = probabilities(model, later, columns, ["_no", "_raw_p"]).select(_logit(F.col("_raw_p")).alias("_logit"), F.col(label).cast("double").alias("_y"))
+    if scored.agg(F.count_distinct("_y")).first()[0] < 2:
+        return Calibrated(list(columns), model, None)
+    stages = [VectorAssembler(inputCols=["_logit"], outputCol="_v"), LogisticRegression(featuresCol="_v", labelCol="_y", regParam=1e-6, standardization=False, probabilityCol="_p", rawPredictionCol="_r", predictionCol="_c")]
+    return Calibrated(list(columns), model, Pipeline(stages=stages).fit(scored))
+
+
+def future_audit(model: Calibrated, block: DataFrame, judged: DataFrame, label: str, base: str, weight: float = 0.5, k: int = 10) -> DataFrame:
+    """(metric, value) of a block that the model never saw: AUC, Brier score, log-loss and calibration error of its calibrated
+    and its plain chances, and NDCG@k of the logged rows by `base` and by `weight` times its percentile and the rest
+    times the chance's. Of a query's rows for one product the last stands (`event_seq`)."""
+    rows = stored(model.transform(block), "future-block")
+    parts = []
+    for name, p in (("future_behavior_", "p"), ("future_behavior_uncalibrated_", "p_raw")):
+        own = rows.select(F.col(p).alias("p"), F.col(label).cast("double").alias("y"))
+        scores = metrics.binary_scores(own).select(F.col("auc").alias(f"{name}roc_auc"), F.col("brier").alias(f"{name}brier"), F.col("log_loss").alias(f"{name}log_loss"))
+        parts += [scores, metrics.calibration_error(own).select(F.col("ece").alias(f"{name}ece"))]
+    last = last_of(rows.select("query_id", "product_id", "event_seq", base, "p"), ["query_id", "product_id"], ["event_seq"])
+    both = stored(retrieval.blended(last, base, "p", weight, ["query_id"], "_final"), "future-ranked")
+    for name, score in (("base", base), ("final", "_final")):
+        ranked = retrieval.top(both, score, 1 << 30, ["query_id"]).select("query_id", "product_id", "rank")
+        parts.append(metrics.ndcg(ranked, judged, k).agg(F.avg("ndcg").alias(f"future_logged_{name}_ndcg_at_{k}")))
+    return gates.long_metrics(*parts)

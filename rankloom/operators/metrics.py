@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators.quantiles import quantiles
+
 
 #: Ranges of values that are ranked apart.
 RANGES = 64
@@ -137,9 +139,26 @@ def result_contract(ranked: DataFrame, score: str) -> DataFrame:
 
 
 def value_report(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """n, mean and the 50th, 95th and 99th percentile by group."""
-    p = lambda q: F.percentile(value, F.lit(q / 100)).alias(f"p{q}")
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), p(50), p(95), p(99))
+    """n, mean and the 50th, 95th and 99th percentile by group; exact, without a group in one task. Groups without a value have
+    n 0 and nulls."""
+    plain = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    found = quantiles(rows, F.col(value), {"p50": 0.5, "p95": 0.95, "p99": 0.99}, keys).drop("n")
+    named = found.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return plain.join(named, on, "left").drop(*[f"_{k}" for k in keys])
+
+
+def serving_report(log: DataFrame, latency: str = "latency_ms", source: str = "source", at: str = "ts") -> DataFrame:
+    """One row of a log of answered queries: queries, mean, p50, p95 and p99 of the latency, how many and which share came from
+    another source than the first (`full`), and queries a second between the first and the last (null for one moment)."""
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    fell = F.count_if(F.coalesce(F.col(source) != "full", F.lit(True)))
+    span = F.unix_micros(F.max(at).cast("timestamp")) - F.unix_micros(F.min(at).cast("timestamp"))
+    plain = log.agg(F.count("*").alias("queries"), F.avg(latency).alias("mean"), fell.alias("fallbacks"), (fell / F.nullif(F.count("*"), F.lit(0))).alias("fallback_rate"), (F.count("*") * 1e6 / F.nullif(span, F.lit(0))).alias("per_second"))
+    found = quantiles(log, F.col(latency), {"p50": 0.5, "p95": 0.95, "p99": 0.99}).drop("n")
+    return one(plain).join(one(found), "_one", "left").drop("_one")
 
 
 def cold_exposure(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators.quantiles import quantiles
+
 
 def _rows(df: DataFrame, per: dict[str, dict[str, Column]]) -> DataFrame:
     """One row for each column named, out of one pass of aggregates."""
@@ -16,15 +18,26 @@ def _rows(df: DataFrame, per: dict[str, dict[str, Column]]) -> DataFrame:
 
 def numeric(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     """column, n, missing (null or NaN), finite, distinct, constant, least, p01, median, p99, greatest. `exact=False` takes
-    sketches for the distinct counts and percentiles, for tables where exact ones cost a shuffle for each column."""
+    sketches for the distinct counts and percentiles, for tables where exact ones cost a shuffle of their values; exact
+    ones come from counts of all columns' values at once, and no task holds a column."""
+    def value(c: str) -> Column:
+        return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+
     def one(c: str) -> dict[str, Column]:
-        x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        x = value(c)
         there = F.when(F.abs(x) < float("inf"), x)
-        distinct = F.count_distinct(x) if exact else F.approx_count_distinct(x)
-        p = lambda q: F.percentile(there, F.lit(q)) if exact else F.percentile_approx(there, q, 10000)
-        return {"n": F.count("*"), "missing": F.count("*") - F.count(x), "finite": F.count(there), "distinct": distinct, "constant": F.coalesce(F.min(x) == F.max(x), F.lit(True)),
-                "least": F.min(there), "p01": p(0.01), "median": p(0.5), "p99": p(0.99), "greatest": F.max(there)}
-    return _rows(df, {c: one(c) for c in columns})
+        out = {"n": F.count("*"), "missing": F.count("*") - F.count(x), "finite": F.count(there), "constant": F.coalesce(F.min(x) == F.max(x), F.lit(True)), "least": F.min(there), "greatest": F.max(there)}
+        p = lambda q: F.percentile_approx(there, q, 10000)
+        return out if exact else out | {"distinct": F.approx_count_distinct(x), "p01": p(0.01), "median": p(0.5), "p99": p(0.99)}
+
+    names = ["column", "n", "missing", "finite", "distinct", "constant", "least", "p01", "median", "p99", "greatest"]
+    rows = _rows(df, {c: one(c) for c in columns})
+    if not exact:
+        return rows.select(*names)
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("x")) for c in columns]))).where("x is not null")
+    distinct = long.groupBy("column", "x").agg(F.lit(1)).groupBy("column").agg(F.count("*").alias("distinct"))
+    found = quantiles(long.where(F.abs("x") < float("inf")), F.col("x"), {"p01": 0.01, "median": 0.5, "p99": 0.99}, ["column"]).drop("n")
+    return rows.join(distinct, "column", "left").join(found, "column", "left").na.fill(0, ["distinct"]).select(*names)
 
 
 def categorical(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators import heads, lambda_trees, latent, learned, metrics, panel, retrieval
+from rankloom.operators import behavior, contracts, heads, lambda_trees, latent, learned, metrics, panel, retrieval
 from rankloom.plans.audits import _WEIGHT
-from rankloom.plans.models import judged_features
+from rankloom.plans.models import BEHAVIOR, judged_features
 from rankloom.plans.registry import _BLOCKS_SQL, BLOCK, rounded
 from rankloom.sources.folders import shared_folder, stored
 from rankloom.sources.views import view, with_views
@@ -70,6 +70,17 @@ def action_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out)
 
 
+def future_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A behaviour model fitted on past blocks and calibrated on a later one, saved, loaded, and held against the last block."""
+    log, products = view(spark, sf_dir, "v_interactions"), view(spark, sf_dir, "v_products")
+    seen = behavior.prior_features(log, products).drop("launch_block")
+    rows = stored(contracts.temporal_split(seen, products), "split-log")
+    of = lambda s: rows.where(F.col("split") == s)
+    folder = shared_folder(spark, "behavior-model")
+    learned.fit_calibrated(of("train"), of("validation"), BEHAVIOR, "clicked").save(folder)
+    return rounded(learned.future_audit(learned.Calibrated.load(spark, folder), of("future"), view(spark, sf_dir, "v_relevance"), "clicked", "smoothed_ctr"))
+
+
 def seed_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel.block_contrasts(view(spark, sf_dir, "v_daily"), "view").withColumns({c: F.round(c, 9) for c in ("d", "delta")})
     return rounded(heads.group_interval(rows, "seed", ["d", "delta"], DRAWS))
@@ -85,6 +96,7 @@ QUERIES = {
     "f7_f8_latent_lists": latent_lists,
     "i1_lambda_trees": boosted_ranker,
     "i7_action_heads": action_heads,
+    "k14_future_block": future_block,
     "o20_seed_intervals": seed_intervals,
     "s2_s3_event_velocity": event_stream,
 }
