@@ -130,3 +130,14 @@ def safety_contrast(effects: DataFrame, baseline: str, measures: dict[str, int],
     for m, sign in measures.items():
         safe = safe & (sign * deltas[m] >= -tolerance)
     return both.select(*keys, "action", *[d.alias(f"delta_{m}") for m, d in deltas.items()], safe.alias("safe"))
+
+
+def summary_deltas(summaries: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
+    """keys, and for each measure treatment less base, from `summaries` (keys, policy, measures): one row of keys that have both
+    policies once. Keys that lack one, or have it more than once, fail the job: a delta of other rows would mean nothing."""
+    one = lambda p: F.count_if(F.col("policy") == p)
+    of = lambda p, m: F.max(F.when(F.col("policy") == p, F.col(m)))
+    by = summaries.groupBy(*keys).agg(one("base").alias("_b"), one("treatment").alias("_t"), *[(of("treatment", m) - of("base", m)).alias(f"delta_{m}") for m in measures])
+    named = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+    whole = F.when((F.col("_b") == 1) & (F.col("_t") == 1), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not one row of each policy: "), named)).cast("boolean"))
+    return by.where(whole).drop("_b", "_t")

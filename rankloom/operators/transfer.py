@@ -70,6 +70,36 @@ def relations(pairs: DataFrame, queries: DataFrame, products: DataFrame, anchors
     return rows.select("query_id", "product_id", *[v.alias(k) for k, v in cols.items()])
 
 
+def query_context(rows: DataFrame, queries: DataFrame, anchors: DataFrame) -> DataFrame:
+    """time_block, query_id, query, query_category, intent, anchor: the context in which each (time_block, query_id) of `rows` is
+    scored. What the rows say themselves (query_text, query_category, query_intent, query_anchor_product_id; the smallest
+    value where they differ) goes before the query table (query, category, intent) and `anchors` (query_id, product_id), and these
+    before 'unknown' and 'generic'. Without any anchor it is the row of the greatest retrieval_score, or of the greatest
+    bm25_score + dense_score where rows carry none, ties to the smaller id. A query without a text fails the job."""
+    has = set(rows.columns)
+    own = lambda c: F.min(c) if c in has else F.lit(None).cast("string")
+    number = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(0.0)) if c in has else F.lit(0.0)
+    fused = number("retrieval_score") if "retrieval_score" in has else number("bm25_score") + number("dense_score")
+    by = rows.groupBy("time_block", "query_id").agg(
+        own("query_text").alias("_text"), own("query_category").alias("_category"), own("query_intent").alias("_intent"), own("query_anchor_product_id").cast("long").alias("_anchor"),
+        F.max_by("product_id", F.struct(fused, -F.col("product_id"))).alias("_best"))
+    known = by.join(queries.select("query_id", "query", "category", "intent"), "query_id", "left").join(anchors.select("query_id", F.col("product_id").alias("_given")), "query_id", "left")
+    text = F.coalesce("_text", "query", F.lit(""))
+    checked = F.when(text == "", F.raise_error(F.concat(F.lit("no text of query "), F.col("query_id").cast("string"))).cast("string")).otherwise(text)
+    return known.select(
+        "time_block", "query_id", checked.alias("query"), F.coalesce("_category", "category", F.lit("unknown")).alias("query_category"), F.coalesce("_intent", "intent", F.lit("generic")).alias("intent"),
+        F.coalesce("_anchor", "_given", "_best").alias("anchor"))
+
+
+def checked_blocks(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """`rows`, if every time_block they ask for is one of `reference`; an error that names those which are not, if not."""
+    lost = rows.select("time_block").distinct().join(reference.select("time_block").distinct(), "time_block", "left_anti")
+    # Blocks are few; ten are enough to name.
+    if gone := [r.time_block for r in lost.orderBy("time_block").limit(10).collect()]:
+        raise ValueError(f"the behaviour reference has no rows of the blocks {gone}")
+    return rows
+
+
 def transfer(targets: DataFrame, related: DataFrame, graph: DataFrame, state: DataFrame, priors: DataFrame, products: DataFrame, n: int = 8, min_support: int = 2) -> DataFrame:
     """Per target (query_id, product_id) the lent rates. `related` has p_* of targets and of their neighbours, `state`
     the counts and rates of products at the block (one row a product), `priors` the rates by category with the global

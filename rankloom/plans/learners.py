@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators import behavior, contracts, heads, lambda_trees, latent, learned, metrics, panel, retrieval
+from rankloom.operators import behavior, contracts, heads, lambda_trees, latent, learned, metrics, panel, retrieval, transfer
 from rankloom.plans.audits import _WEIGHT
 from rankloom.plans.models import BEHAVIOR, judged_features
-from rankloom.plans.registry import _BLOCKS_SQL, BLOCK, rounded
+from rankloom.plans.registry import _BLOCKS_SQL, BLOCK, BLOCKS, rounded
 from rankloom.sources.folders import shared_folder, stored
 from rankloom.sources.views import view, with_views
 from rankloom.streaming import velocity
@@ -81,6 +81,21 @@ def future_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(learned.future_audit(learned.Calibrated.load(spark, folder), of("future"), view(spark, sf_dir, "v_relevance"), "clicked", "smoothed_ctr"))
 
 
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context of each logged query of a block: some rows carry their own category, some queries an anchor."""
+    rows = view(spark, sf_dir, "v_interactions").select(
+        "time_block", "query_id", "product_id", F.when(F.col("query_id") % 7 == 0, F.concat(F.lit("own "), F.col("query_id").cast("string"))).alias("query_category"), (F.col("event_seq") % 1000).alias("retrieval_score"))
+    queries = view(spark, sf_dir, "v_queries")
+    anchors = queries.where("query_id % 3 = 0").select("query_id", F.col("target_product_id").alias("product_id"))
+    reference = behavior.reference(view(spark, sf_dir, "v_interactions"), view(spark, sf_dir, "v_products"), BLOCKS)
+    return rounded(transfer.query_context(transfer.checked_blocks(rows, reference), queries, anchors))
+
+
+def dynamic_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = view(spark, sf_dir, "v_daily").groupBy("seed", "action", "policy").agg(F.avg("utility").alias("utility"), F.count("*").alias("rows"), F.max("utility").alias("most"))
+    return rounded(panel.summary_deltas(by, ["seed", "action"], ["utility", "rows", "most"]), 9)
+
+
 def seed_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel.block_contrasts(view(spark, sf_dir, "v_daily"), "view").withColumns({c: F.round(c, 9) for c in ("d", "delta")})
     return rounded(heads.group_interval(rows, "seed", ["d", "delta"], DRAWS))
@@ -94,14 +109,21 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "f7_f8_latent_lists": latent_lists,
+    "h13_h14_query_context": contexts,
     "i1_lambda_trees": boosted_ranker,
     "i7_action_heads": action_heads,
     "k14_future_block": future_block,
     "o20_seed_intervals": seed_intervals,
+    "o21_dynamic_deltas": dynamic_deltas,
     "s2_s3_event_velocity": event_stream,
 }
 
 ORACLE_SQL = {
+    "h13_h14_query_context": with_views("""with b as (select time_block, query_id, product_id, row_number() over (partition by time_block, query_id order by event_seq%1000 desc, product_id) as n from v_interactions)
+ select cast(b.time_block as bigint) as time_block, b.query_id, q.query, case when b.query_id%7=0 then 'own '||b.query_id else q.category end as query_category, q.intent, case when b.query_id%3=0 then q.target_product_id else b.product_id end as anchor
+ from b join v_queries q on q.query_id=b.query_id where n=1""", "v_interactions", "v_queries"),
+    "o21_dynamic_deltas": with_views("""with s as (select seed, action, policy, avg(utility) as u, count(*) as n, max(utility) as m from v_daily group by 1,2,3)
+ select a.seed, a.action, round(round(b.u-a.u,12),9)+0e0 as delta_utility, b.n-a.n as delta_rows, round(round(b.m-a.m,12),9)+0e0 as delta_most from s a join s b on a.seed=b.seed and a.action=b.action and a.policy='base' and b.policy='treatment'""", "v_daily"),
     "o20_seed_intervals": with_views(_BLOCKS_SQL + f""", con as (select a.seed, round(a.delta-b.delta,9) as d, round(a.delta,9) as delta
   from block a join block b on a.seed=b.seed and a.proposal_index=b.proposal_index and a.scenario=b.scenario and a.replication=b.replication and b.action='view' where a.action<>'view'),
  per as (select seed, 'd' as measure, avg(d) as x from con group by 1 union all select seed, 'delta', avg(delta) from con group by 1),
