@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import contamination, line_index, passage_classifier, simhash, token_ids
-from rankloom.llm.common import table, written
+from rankloom.llm.common import join_rows, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words in a shingle of the near-duplicate stage.
@@ -29,19 +29,28 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with `_row`, a number of each row, written: rows are told apart by it where doc_ids repeat or lack."""
+    return written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered-documents")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (shingle similarity >= 4/5, chained) the document of the smallest doc_id; rows
-    without a doc_id stay."""
-    groups = simhash.similar(docs, SHINGLE)
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near-duplicates (shingle similarity >= 4/5, chained) the row of the smallest doc_id; of rows that share
+    it one, and rows without a doc_id only in groups of no other."""
+    rows = numbered(docs)
+    groups = simhash.similar(rows.select(F.col("_row").alias("doc_id"), "text"), SHINGLE)
+    placed = rows.select("_row", "doc_id").join(groups.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("x")
+    several = placed.groupBy("component_id").agg(F.count("*").alias("n"), first).where("n > 1").select("component_id", "n", F.col("x._row").alias("stays"))
+    others = join_rows(placed.select("_row", "component_id"), written(several, "near-duplicate-groups"), "component_id").where("_row <> stays").select("_row")
+    return rows.join(others, "_row", "left_anti").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = contamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows without a passage of the benchmark; another row of the same doc_id, or a lacking one, changes nothing."""
+    rows = numbered(docs)
+    found = contamination.contamination(rows, table(spark, sf_dir, "benchmark"), key="_row")
+    return rows.join(found.where("n_hit > 0").select("_row"), "_row", "left_anti").select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
