@@ -49,3 +49,15 @@ def test_stages_against_brute_force(spark, tmp_path):
     for _, stage in cp.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == cp.COLUMNS
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_rows_that_share_or_lack_a_doc_id(spark, tmp_path):
+    rng = random.Random(3)
+    line = lambda n: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))
+    bench, near, other = line(12), line(60), line(60)
+    spark.createDataFrame([(0, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(1, f"{line(5)} {bench}"), (1, line(30)), (None, f"{bench} {line(3)}"), (None, line(30)), (2, near), (2, other), (None, near), (7, near + " more"), (None, other), (2, other), (None, "lone twin words here"), (None, "lone twin words here")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda stage: sorted(((r.doc_id, r.text) for r in stage(spark, docs, str(tmp_path)).collect()), key=str)
+    assert left(cp.decontamination_stage) == sorted((x for i, x in enumerate(texts) if i not in (0, 2)), key=str)
+    assert left(cp.near_duplicate_stage) == sorted((x for i, x in enumerate(texts) if i not in (6, 7, 8, 9, 11)), key=str)
