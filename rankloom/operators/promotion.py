@@ -108,3 +108,20 @@ def order_agreement(rows: DataFrame, stored: str, score: str) -> DataFrame:
     per = out.groupBy("query_id").agg(*[F.every(k).alias(k) for k in ways])
     once = per.agg(F.count("*").alias("queries"), *[F.count_if(k).alias(k) for k in ways])
     return once.select(F.inline(F.array(*[F.struct(F.lit(k).alias("strategy"), F.col("queries"), F.col(k).alias("agreeing")) for k in ways])))
+
+
+def rank_diagnosis(rows: DataFrame, rank: str, score: str, at: tuple[int, ...] = (1, 2, 3, 5, 10), keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Per list what its stored ranks are worth: n, duplicates (rows beyond the first of a rank or a product), gaps (ranks from 1 to
+    the greatest that no row has), permutation (each of 1 to n once), monotone (no score is above the one before it by rank; a
+    missing or NaN score breaks it), the scores at the ranks in `at` (null where the list is shorter) and top_gap, the first
+    less the second. Rows without a rank count in n and break the permutation."""
+    value = F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double"))
+    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(rank), "product_id"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(rank), "product_id"))
+    own = rows.select(*keys, "product_id", F.col(rank).alias("_r"), value.alias("_v"), F.when(place > 1, F.coalesce(value <= before, F.lit(False))).otherwise(value.isNotNull()).alias("_falls"))
+    n, distinct = F.count("*"), F.count_distinct("_r")
+    scores = [F.max(F.when(F.col("_r") == r, F.col("_v"))) for r in at]
+    out = own.groupBy(*keys).agg(
+        n.alias("n"), (F.count("_r") - distinct).alias("duplicate_ranks"), (n - F.count_distinct("product_id")).alias("duplicate_products"), F.greatest(F.coalesce(F.max("_r"), F.lit(0)) - F.count_distinct(F.when(F.col("_r") >= 1, F.col("_r"))), F.lit(0)).alias("gaps"),
+        F.coalesce((distinct == n) & (F.min("_r") == 1) & (F.max("_r") == n), F.lit(False)).alias("permutation"), F.every("_falls").alias("monotone"), *[s.alias(f"score_at_{r}") for r, s in zip(at, scores, strict=True)])
+    return out.withColumn("top_gap", F.col(f"score_at_{at[0]}") - F.col(f"score_at_{at[1]}"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators import gates, metrics, panel, release
+from rankloom.operators import gates, metrics, panel, promotion, release
 from rankloom.plans.audits import _WEIGHT
 from rankloom.plans.policy import _ALL, _PROMOTED, BOOSTS, promoted
 from rankloom.plans.registry import rounded
@@ -70,10 +70,18 @@ def bundle_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("table", "contract", "column", "n", F.array_join("examples", ",").alias("examples"))
 
 
+def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final list of each query by its final rank, and the same ranks held against the base scores."""
+    rows = stored(final_rows(spark, sf_dir), "final-rows")
+    of = lambda score: promotion.rank_diagnosis(rows, "final_rank", score).withColumn("by", F.lit(score))
+    return rounded(of("final_score").unionByName(of("base_score")), 9)
+
+
 QUERIES = {
     "a2_bundle_violations": bundle_violations,
     "k13_ranking_report": lambda s, d: rounded(report(s, d), 9),
     "n1_named_gates": named_gates,
+    "w12_w13_rank_diagnosis": diagnosis,
 }
 
 
@@ -146,8 +154,19 @@ _BUNDLE_SQL = f"""select 'products' as "table", 'bounded' as contract, 'price' a
  union all select 'relevance', 'allowed', 'relation', count(*), '' from v_relevance where (query_id+product_id)%503=1
  union all select 'interactions', 'funnel', 'purchased', count(*), '' from v_interactions where event_seq%211=3 and purchased=1 union all {_KEYS_SQL}"""
 
+
+
+def _diagnosis(score: str) -> str:
+    at = ", ".join(f"round(round(max(case when r={k} then {score} end),12),9) as score_at_{k}" for k in (1, 2, 3, 5, 10))
+    return f"""l_{score} as (select *, coalesce({score}<=lag({score}) over (partition by query_id order by r, product_id), true) as falls from fr),
+ d_{score} as (select query_id, '{score}' as by, count(*) as n, count(r)-count(distinct r) as duplicate_ranks, count(*)-count(distinct product_id) as duplicate_products, max(r)-count(distinct r) as gaps,
+  count(distinct r)=count(*) and min(r)=1 and max(r)=count(*) as permutation, bool_and(falls) as monotone, {at}, round(round(max(case when r=1 then {score} end)-max(case when r=2 then {score} end),12),9)+0e0 as top_gap from l_{score} group by 1)"""
+
+
 ORACLE_SQL = {
     "a2_bundle_violations": with_views(f"select * from ({_BUNDLE_SQL}) b where n>0", "v_products", "v_queries", "v_relevance", "v_interactions"),
     "k13_ranking_report": with_views(_REPORT_SQL + " select metric, round(round(value,12),9)+0e0 as value from report", *_ALL),
+    "w12_w13_rank_diagnosis": with_views(_PROMOTED + f""", fr as (select *, final_rank as r from promoted where max_boost={BOOSTS[-1]!r}::double), {_diagnosis("final_score")}, {_diagnosis("base_score")}
+ select * from d_final_score union all select * from d_base_score""", *_ALL[:3]),
     "n1_named_gates": with_views(_GATES_SQL, *_ALL, "v_ope", "v_daily", "v_calibration"),
 }

@@ -104,3 +104,14 @@ def test_all_bad_nan_missing_and_options(spark):
     assert run(spark, GOOD | {"effective_sample_size": 50.0}, thresholds={"min_ope_ess": 10.0})[1] == {"LAUNCH"}
     with pytest.raises(ValueError, match="no such thresholds"):
         release.evaluate(spark.createDataFrame([("dr", 0.1)], "metric string, value double"), {"min_nothing": 1.0})
+
+
+def test_rank_diagnosis(spark):
+    from rankloom.operators.promotion import rank_diagnosis
+
+    rows = [(1, 10, 1, 0.9), (1, 11, 2, 0.5), (1, 12, 3, 0.5), (2, 10, 1, 0.2), (2, 11, 1, 0.1), (2, 11, 4, 0.3), (3, 10, None, 0.2), (3, 11, 1, math.nan), (4, 10, 2, 0.1), (4, 11, 3, 0.1)]
+    df = spark.createDataFrame(rows, "query_id long, product_id long, rank int, score double")
+    got = {r.query_id: r for r in rank_diagnosis(df, "rank", "score").collect()}
+    flat = {q: (r.n, r.duplicate_ranks, r.duplicate_products, r.gaps, r.permutation, r.monotone, r.score_at_1, r.score_at_3) for q, r in got.items()}
+    assert flat == {1: (3, 0, 0, 0, True, True, 0.9, 0.5), 2: (3, 1, 1, 2, False, False, 0.2, None), 3: (2, 0, 0, 0, False, False, None, None), 4: (2, 0, 0, 1, False, True, None, 0.1)}
+    assert got[1].top_gap == pytest.approx(0.4) and got[3].top_gap is None
