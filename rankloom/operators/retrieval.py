@@ -133,3 +133,17 @@ def answers(queries: DataFrame, sources: list[tuple[str, DataFrame, int]], k: in
     reasons = F.create_map(*[x for i in range(len(sources)) for x in (F.lit(i), F.lit(",".join(f"no_{n}" for n, *_ in sources[:i])))])
     found = rows.join(first, ["query_id", "at"]).join(queries.select("query_id").distinct(), "query_id", "left_semi")
     return found.where(F.col("rank") <= k).select("query_id", "product_id", "rank", "source", F.element_at(reasons, F.col("at")).alias("reason"))
+
+
+def snapshot(fused: DataFrame, products: DataFrame, queries: DataFrame, state: DataFrame, judged: DataFrame) -> DataFrame:
+    """The candidates of a cutoff with all that a ranker reads: the fused scores, the product's columns with price_log, the query's
+    text, intent and category, its behaviour at the cutoff (0 where a product has none) and the judgment (nulls where
+    there is none, with `judged`). One row a candidate: products, queries, state and judgments have a key once."""
+    known = products.select("product_id", "title", "brand", "category", "attribute", "model", "launch_block", "quality", "price", F.log1p(F.greatest("price", F.lit(0.0))).alias("price_log"))
+    asked = queries.select("query_id", "query", F.col("intent").alias("query_intent"), F.col("category").alias("query_category"))
+    seen = state.select("product_id", "prior_impressions", "prior_clicks", "prior_purchases", "smoothed_ctr", "smoothed_purchase_rate", "zero_history", "sparse_history")
+    grades = judged.select("query_id", "product_id", "relevance", "relation", F.lit(1).alias("judged"))
+    rows = fused.join(known, "product_id").join(asked, "query_id").join(seen, "product_id", "left").join(grades, ["query_id", "product_id"], "left")
+    rows = rows.na.fill(0, ["prior_impressions", "prior_clicks", "prior_purchases", "judged"])
+    # A product that the log never showed has the smoothed rates of no event at all.
+    return rows.withColumns({"smoothed_ctr": F.coalesce("smoothed_ctr", F.lit(0.2)), "smoothed_purchase_rate": F.coalesce("smoothed_purchase_rate", F.lit(0.0625)), "zero_history": F.coalesce("zero_history", F.lit(1)), "sparse_history": F.coalesce("sparse_history", F.lit(1))})

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators import gates, metrics, panel, promotion, release
+from rankloom.operators import behavior, gates, metrics, panel, promotion, release, retrieval
 from rankloom.plans.audits import _WEIGHT
-from rankloom.plans.policy import _ALL, _PROMOTED, BOOSTS, promoted
-from rankloom.plans.registry import rounded
+from rankloom.plans.policy import _ALL, _HYBRID, _PROMOTED, BOOSTS, catalog, hybrid, promoted
+from rankloom.plans.registry import _REFERENCE, BLOCK, BLOCKS, rounded
 from rankloom.sources import bundle
 from rankloom.sources.folders import shared_folder, stored
 from rankloom.sources.views import view, with_views
@@ -70,6 +70,13 @@ def bundle_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("table", "contract", "column", "n", F.array_join("examples", ",").alias("examples"))
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log, products = view(spark, sf_dir, "v_interactions"), catalog(spark, sf_dir)
+    state = behavior.reference(log, view(spark, sf_dir, "v_products"), BLOCKS).where(F.col("time_block") == BLOCK)
+    rows = retrieval.snapshot(hybrid(spark, sf_dir), products, view(spark, sf_dir, "v_queries"), state, view(spark, sf_dir, "v_relevance"))
+    return rounded(rows.drop("title", "query", "price"), 9)
+
+
 def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The final list of each query by its final rank, and the same ranks held against the base scores."""
     rows = stored(final_rows(spark, sf_dir), "final-rows")
@@ -79,6 +86,7 @@ def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "a2_bundle_violations": bundle_violations,
+    "e11_f17_candidate_snapshot": candidates,
     "k13_ranking_report": lambda s, d: rounded(report(s, d), 9),
     "n1_named_gates": named_gates,
     "w12_w13_rank_diagnosis": diagnosis,
@@ -165,6 +173,11 @@ def _diagnosis(score: str) -> str:
 
 ORACLE_SQL = {
     "a2_bundle_violations": with_views(f"select * from ({_BUNDLE_SQL}) b where n>0", "v_products", "v_queries", "v_relevance", "v_interactions"),
+    "e11_f17_candidate_snapshot": with_views("with " + _HYBRID.strip() + ", " + _REFERENCE.strip()[5:] + """, st as (select * from ref where time_block=4)
+ select f.query_id, f.product_id, round(bm25_score,9) as bm25_score, round(dense_score,9) as dense_score, round(retrieval_score,9) as retrieval_score, candidate_source, p.brand, p.category, p.attribute, p.model, cast(p.launch_block as bigint) as launch_block,
+ round(p.quality,9) as quality, round(round(ln(1+greatest(p.price,0)),12),9) as price_log, q.intent as query_intent, q.category as query_category, cast(i as bigint) as prior_impressions, cast(c as bigint) as prior_clicks, cast(s.p as bigint) as prior_purchases,
+ round((c+1)/(i+5e0),9) as smoothed_ctr, round((s.p+0.5e0)/(i+8e0),9) as smoothed_purchase_rate, cast(c+s.p=0 as bigint) as zero_history, cast(c+s.p<=2 as bigint) as sparse_history, cast(v.relevance as bigint) as relevance, v.relation, cast(v.product_id is not null as bigint) as judged
+ from fused f join v_products p on p.product_id=f.product_id join v_queries q on q.query_id=f.query_id join st s on s.product_id=f.product_id left join v_relevance v on v.query_id=f.query_id and v.product_id=f.product_id""", *_ALL),
     "k13_ranking_report": with_views(_REPORT_SQL + " select metric, round(round(value,12),9)+0e0 as value from report", *_ALL),
     "w12_w13_rank_diagnosis": with_views(_PROMOTED + f""", fr as (select *, final_rank as r from promoted where max_boost={BOOSTS[-1]!r}::double), {_diagnosis("final_score")}, {_diagnosis("base_score")}
  select * from d_final_score union all select * from d_base_score""", *_ALL[:3]),

@@ -32,3 +32,16 @@ def test_summary_deltas(spark):
     for bad in ([(3, "base", 1.0)], [(3, "base", 1.0), (3, "base", 1.0), (3, "treatment", 1.0)]):
         with pytest.raises(Exception, match="not one row of each policy: 3"):
             panel.summary_deltas(df.unionByName(spark.createDataFrame(bad, df.schema)), ["seed"], ["m"]).collect()
+
+
+def test_a_candidate_without_history_or_judgment_keeps_its_row(spark):
+    from rankloom.operators import retrieval
+
+    fused = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.4)], "query_id long, product_id long, retrieval_score double")
+    products = spark.createDataFrame([(i, "t", "b", "c", "a", "m", 0, 0.5, -1.0) for i in (10, 11)], "product_id long, title string, brand string, category string, attribute string, model string, launch_block int, quality double, price double")
+    queries = spark.createDataFrame([(1, "q", "generic", "c")], "query_id long, query string, intent string, category string")
+    state = spark.createDataFrame([(10, 4, 2, 1, 0.3, 0.1, 0, 0)], "product_id long, prior_impressions long, prior_clicks long, prior_purchases long, smoothed_ctr double, smoothed_purchase_rate double, zero_history int, sparse_history int")
+    judged = spark.createDataFrame([(1, 11, 2, "substitute")], "query_id long, product_id long, relevance int, relation string")
+    got = {r.product_id: r for r in retrieval.snapshot(fused, products, queries, state, judged).collect()}
+    assert (got[10].prior_clicks, got[10].smoothed_ctr, got[10].zero_history, got[10].judged, got[10].relevance, got[10].price_log) == (2, 0.3, 0, 0, None, 0)
+    assert (got[11].prior_clicks, got[11].smoothed_ctr, got[11].smoothed_purchase_rate, got[11].zero_history, got[11].judged, got[11].relevance) == (0, 1 / 5, 0.5 / 8, 1, 1, 2)
