@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from rankloom.llm.common import LOWER_BYTES, join_rows, map_batches, table, text_bytes, written
 
@@ -252,8 +253,17 @@ def repeats(docs: DataFrame, least: int = LEAST, spread: int = SPREAD, text: str
     them, or the largest where that is the row's own), and spans (array of first word, number of words, in order).
 
     Null, empty and short texts have no passages; rows without a doc_id are left out; repeats within one doc_id
-    alone don't count; rows that share a doc_id give a row each. Other columns are left out.
+    alone don't count; rows that share a doc_id give a row each. Other columns are left out. A doc_id that isn't a whole
+    number may be of any type that has an order.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        # Numbers in the order of the ids take their place, and are put back.
+        order = docs.select("doc_id").where("doc_id is not null").distinct().orderBy("doc_id")
+        ids = written(order.withColumn("_id", F.monotonically_increasing_id()), "ordered-ids")
+        found = repeats(docs.select("doc_id", text).join(ids, "doc_id").select(F.col("_id").alias("doc_id"), text), least, spread, text)
+        named = lambda c: ids.select(F.col("_id").alias(c), F.col("doc_id").alias(f"_{c}"))
+        both = found.join(named("doc_id"), "doc_id").join(named("other_doc_id"), "other_doc_id")
+        return both.select(F.col("_doc_id").alias("doc_id"), "n_words", "n_repeated", F.col("_other_doc_id").alias("other_doc_id"), "spans")
     kept = written(suffixes(docs, least, spread, text), "suffixes")
     shared = kept.groupBy("core").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n")).where("a < z").select("core", "n")
     # Only suffixes whose core two documents have go on.

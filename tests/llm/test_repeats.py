@@ -71,3 +71,14 @@ def test_neighbours_leave_windows_open(spark):
 
     want = {r[1]: m for r in rows if (m := sum(1 << i for i in range(17) if any(shared(r, t, i) for t in rows if t is not r)))}
     assert {r.around: r.mask for r in rp.shared_windows(df, 16).collect()} == want
+
+
+def test_ids_of_another_type(spark):
+    rng = random.Random(12)
+    line = lambda n: " ".join(f"w{rng.randint(0, 9000)}" for _ in range(n))
+    shared = line(60)
+    rows = [("b", f"{line(5)} {shared}"), ("a10", f"{shared} {line(4)}"), ("a9", line(80)), (None, shared), ("c", None), ("zz", f"{line(3)} {shared} {line(70)}")]
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id string, text string, n_words int")
+    got = {r.doc_id: (r.n_words, r.n_repeated, r.other_doc_id, [tuple(s) for s in r.spans]) for r in rp.repeats(docs).collect()}
+    assert {d: x[:2] for d, x in got.items()} == {"b": (65, 60), "a10": (64, 60), "zz": (133, 60)}
+    assert got["b"][2] == "a10" and got["a10"][2] in ("b", "zz") and got["zz"][3] == [(3, 60)]
