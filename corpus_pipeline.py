@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import contamination, line_index, passage_classifier, simhash, token_ids
-from rankloom.llm.common import join_rows, table, written
+from rankloom.llm.common import batch_rows, join_rows, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Words in a shingle of the near-duplicate stage.
-SHINGLE = 5
+#: Words in a shingle of the near-duplicate stage, and texts in an Arrow batch of the decontamination.
+SHINGLE, TEXT_ROWS = 5, 2000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a passage of the benchmark; another row of the same doc_id, or a lacking one, changes nothing."""
     rows = numbered(docs)
-    found = contamination.contamination(rows, table(spark, sf_dir, "benchmark"), key="_row")
-    return rows.join(found.where("n_hit > 0").select("_row"), "_row", "left_anti").select(*COLUMNS)
+    with batch_rows(spark, TEXT_ROWS):
+        found = contamination.contamination(rows, table(spark, sf_dir, "benchmark"), key="_row")
+        hit = written(found.where("n_hit > 0").select("_row"), "contaminated-rows")
+    return rows.join(hit, "_row", "left_anti").select(*COLUMNS)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
