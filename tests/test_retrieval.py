@@ -70,6 +70,25 @@ def test_edges_have_every_nearest_product_of_the_category(spark):
     assert got == want
 
 
+def test_edges_compare_sets_of_words_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    titles = ["red ring", "ring red red", "Ring RED", "blue ring", "blue bolt", "", "x"]
+    rows = [(i, titles[rng.integers(0, len(titles))], f"c{i % 2}") for i in range(200)] + [(900, None, "c0"), (901, "red ring", None)]
+    products = spark.createDataFrame(rows, "product_id long, title string, category string")
+    sets = {i: set(t.lower().split()) for i, t, c in rows if t is not None and c is not None}
+    kind = {i: c for i, _, c in rows}
+    cos = lambda i, j: round(len(sets[i] & sets[j]) / np.sqrt(len(sets[i]) * len(sets[j])) if sets[i] and sets[j] else 0.0, 9)
+    want = {(i, j): cos(i, j) for i in sets for j in sorted((j for j in sets if j != i and kind[j] == kind[i]), key=lambda j: (-cos(i, j), j))[:4]}
+    compared, plain = [], vectors.nearest
+    monkeypatch.setattr(vectors, "nearest", lambda q, v, *a, **k: compared.append((q.count(), v.count())) or plain(q, v, *a, **k))
+    of = lambda df: {(r.product_id, r.neighbor_product_id): r.similarity for r in df.collect()}
+    assert of(transfer.edges(products, 4, ["category"])) == want
+    # Five sets of words in each of two categories, whatever the number of products.
+    assert compared == [(10, 10)]
+    some = products.where("product_id % 7 = 0").select("product_id")
+    assert of(transfer.edges(products, 4, ["category"], some)) == {k: v for k, v in want.items() if k[0] % 7 == 0}
+
+
 @pytest.mark.parametrize(("bits", "cosine"), [(4, 0.3), (6, 0.3)])
 def test_hash_tables_find_nine_of_ten(spark, bits, cosine):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
