@@ -9,33 +9,28 @@ from pyspark.sql import functions as F
 from rankloom.operators import behavior, contracts, gates, metrics, panel, retrieval
 from rankloom.operators.metrics import poisson_steps
 from rankloom.plans import policy
-from rankloom.plans.registry import _BM25, _TOP, lexical, rounded
+from rankloom.plans.registry import _BM25, _TOP, lexical, rounded, shelves, words
 from rankloom.plans.reports import _BLENDED, _ndcg_sql, reranked
 from rankloom.sources import adapters
 from rankloom.sources.folders import stored
-from rankloom.sources.views import view, with_views
+from rankloom.sources.views import judgments, view, with_views
 
 SCOPES, DRAWS, CUTOFF, VALUE, ASKED = [1, 2, 3, 4, 5], 200, 5, 0.01275, 10
 LIMITS = {"delta": (">=", -0.001), "boosts": (">=", 1.0)}
 MEASURES = {"total": 1, "events": 1, "least": 1, "users": -1, "most": -1}
 
 
-def block_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Lexical and dense scores of every query in every block, with the statistics of the block's own catalog."""
-    products, queries = view(spark, sf_dir, "v_products"), view(spark, sf_dir, "v_queries")
-    members = retrieval.members_by_block(products, SCOPES)
-    words = retrieval.bm25(queries, products, members).withColumn("bm25_score", F.round("bm25_score", 9))
-    return words, retrieval.tfidf(queries, products, members).withColumn("dense_score", F.round("dense_score", 9))
-
-
 def block_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words, _ = block_scores(spark, sf_dir)
-    return rounded(retrieval.top(words, "bm25_score", 5, ["scope", "query_id"]).select("scope", "query_id", "product_id", "bm25_score", "rank"))
+    """The lexical lists of every query in every block, with the statistics of the block's own catalog."""
+    groups, heads = shelves(spark, sf_dir, SCOPES, 5)
+    found = retrieval.best(words(view(spark, sf_dir, "v_queries"), groups), "bm25_score", groups, heads, 5)
+    return rounded(found.select("scope", "query_id", "product_id", "bm25_score", "rank"))
 
 
 def block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["scope", "query_id"]
-    both = retrieval.fused(*block_scores(spark, sf_dir), keys, 50).withColumn("retrieval_score", F.round("retrieval_score", 9))
+    keys, queries = ["scope", "query_id"], view(spark, sf_dir, "v_queries")
+    groups, heads = shelves(spark, sf_dir, SCOPES)
+    both = retrieval.fused(words(queries, groups), policy.dense(queries, groups), groups, heads, 50).withColumn("retrieval_score", F.round("retrieval_score", 9))
     return rounded(retrieval.top(both, "retrieval_score", 1, keys).select(*keys, "product_id"))
 
 
@@ -46,12 +41,15 @@ def with_history(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFra
 
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = lambda df: with_history(spark, sf_dir, df).withColumn("cold", F.col("zero_history") == 1)
-    return rounded(metrics.paired_report(rank(lexical(spark, sf_dir)), rank(reranked(spark, sf_dir)), view(spark, sf_dir, "v_relevance"), 10, "cold"))
+    ranked = lexical(spark, sf_dir)
+    before, after = stored(rank(ranked), "before"), stored(rank(reranked(spark, sf_dir, ranked)), "after")
+    return rounded(metrics.paired_report(before, after, stored(judgments(spark, sf_dir, ranked), "judged"), 10, "cold"))
 
 
 def delta_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = view(spark, sf_dir, "v_relevance")
-    a, b = metrics.ndcg(lexical(spark, sf_dir), judged, 10), metrics.ndcg(reranked(spark, sf_dir), judged, 10).withColumnRenamed("ndcg", "other")
+    ranked = lexical(spark, sf_dir)
+    judged = judgments(spark, sf_dir, ranked)
+    a, b = metrics.ndcg(ranked, judged, 10), metrics.ndcg(reranked(spark, sf_dir, ranked), judged, 10).withColumnRenamed("ndcg", "other")
     return rounded(metrics.bootstrap_mean(a.join(b, "query_id").select("query_id", (F.col("other") - F.col("ndcg")).alias("delta")), "delta", "query_id", DRAWS))
 
 
@@ -76,12 +74,18 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expected_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lexical(spark, sf_dir).join(view(spark, sf_dir, "v_products").select("product_id", "quality", "launch_block"), "product_id")
-    rows = rows.join(view(spark, sf_dir, "v_relevance").select("query_id", "product_id", "relevance"), ["query_id", "product_id"])
+    ranked = lexical(spark, sf_dir)
+    rows = ranked.join(view(spark, sf_dir, "v_products").select("product_id", "quality", "launch_block"), "product_id")
+    rows = rows.join(judgments(spark, sf_dir, ranked).select("query_id", "product_id", "relevance"), ["query_id", "product_id"])
     chance = metrics.click_chance(F.col("relevance"), F.col("quality"), F.col("rank"), (F.col("launch_block") >= 3).cast("int"), 0.3)
     return rounded(rows.select("query_id", "product_id", chance.alias("chance")))
 
 
+def cold_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = lexical(spark, sf_dir)
+    return rounded(metrics.cold_exposure(with_history(spark, sf_dir, ranked), judgments(spark, sf_dir, ranked), 10))
+
+
 def safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = view(spark, sf_dir, "events").withColumn("seed", F.col("user_id") % 7)
     effects = events.groupBy("seed", F.col("event_type").alias("action")).agg(
@@ -116,7 +120,7 @@ QUERIES = {
     "f15_block_anchors": block_anchors,
     "f16_block_lexical": block_lexical,
     "f20_f21_answers": answered,
-    "k7_cold_exposure": lambda s, d: rounded(metrics.cold_exposure(with_history(s, d, lexical(s, d)), view(s, d, "v_relevance"), 10)),
+    "k7_cold_exposure": cold_shown,
     "k12_delta_interval": delta_interval,
     "k13_paired_report": paired,
     "k16_regression_scores": lambda s, d: rounded(metrics.regression_scores(view(s, d, "v_calibration"))),

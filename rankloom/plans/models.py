@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import behavior, contracts, learned, metrics, retrieval, sampling
 from rankloom.operators.transfer import relations
-from rankloom.plans.policy import anchors, catalog, hybrid
+from rankloom.plans.policy import anchors, hybrid, known
 from rankloom.plans.registry import rounded
 from rankloom.sources import adapters
 from rankloom.sources.folders import stored
-from rankloom.sources.views import view
+from rankloom.sources.views import judgments, view
 
 RELATION = ["p_irrelevant", "p_complement", "p_substitute", "p_exact"]
 BEHAVIOR = ["prior_impressions", "prior_clicks", "prior_purchases", "smoothed_ctr", "smoothed_purchase_rate", "first_observed_age", "zero_history", "sparse_history", "position"]
@@ -23,9 +23,9 @@ MOST = 200_000
 def judged_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """Features of the judged candidates, with relevance and whether the query is held out."""
     fused, queries = hybrid(spark, sf_dir), view(spark, sf_dir, "v_queries")
-    found = relations(fused.select("query_id", "product_id"), queries, catalog(spark, sf_dir), anchors(fused))
+    found = relations(fused.select("query_id", "product_id"), queries, known(spark, sf_dir, fused), anchors(fused))
     columns = [c for c in found.columns if c not in ("query_id", "product_id")]
-    out = found.join(view(spark, sf_dir, "v_relevance").select("query_id", "product_id", "relevance"), ["query_id", "product_id"]).join(fused.select("query_id", "product_id", "retrieval_score"), ["query_id", "product_id"])
+    out = found.join(judgments(spark, sf_dir, fused).select("query_id", "product_id", "relevance"), ["query_id", "product_id"]).join(fused.select("query_id", "product_id", "retrieval_score"), ["query_id", "product_id"])
     return stored(out.join(sampling.hold_out(queries.select("query_id"), "query_id", 0.25, 7), "query_id"), "judged"), columns
 
 

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import behavior, gates, metrics, panel, promotion, release, retrieval
 from rankloom.plans.audits import _WEIGHT
-from rankloom.plans.policy import _ALL, _HYBRID, _PROMOTED, BOOSTS, catalog, hybrid, promoted
-from rankloom.plans.registry import _REFERENCE, BLOCK, BLOCKS, rounded
+from rankloom.plans.policy import _ALL, _HYBRID, _PROMOTED, BOOSTS, hybrid, known, promoted
+from rankloom.plans.registry import _REFERENCE, BLOCK, rounded
 from rankloom.sources import bundle
 from rankloom.sources.folders import shared_folder, stored
-from rankloom.sources.views import view, with_views
+from rankloom.sources.views import judgments, view, with_views
 
 DRAWS, K, CLIP = 100, 10, 1.5
 #: Thresholds that the given tables can be held to; all others are the defaults.
@@ -20,8 +20,8 @@ OWN = {"min_ope_ess": 100.0, "min_judgment_coverage_at_10": 0.5, "max_future_beh
 
 def final_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranking of the largest swept boost with its judgments."""
-    rows = promoted(spark, sf_dir).where(F.col("max_boost") == BOOSTS[-1])
-    judged = view(spark, sf_dir, "v_relevance").select("query_id", "product_id", "relevance", "relation")
+    rows = stored(promoted(spark, sf_dir).where(F.col("max_boost") == BOOSTS[-1]), "promoted")
+    judged = judgments(spark, sf_dir, rows).select("query_id", "product_id", "relevance", "relation")
     return rows.join(judged, ["query_id", "product_id"], "left").withColumnRenamed("dense_score", "semantic_score")
 
 
@@ -71,9 +71,12 @@ def bundle_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log, products = view(spark, sf_dir, "v_interactions"), catalog(spark, sf_dir)
-    state = behavior.reference(log, view(spark, sf_dir, "v_products"), BLOCKS).where(F.col("time_block") == BLOCK)
-    rows = retrieval.snapshot(hybrid(spark, sf_dir), products, view(spark, sf_dir, "v_queries"), state, view(spark, sf_dir, "v_relevance"))
+    log, fused = view(spark, sf_dir, "v_interactions"), hybrid(spark, sf_dir)
+    products = known(spark, sf_dir, fused)
+    # The products of the candidates are enough for their history.
+    asked = fused.select("product_id").distinct()
+    state = behavior.reference(log.join(asked, "product_id", "left_semi"), products, BLOCK + 1).where(F.col("time_block") == BLOCK)
+    rows = retrieval.snapshot(fused, products, view(spark, sf_dir, "v_queries"), state, judgments(spark, sf_dir, fused))
     return rounded(rows.drop("title", "query", "price"), 9)
 
 
