@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.sources.folders import stored
+
 RANGES = 64
 
 
@@ -17,7 +19,8 @@ def quantiles(df: DataFrame, value: Column, shares: dict[str, float], keys: list
     sketch decides where the cuts are and never what comes out. No task holds a group."""
     keys = keys or []
     by = df.select(*keys, F.nanvl(value.cast("double"), F.lit(None).cast("double")).alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    cuts = by.groupBy(*keys).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"), F.sum("_n").alias("n"))
+    # A sketch of many values depends on the order in which its parts meet, and ranges are read twice: one run must settle them.
+    cuts = stored(by.groupBy(*keys).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"), F.sum("_n").alias("n")), "cuts")
     null_safe = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
 
     def joined(a: DataFrame, b: DataFrame, *take: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.sources.folders import stored
+
 
 def digest(*parts: Column) -> Column:
     """The first 32 bits of the md5 of the parts joined by ':'."""
@@ -18,7 +20,8 @@ def positions(df: DataFrame, first: Column, then: list[Column], keys: list[str]
     keys = keys or []
     rows = df.withColumn("_f", first)
     cuts = [i / parts for i in range(1, parts)]
-    edges = rows.groupBy(*keys).agg(F.percentile_approx("_f", cuts, 1000).alias("_cuts"))
+    # Ranges are read twice, and the sketch may come out otherwise each time: one run settles them.
+    edges = stored(rows.groupBy(*keys).agg(F.percentile_approx("_f", cuts, 1000).alias("_cuts")), "cuts")
     rows = rows.join(F.broadcast(edges) if not keys else edges, keys) if keys else rows.join(F.broadcast(edges))
     part = F.when(F.col("_f").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_f"))))
     rows = rows.withColumn("_part", part).drop("_cuts")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import metrics, quantiles
+from rankloom.operators import metrics, quantiles, sampling
 
 SHARES = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.95, "e": 1.0}
 
@@ -41,3 +41,19 @@ def test_reports(spark):
     assert (r.queries, r["mean"], r.p50, r.p95, r.fallbacks) == (101, 50.0, 50.0, 95.0, 26) and r.per_second == pytest.approx(1.01)
     none = metrics.serving_report(log.where("false")).first()
     assert (none.queries, none.p50, none.fallback_rate, none.per_second) == (0, None, None, None)
+
+
+def test_ranges_are_cut_once(spark, monkeypatch):
+    # A sketch that comes out otherwise at each evaluation, as those of large tables do when their parts meet in another order.
+    rows = spark.createDataFrame([("a" if i % 3 else "b", float(i * 37 % 1000)) for i in range(1000)], "g string, v double").repartition(4)
+    cut = F.udf(lambda most: sorted(random.SystemRandom().uniform(0, most) for _ in range(63)), "array<double>")
+    monkeypatch.setattr(F, "percentile_approx", lambda c, *a: cut(F.max(c).cast("double")))
+    for _ in range(3):
+        got = quantiles.quantiles(rows, F.col("v"), SHARES, ["g"]).collect()
+        for r in got:
+            own = [float(i * 37 % 1000) for i in range(1000) if ("a" if i % 3 else "b") == r.g]
+            assert all(r[name] == pytest.approx(np.quantile(own, q), abs=1e-12) for name, q in SHARES.items())
+    placed = sampling.positions(rows, F.col("v"), [F.col("g")])
+    assert sorted(r.position for r in placed.collect()) == list(range(1000))
+    scores = metrics.binary_scores(rows.select(F.col("v").alias("p"), (F.col("v") > 400).cast("int").alias("y")))
+    assert scores.first().auc == 1
