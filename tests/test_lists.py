@@ -7,8 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.operators import retrieval
-from rankloom.plans import registry
+from rankloom.operators import behavior, retrieval, transfer
+from rankloom.plans import policy, registry
 from rankloom.sources.views import judgments, view
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,41 @@ def plan(df):
 def test_no_join_pairs_all_queries_with_all_products(spark):
     text = plan(registry.flagship(spark, SF))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
+
+
+def test_members_with_titles_are_listed_without_the_catalog(spark):
+    products = spark.createDataFrame(PRODUCTS, "product_id long, title string, launch_block int")
+    joined = retrieval.by_title(products, retrieval.members_by_block(products, [0, 2]), 5)
+    alone = retrieval.by_title(products, retrieval.members_by_block(products, [0, 2], "title"), 5)
+    for a, b in zip(joined, alone, strict=True):
+        assert sorted(a.select(*b.columns).collect(), key=str) == sorted(b.collect(), key=str)
+        assert "Join" in plan(a) and "Join" not in plan(b)
+
+
+def test_catalogs_are_not_sent_whole(spark):
+    products = spark.createDataFrame([(*p, f"c{p[0] % 3}") for p in PRODUCTS], "product_id long, title string, launch_block int, category string")
+    groups, heads = retrieval.by_title(products, retrieval.members_by_block(products, [2], "title"), 60)
+    lists = retrieval.best(groups.select("scope", "title", F.lit(1).alias("query_id"), F.col("n").alias("s")), "s", groups, heads, 9)
+    ref = spark.createDataFrame([(i, 4, i % 5, 0.25, 0.5) for i in range(300)], "product_id long, time_block int, prior_impressions long, smoothed_ctr double, smoothed_purchase_rate double")
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 40))
+    try:
+        # Any join that may be a broadcast is one now.
+        by_title, priors = plan(lists), plan(behavior.category_priors(ref, products))
+        edges = plan(transfer.edges(products, 4, ["category"], products.where("product_id % 7 = 0")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert "SortMergeJoin [scope" in by_title and "SortMergeJoin [product_id" in priors and edges.count("SortMergeJoin [category") >= 2
+
+
+def test_state_of_a_block_is_that_of_the_reference(spark):
+    log, products = view(spark, SF, "v_interactions"), view(spark, SF, "v_products")
+    names = ["product_id", "prior_impressions", "prior_clicks", "prior_purchases", "smoothed_ctr", "smoothed_purchase_rate", "zero_history", "sparse_history"]
+    want = behavior.reference(log, products, 5).where("time_block = 4").select(*names)
+    got = behavior.snapshot(log, products.where("launch_block <= 4"), 4).select(*names)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 50
+
+
+def test_lent_rates_work_out_one_block(spark, monkeypatch):
+    monkeypatch.setattr(behavior, "reference", lambda *a: pytest.fail("every block was worked out"))
+    assert policy.lent(spark, SF, policy.hybrid(spark, SF)).count() > 50
