@@ -97,6 +97,12 @@ def test_catalogs_are_not_sent_whole(spark):
     assert "SortMergeJoin [scope" in by_title and "SortMergeJoin [product_id" in priors and edges.count("SortMergeJoin [category") >= 2
 
 
+def test_judgments_do_not_send_the_catalog(spark):
+    text = plan(judgments(spark, SF, spark.createDataFrame([(0, 1), (1, 7)], "query_id long, product_id long")))
+    # The asked products and the queries' own meet by a shuffle each.
+    assert "SortMergeJoin [target_product_id" in text and text.count("SortMergeJoin [product_id") >= 1
+
+
 def test_state_of_a_block_is_that_of_the_reference(spark):
     log, products = view(spark, SF, "v_interactions"), view(spark, SF, "v_products")
     names = ["product_id", "prior_impressions", "prior_clicks", "prior_purchases", "smoothed_ctr", "smoothed_purchase_rate", "zero_history", "sparse_history"]
