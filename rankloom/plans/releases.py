@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators import behavior, gates, metrics, panel, promotion, release, retrieval
+from rankloom.operators.quantiles import quantiles
 from rankloom.plans.audits import _WEIGHT
 from rankloom.plans.policy import _ALL, _HYBRID, _PROMOTED, BOOSTS, hybrid, known, promoted
 from rankloom.plans.registry import _REFERENCE, BLOCK, rounded
@@ -44,8 +45,9 @@ def other_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = view(spark, sf_dir, "v_calibration")
     later = metrics.binary_scores(scored).select(F.col("auc").alias("future_behavior_roc_auc"), F.col("brier").alias("future_behavior_brier"))
     ece = metrics.calibration_error(scored).select(F.col("ece").alias("future_behavior_ece"))
-    system = view(spark, sf_dir, "events").agg(F.percentile("value", F.lit(0.95)).alias("p95_latency_ms"), F.count_if(F.col("value").isNull()).alias("fallbacks"))
-    return gates.long_metrics(ope, estimate, days, shown, later, ece, system)
+    events = view(spark, sf_dir, "events")
+    latency, lost = quantiles(events, F.col("value"), {"p95_latency_ms": 0.95}).select("p95_latency_ms"), events.agg(F.count_if(F.col("value").isNull()).alias("fallbacks"))
+    return gates.long_metrics(ope, estimate, days, shown, later, ece, latency, lost)
 
 
 def named_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
