@@ -2,8 +2,9 @@
 
 import pytest
 
-from rankloom.operators import metrics
-from rankloom.plans import releases
+from rankloom.operators import behavior, metrics, transfer
+from rankloom.plans import policy, releases
+from rankloom.sources import views
 
 SF = "/root/testdata/sf0.001"
 LOG = [(i, f"c{i % 3}" if i % 17 else None, f"a{i % 5}", (i * 7 % 10) / 10 if i % 11 else None, 0.1 + (i % 4) / 10, 0.05 + (i % 5) / 10 if i % 23 else None) for i in range(300)]
@@ -45,3 +46,28 @@ def test_doubly_robust_reads_its_log_once(spark):
 
 def test_latencies_of_the_gates_are_not_kept_by_one_task(spark):
     assert "percentile(value" not in plan(releases.other_metrics(spark, SF))
+
+
+def test_sets_meet_the_smallest_products_of_their_texts(spark, monkeypatch):
+    rows = [(i, f"ring {i % 3} {'x ' * (i % 2)}", "c") for i in range(300)]
+    products = spark.createDataFrame(rows, "product_id long, title string, category string")
+    kept, write = {}, transfer.stored
+    monkeypatch.setattr(transfer, "stored", lambda df, name: kept.setdefault(name, write(df, name)))
+    got = transfer.edges(products, 4, ["category"], products.where("product_id < 12")).groupBy("product_id").count().collect()
+    # Of six titles five products each, not all 300.
+    assert kept["smallest"].count() == 30 and sorted(map(tuple, got)) == [(i, 4) for i in range(12)]
+
+
+def test_queries_are_worked_out_once(spark, monkeypatch):
+    asked, view = [], views.view
+    monkeypatch.setattr(policy, "view", lambda s, d, name, **done: asked.append((name, sorted(done))) or view(s, d, name, **done))
+    policy.gate_input(spark, SF)
+    assert [x for x in asked if x[0] in ("v_queries", "v_interactions")] == [("v_queries", []), ("v_interactions", ["v_queries"])]
+
+
+def test_priors_of_rows_with_their_category(spark):
+    log, products = views.view(spark, SF, "v_interactions"), views.view(spark, SF, "v_products").where("launch_block <= 4")
+    state = behavior.standing(behavior.counts_before(log, 4), products, 4, "category").selectExpr("*", "4 as time_block")
+    want = behavior.category_priors(behavior.reference(log, products, 5).where("time_block = 4"), products)
+    rows = lambda df: sorted((r.time_block, r.category, *[round(v, 9) for v in r[2:]]) for r in df.collect())
+    assert rows(behavior.category_priors(state)) == rows(want) and len(rows(want)) > 3
