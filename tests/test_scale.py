@@ -2,7 +2,7 @@
 
 import pytest
 
-from rankloom.operators import behavior, metrics, transfer
+from rankloom.operators import behavior, metrics, retrieval, transfer
 from rankloom.plans import policy, releases
 from rankloom.sources import views
 
@@ -71,3 +71,22 @@ def test_priors_of_rows_with_their_category(spark):
     want = behavior.category_priors(behavior.reference(log, products, 5).where("time_block = 4"), products)
     rows = lambda df: sorted((r.time_block, r.category, *[round(v, 9) for v in r[2:]]) for r in df.collect())
     assert rows(behavior.category_priors(state)) == rows(want) and len(rows(want)) > 3
+
+
+def test_pairs_of_query_and_title_are_added_up_where_they_are_made(spark):
+    products = spark.createDataFrame([(i, f"brand t{i}", 0) for i in range(200)], "product_id long, title string, launch_block int")
+    queries = spark.createDataFrame([(q, f"brand t{q}") for q in range(50)], "query_id long, query string")
+    groups, _ = retrieval.by_title(products, retrieval.members_by_block(products, [0], "title"), 3)
+    scored = retrieval.bm25(queries, groups)
+    # A word of all titles and queries: 200 rows of it go by term, not 50 x 200.
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = retrieval.bm25(queries, groups)
+        assert df.count() == 50 * 200
+        text = plan(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    shuffled = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and "query_id" in line]
+    below = text[text.index(shuffled[0]):].split("Exchange hashpartitioning")
+    assert len(shuffled) == 1 and "partial_sum(gain" in below[1] and scored.count() == 50 * 200
