@@ -12,7 +12,7 @@ from rankloom.plans import policy
 from rankloom.plans.registry import _BM25, _TOP, lexical, rounded, shelves, words
 from rankloom.plans.reports import _BLENDED, _ndcg_sql, reranked
 from rankloom.sources import adapters
-from rankloom.sources.folders import stored
+from rankloom.sources.folders import small_tasks, stored
 from rankloom.sources.views import judgments, view, with_views
 
 SCOPES, DRAWS, CUTOFF, VALUE, ASKED = [1, 2, 3, 4, 5], 200, 5, 0.01275, 10
@@ -22,20 +22,24 @@ MEASURES = {"total": 1, "events": 1, "least": 1, "users": -1, "most": -1}
 
 def block_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexical lists of every query in every block, with the statistics of the block's own catalog."""
-    groups, heads = shelves(spark, sf_dir, SCOPES, 5)
-    found = retrieval.best(words(view(spark, sf_dir, "v_queries"), groups), "bm25_score", groups, heads, 5)
+    queries, (groups, heads) = policy.asked(spark, sf_dir), shelves(spark, sf_dir, SCOPES, 5)
+    with small_tasks(spark, retrieval.pairs(queries, groups)):
+        found = stored(retrieval.best(words(queries, groups), "bm25_score", groups, heads, 5), "block-lexical")
     return rounded(found.select("scope", "query_id", "product_id", "bm25_score", "rank"))
 
 
 def block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys, queries = ["scope", "query_id"], view(spark, sf_dir, "v_queries")
+    keys, queries = ["scope", "query_id"], policy.asked(spark, sf_dir)
     groups, heads = shelves(spark, sf_dir, SCOPES)
-    both = retrieval.fused(words(queries, groups), policy.dense(queries, groups), groups, heads, 50).withColumn("retrieval_score", F.round("retrieval_score", 9))
+    with small_tasks(spark, retrieval.pairs(queries, groups)):
+        both = stored(retrieval.fused(words(queries, groups), policy.dense(queries, groups), groups, heads, 50).withColumn("retrieval_score", F.round("retrieval_score", 9)), "block-hybrid")
     return rounded(retrieval.top(both, "retrieval_score", 1, keys).select(*keys, "product_id"))
 
 
 def with_history(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
-    state = behavior.snapshot(view(spark, sf_dir, "v_interactions"), view(spark, sf_dir, "v_products"), CUTOFF)
+    # Only what is listed has its history counted.
+    of_list = lambda df: df.join(ranked.select("product_id").distinct(), "product_id", "left_semi")
+    state = behavior.snapshot(of_list(view(spark, sf_dir, "v_interactions")), of_list(view(spark, sf_dir, "v_products")), CUTOFF)
     return ranked.join(state.select("product_id", F.col("zero_history").cast("int").alias("zero_history")), "product_id")
 
 

@@ -1,10 +1,11 @@
 """How often, and how, the work on logs and catalogs reads its tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.operators import behavior, metrics, retrieval, transfer
-from rankloom.plans import policy, releases
-from rankloom.sources import views
+from rankloom.plans import audits, policy, registry, releases
+from rankloom.sources import folders, views
 
 SF = "/root/testdata/sf0.001"
 LOG = [(i, f"c{i % 3}" if i % 17 else None, f"a{i % 5}", (i * 7 % 10) / 10 if i % 11 else None, 0.1 + (i % 4) / 10, 0.05 + (i % 5) / 10 if i % 23 else None) for i in range(300)]
@@ -90,3 +91,64 @@ def test_pairs_of_query_and_title_are_added_up_where_they_are_made(spark):
     shuffled = [line for line in text.splitlines() if "Exchange hashpartitioning" in line and "query_id" in line]
     below = text[text.index(shuffled[0]):].split("Exchange hashpartitioning")
     assert len(shuffled) == 1 and "partial_sum(gain" in below[1] and scored.count() == 50 * 200
+
+
+@pytest.fixture
+def nothing_sent(spark):
+    """Spark sends no table to all tasks unless it is told to."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, was)
+
+
+def fullest(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_no_task_has_all_pairs_of_a_common_word(spark, monkeypatch, nothing_sent):
+    monkeypatch.setattr(folders, "ROWS", 1000)
+    groups = spark.createDataFrame([(0, f"brand t{i}", 1, i) for i in range(400)], "scope int, title string, n long, first long")
+    queries = spark.createDataFrame([(q, f"brand t{q}") for q in range(50)], "query_id long, query string")
+    scored = retrieval.bm25(queries, groups)
+    assert scored.count() == 20_000 and fullest(scored) < 3000
+    dense = retrieval.tfidf(queries, groups)
+    with folders.small_tasks(spark, 20_000):
+        assert dense.count() == 20_000
+    assert "REPARTITION_BY_NUM" in plan(retrieval.tfidf(queries, groups))
+
+
+def test_common_terms_stay_where_they_are(spark, nothing_sent):
+    rows = spark.range(2000).selectExpr("0 as scope", "case when id % 2 = 0 then 'brand' else concat('t', id) end as term", "id").repartition(8)
+    found = rows.groupBy("scope", "term").agg(F.count("*").alias("held")).withColumn("idf", F.length("term"))
+    got, want = retrieval.meet(rows, found), rows.join(found.drop("held"), ["scope", "term"])
+    seen = lambda df: sorted(map(tuple, df.select("scope", "term", "id", "idf").collect()))
+    assert seen(got) == seen(want) and len(seen(got)) == 2000
+    assert fullest(got.where("term = 'brand'")) < 300 and fullest(want.where("term = 'brand'")) == 1000
+
+
+def test_members_of_one_file_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(folders, "ROWS", 100)
+    members = spark.range(1000).coalesce(1).selectExpr("0 as scope", "id as product_id", "concat('t', id % 7) as title")
+    groups, heads = retrieval.by_title(members, members, 3)
+    assert "REPARTITION_BY_NUM" in plan(heads) and groups.agg(F.sum("n")).first()[0] == 1000
+    assert sorted(r.product_id for r in heads.collect()) == list(range(21))
+
+
+def test_shuffles_are_cut_for_their_rows_alone(spark):
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    now = lambda: [spark.conf.get(n, None) for n in names]
+    before = now()
+    with pytest.raises(ValueError), folders.small_tasks(spark, 1000 * folders.ROWS):
+        assert now() == ["1000", folders.BYTES]
+        raise ValueError
+    assert now() == before
+
+
+def test_history_is_that_of_listed_products(spark, monkeypatch):
+    ranked, counted, snapshot = registry.lexical(spark, SF), [], behavior.snapshot
+    monkeypatch.setattr(audits.behavior, "snapshot", lambda log, products, cutoff: counted.append(products.count()) or snapshot(log, products, cutoff))
+    found = audits.with_history(spark, SF, ranked)
+    assert found.count() == ranked.count() and counted == [ranked.select("product_id").distinct().count()]
+    assert counted[0] < views.view(spark, SF, "v_products").count()
