@@ -4,6 +4,9 @@ The matrix stays a table of (scope, row, term, weight). A randomised range finde
 through joins and sums: signs from a hash of each term, then rounds of transposed and plain products, made orthonormal in
 between by the small matrix of all inner products - the only thing that comes to the driver, `width` squared numbers a
 scope. The singular vectors of the terms are a table as well; rows and queries are both weighed sums of it.
+
+Products of one text are one row of the matrix, times the root of their number: that has the same factors. Such a row
+goes by the smallest id of its products in the scope.
 """
 
 from __future__ import annotations
@@ -16,9 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from rankloom.operators import vectors
+from rankloom.operators import retrieval, vectors
 from rankloom.operators.retrieval import grams
-from rankloom.sources.folders import stored
+from rankloom.sources.folders import small_tasks, stored
 
 #: Columns beyond those asked for, rounds of products, and the part of the largest eigenvalue below which one is 0.
 MORE, ROUNDS, FLAT = 10, 3, 1e-12
@@ -26,15 +29,18 @@ MORE, ROUNDS, FLAT = 10, 3, 1e-12
 
 @dataclass
 class Space:
-    """vectors (scope, product_id, vector of length 1), terms (scope, term, idf, loading), strengths (scope, singular values),
-    sizes (scope, n, v, d). A scope of fewer than two rows or terms has no factors: its loadings are null, d is 0, and
-    its rows are compared by their TF-IDF weights."""
+    """vectors (scope, product_id, vector of length 1) and weights (scope, product_id, n, term, w) with a row of the matrix for
+    each text, terms (scope, term, idf, loading), strengths (scope, singular values), sizes (scope, n, v, d), groups (scope, title, n,
+    first) and members (scope, title, product_id) as in `retrieval.by_title`. A scope of fewer than two products or terms has no
+    factors: its loadings are null, d is 0, and its rows are compared by their TF-IDF weights."""
 
     vectors: DataFrame
     terms: DataFrame
     strengths: DataFrame
     sizes: DataFrame
     weights: DataFrame
+    groups: DataFrame
+    members: DataFrame
 
 
 def term_counts(rows: DataFrame, id_: str, text: str) -> DataFrame:
@@ -42,15 +48,16 @@ def term_counts(rows: DataFrame, id_: str, text: str) -> DataFrame:
     return counts.select(id_, "term", (1 + F.log("tf")).alias("s"))
 
 
-def weighed(products: DataFrame, members: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scope, product_id, term, w) with rows of length 1, (scope, term, idf), and (scope, n, v)."""
-    inside = members.join(term_counts(products, "product_id", text), "product_id")
-    n = members.groupBy("scope").agg(F.count("*").alias("n"))
-    df = inside.groupBy("scope", "term").agg(F.count("*").alias("df")).join(F.broadcast(n), "scope")
-    idf = stored(df.select("scope", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
-    raw = inside.join(idf, ["scope", "term"]).withColumn("w", F.col("s") * F.col("idf"))
+def weighed(groups: DataFrame, n: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scope, product_id, n, term, w) with rows of length 1 for the texts of `groups`, (scope, term, held, idf), and (scope, n, v);
+    `n` has how many members a scope has. All counts are of members but `held`, which is of texts."""
+    text = groups.select("scope", F.col("first").alias("product_id"), "n", F.explode(grams(F.col("title"))).alias("term"))
+    inside = stored(text.groupBy("scope", "product_id", "n", "term").agg((1 + F.log(F.count("*"))).alias("s")), "counts")
+    df = inside.groupBy("scope", "term").agg(F.sum("n").alias("df"), F.count("*").alias("held")).join(F.broadcast(n.withColumnRenamed("n", "size")), "scope")
+    idf = stored(df.select("scope", "term", "held", (F.log((1 + F.col("size")) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+    raw = retrieval.meet(inside, idf).withColumn("w", F.col("s") * F.col("idf"))
     length = raw.groupBy("scope", "product_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_length"))
-    rows = stored(raw.join(length, ["scope", "product_id"]).select("scope", "product_id", "term", (F.col("w") / F.col("_length")).alias("w")), "weights")
+    rows = stored(raw.join(length.hint("merge"), ["scope", "product_id"]).select("scope", "product_id", "n", "term", (F.col("w") / F.col("_length")).alias("w")), "weights")
     return rows, idf, n.join(idf.groupBy("scope").agg(F.count("*").alias("v")), "scope", "left").na.fill(0, ["v"])
 
 
@@ -117,33 +124,45 @@ def times(rows: DataFrame, by: list[str], small: dict[object, np.ndarray]) -> Da
 
 
 def fit(products: DataFrame, members: DataFrame, dimension: int = 64, text: str = "title", rounds: int = ROUNDS) -> Space:
-    """The space of each scope of `members` (scope, product_id): min(dimension, rows - 1, terms - 1) factors. Null titles have
-    no terms: such rows have no vector. Signs of factors are arbitrary."""
-    weights, idf, sizes = weighed(products, members, text)
+    """The space of each scope of `members` (scope, product_id): min(dimension, products - 1, terms - 1) factors. Null titles have
+    no terms: such products have no vector. Signs of factors are arbitrary. Members that carry the text themselves don't
+    meet the catalog; others do by a shuffle, as a catalog whose file is small would be sent whole through the driver."""
+    spark = products.sparkSession
+    listed = members if text in members.columns else members.join(products.select("product_id", text).hint("merge"), "product_id")
+    listed = listed.select("scope", F.col(text).alias("title"), "product_id")
+    groups = stored(retrieval.by_title(listed, listed, 1)[0], "titles")
+    # As many rows as the texts have terms, or fewer.
+    with small_tasks(spark, groups.agg(F.sum(F.greatest(F.size(grams(F.col("title"))), F.lit(0)))).first()[0] or 0):
+        return _fit(groups, listed, members.groupBy("scope").agg(F.count("*").alias("n")), dimension, rounds)
+
+
+def _fit(groups: DataFrame, listed: DataFrame, n: DataFrame, dimension: int, rounds: int) -> Space:
+    spark = groups.sparkSession
+    weights, idf, sizes = weighed(groups, n)
     d = F.least(F.lit(dimension), F.col("n") - 1, F.col("v") - 1)
     sizes = stored(sizes.withColumn("d", F.when((F.col("n") < 2) | (F.col("v") < 2), 0).otherwise(d).cast("int")), "sizes")
     want = {r.scope: r.d for r in sizes.where("d > 0").collect()}
     width = dimension + MORE
-    own = weights.join(F.broadcast(sizes.where("d > 0").select("scope")), "scope", "left_semi")
-    rows = ["scope", "product_id"]
+    own = weights.join(F.broadcast(sizes.where("d > 0").select("scope")), "scope", "left_semi").withColumn("w", F.col("w") * F.sqrt("n")).drop("n")
+    rows, held = ["scope", "product_id"], idf.select("scope", "term", "held")
     y = stored(summed(own.withColumn("_sign", signs(F.col("term"), width)), rows, "_sign", width), "range")
     for _ in range(rounds):
-        z = stored(summed(own.join(y, rows), ["scope", "term"], "vector", width), "range")
+        z = stored(summed(own.join(y.hint("merge"), rows), ["scope", "term"], "vector", width), "range")
         root = {s: e / np.sqrt(x) for s, (x, e) in ((s, factors(g)) for s, g in inner_products(z).items())}
-        basis = stored(times(z, ["scope", "term"], root), "basis")
-        y = stored(summed(own.join(basis, ["scope", "term"]), rows, "vector", width), "range")
+        basis = stored(times(z, ["scope", "term"], root).join(held, ["scope", "term"]), "basis")
+        y = stored(summed(retrieval.meet(own, basis), rows, "vector", width), "range")
     found = {s: factors(g) for s, g in inner_products(y).items()}
     cut = {s: (np.sqrt(x[: want[s]]), e[:, : want[s]]) for s, (x, e) in found.items()}
-    spark = products.sparkSession
-    kind = members.schema["scope"].dataType.simpleString()
+    kind = groups.schema["scope"].dataType.simpleString()
     strengths = spark.createDataFrame([(s, [float(v) for v in x]) for s, (x, _) in cut.items()], f"scope {kind}, strengths array<double>")
+    idf = idf.drop("held")
     if not want:
         terms = idf.withColumn("loading", F.lit(None).cast("array<double>"))
-        return Space(own.select("scope", "product_id", F.array().cast("array<double>").alias("vector")), terms, strengths, sizes, weights)
+        return Space(own.select("scope", "product_id", F.array().cast("array<double>").alias("vector")), terms, strengths, sizes, weights, groups, listed)
     turn = {s: e for s, (_, e) in cut.items()}
     loading = times(basis, ["scope", "term"], turn).withColumnRenamed("vector", "loading")
     terms = stored(idf.join(loading, ["scope", "term"], "left"), "loadings")
-    return Space(stored(of_length_one(times(y, rows, turn)), "vectors"), terms, strengths, sizes, weights)
+    return Space(stored(of_length_one(times(y, rows, turn)), "vectors"), terms, strengths, sizes, weights, groups, listed)
 
 
 def of_length_one(rows: DataFrame) -> DataFrame:
@@ -166,7 +185,8 @@ def plain_scores(queries: DataFrame, space: Space, text: str) -> DataFrame:
     few = F.broadcast(space.sizes.where("d = 0").select("scope"))
     asked = term_counts(queries, "query_id", text).join(space.terms.join(few, "scope", "left_semi").select("scope", "term", "idf"), "term").withColumn("q", F.col("s") * F.col("idf"))
     length = asked.groupBy("scope", "query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("_length"))
-    dots = asked.join(space.weights, ["scope", "term"]).groupBy("scope", "query_id", "product_id").agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
+    # The weights are as many as the texts' terms, whether any scope needs them or not.
+    dots = asked.join(space.weights.hint("merge"), ["scope", "term"]).groupBy("scope", "query_id", "product_id").agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
     return dots.join(length, ["scope", "query_id"]).select("scope", "query_id", "product_id", F.round(F.col("dot") / F.col("_length"), 9).alias("dense_score"))
 
 
@@ -177,6 +197,10 @@ def top(queries: DataFrame, space: Space, k: int, text: str = "query") -> DataFr
     asked = encoded(queries, space, text).withColumn("query_id", -F.col("query_id") - 1)
     found = vectors.best_of_blocks(asked, space.vectors.withColumnRenamed("product_id", "vec_id"), k, ["scope"])
     dense = found.select("scope", (-F.col("query_id") - 1).alias("query_id"), F.col("vec_id").alias("product_id"), F.col("similarity").alias("dense_score"))
-    every = dense.unionByName(plain_scores(queries, space, text))
-    order = Window.partitionBy("scope", "query_id").orderBy(F.desc("dense_score"), "product_id")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    every = dense.unionByName(plain_scores(queries, space, text)).withColumnRenamed("product_id", "first")
+    # As in `retrieval.best`: the k best texts, and the k smallest ids of each. Both meet by a shuffle, however small their files.
+    texts = retrieval.top(every, "dense_score", k, ["scope", "query_id"], "first").drop("rank")
+    titled = texts.join(space.groups.select("scope", "title", "first").hint("merge"), ["scope", "first"]).drop("first")
+    heads = retrieval.by_title(space.members, space.members, k)[1]
+    listed = titled.join(heads.hint("merge"), ["scope", "title"]).select("scope", "query_id", "product_id", "dense_score")
+    return retrieval.top(listed, "dense_score", k, ["scope", "query_id"])

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from rankloom.operators import behavior, contracts, heads, lambda_trees, latent, learned, metrics, panel, retrieval, transfer
 from rankloom.plans.audits import _WEIGHT
 from rankloom.plans.models import BEHAVIOR, judged_features
+from rankloom.plans.policy import asked
 from rankloom.plans.registry import _BLOCKS_SQL, BLOCK, BLOCKS, rounded
-from rankloom.sources.folders import shared_folder, stored
+from rankloom.sources.folders import ROWS, shared_folder, small_tasks, stored
 from rankloom.sources.views import view, with_views
 from rankloom.streaming import velocity
 
@@ -22,9 +23,10 @@ RISKS = {"loss": "utility < 0", "worst_day": "worst < 0", "low_tenth": "tenth <
 
 def latent_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of each query's list by truncated SVD, on the catalogs of two blocks, each with factors of its own."""
-    products, queries = view(spark, sf_dir, "v_products"), view(spark, sf_dir, "v_queries")
-    space = latent.fit(products, retrieval.members_by_block(products, [BLOCK - 1, BLOCK]), FACTORS)
-    return rounded(latent.top(queries, space, LIST))
+    products, queries = view(spark, sf_dir, "v_products"), asked(spark, sf_dir)
+    with small_tasks(spark, ROWS):
+        space = latent.fit(products, retrieval.members_by_block(products, [BLOCK - 1, BLOCK], "title"), FACTORS)
+        return rounded(stored(latent.top(queries, space, LIST), "latent"))
 
 
 def boosted_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:

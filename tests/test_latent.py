@@ -1,9 +1,11 @@
 """Truncated SVD against numpy on literal frames: strengths, cosines, the subspace, and the catalogs too small for it."""
 
 import math
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.operators import latent
 
@@ -81,3 +83,62 @@ def test_too_small_for_factors(spark, titles):
     else:
         assert got[0, 0] == pytest.approx(1) and all(0 < x <= 1 for x in got.values()) and (2, 0) not in got
     assert all(r.d == 0 for r in space.sizes.collect())
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def all_sent(spark):
+    """Spark sends any table whole that it may."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 40))
+    yield
+    spark.conf.set(name, was)
+
+
+def test_products_of_one_text_are_one_row(spark):
+    titles = [TITLES[(i * 5 + i // 7) % len(TITLES)] if i % 29 else None for i in range(120)]
+    products, members, queries = frames(spark, titles)
+    space = latent.fit(products, members, 4)
+    known = [i for i, t in enumerate(titles) if t]
+    a, row = tfidf([titles[i] for i in known])
+    # Null titles are members, but no rows of the matrix.
+    df = (a > 0).sum(0)
+    a = a * (np.log((1 + len(titles)) / (1 + df)) + 1) / (np.log((1 + len(known)) / (1 + df)) + 1)
+    a = a / np.linalg.norm(a, axis=1, keepdims=True)
+    _, s, vt = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(space.strengths.first().strengths, s[:4], rtol=1e-6)
+    docs = a @ vt[:4].T
+    docs = docs / np.linalg.norm(docs, axis=1, keepdims=True)
+    got = {(r.query_id, r["rank"]): (r.product_id, r.dense_score) for r in latent.top(queries, space, 40).collect()}
+    assert {q for q, _ in got} == {0, 1, 3}
+    for q, words in ((0, "red shoe"), (1, "wool coat"), (3, "hat")):
+        x = row(words) * (np.log((1 + len(titles)) / (1 + df)) + 1) / (np.log((1 + len(known)) / (1 + df)) + 1) @ vt[:4].T
+        scores = np.round(docs @ (x / np.linalg.norm(x)), 6)
+        want = sorted(zip(-scores, known))[:40]
+        assert [got[q, n][0] for n in range(1, 41)] == [i for _, i in want]
+        assert np.allclose([got[q, n][1] for n in range(1, 41)], [-x for x, _ in want], atol=2e-6)
+    assert space.weights.select("product_id").distinct().count() == len(TITLES)
+
+
+def test_no_catalog_is_sent_to_all_tasks(spark, monkeypatch, all_sent):
+    products, members, queries = frames(spark, TITLES)
+    plans, write = [], latent.stored
+    monkeypatch.setattr(latent, "stored", lambda df, name: plans.append(plan(df)) or write(df, name))
+    space = latent.fit(products, members, 3, rounds=1)
+    # Members and rows meet what else is known of them by a shuffle.
+    assert plans and not any("BroadcastHashJoin [product_id" in p or "BroadcastHashJoin [scope#, product_id" in re.sub(r"#\d+L?", "#", p) for p in plans)
+    assert "SortMergeJoin [product_id" in plans[0] and "Broadcast" not in plans[0]
+    lists = re.sub(r"#\d+L?", "#", plan(latent.top(queries, space, 5)))
+    assert "SortMergeJoin [scope#, first#]" in lists and "SortMergeJoin [scope#, title#]" in lists
+
+
+def test_members_with_their_text_do_not_meet_the_catalog(spark, monkeypatch):
+    products, members, _ = frames(spark, TITLES)
+    plans, write = [], latent.stored
+    monkeypatch.setattr(latent, "stored", lambda df, name: plans.append(plan(df)) or write(df, name))
+    monkeypatch.setattr(latent, "_fit", lambda groups, *_: groups)
+    assert latent.fit(products, members.withColumn("title", F.lit("red shoe")), 3).first().n == len(TITLES) and "Join" not in plans[0]
