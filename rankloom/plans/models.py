@@ -16,8 +16,6 @@ from rankloom.sources.views import judgments, view
 
 RELATION = ["p_irrelevant", "p_complement", "p_substitute", "p_exact"]
 BEHAVIOR = ["prior_impressions", "prior_clicks", "prior_purchases", "smoothed_ctr", "smoothed_purchase_rate", "first_observed_age", "zero_history", "sparse_history", "position"]
-#: Rows a relation model is fitted on at most.
-MOST = 200_000
 
 
 def judged_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
@@ -30,9 +28,9 @@ def judged_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[s
 
 
 def relation_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model of all judged candidates says of held-out queries."""
     rows, columns = judged_features(spark, sf_dir)
-    train = sampling.capped(rows.where("not held_out").withColumn("_k", F.concat_ws(":", "query_id", "product_id")), "_k", MOST, 7)
-    model = learned.fit_logistic(train, columns, "relevance", "multinomial")
+    model = learned.fit_logistic(rows.where("not held_out"), columns, "relevance", "multinomial")
     return rounded(learned.relation_report(learned.probabilities(model, rows.where("held_out"), columns, RELATION)))
 
 

@@ -112,6 +112,14 @@ def test_models_learn(spark):
         learned.clean(df, ["c"])
 
 
+def test_relation_model_is_fitted_on_all_rows(spark, monkeypatch):
+    rows = spark.range(200_040).selectExpr("id as query_id", "id as product_id", "cast(id % 4 as int) as relevance", "cast(id % 4 as double) as a", "id < 20 as held_out")
+    seen, fit = [], learned.fit_logistic
+    monkeypatch.setattr(models, "judged_features", lambda *_: (rows, ["a"]))
+    monkeypatch.setattr(learned, "fit_logistic", lambda df, *more: seen.append(df.count()) or fit(df.limit(100), *more))
+    assert models.relation_model(spark, "").first().n == 20 and seen == [200_020]
+
+
 def test_one_class_is_not_calibrated(spark):
     df = spark.createDataFrame([(0.3, 1), (0.6, 1)], "score double, y int")
     assert [r.p for r in learned.calibrated(df, df, "score", "y").collect()] == [0.3, 0.6]
