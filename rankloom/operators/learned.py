@@ -1,5 +1,5 @@
-"""Models fitted with pyspark.ml: relations of (query, product), behaviour with a calibrated probability, a challenger, and
-a ranker learned from pairs. Features are plain double columns; nulls and NaN count as 0."""
+"""Models fitted with pyspark.ml: relations of (query, product), behaviour with a calibrated probability and a challenger; and
+a ranker learned from all pairs (see `pairs`). Features are plain double columns; nulls and NaN count as 0."""
 
 from __future__ import annotations
 
@@ -9,14 +9,16 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.operators import gates, metrics, retrieval
+from rankloom.operators import gates, metrics, pairs, retrieval
 from rankloom.operators.contracts import last_of
 from rankloom.sources.folders import stored
 
 CLIP = 1e-6
+#: Of the linear ranker: weight of the squares, Newton steps at most, and the fall of the loss that is no step any more.
+RIDGE, STEPS, ENOUGH = 1e-4, 50, 1e-12
 
 
 def clean(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -92,23 +94,12 @@ def fit_challenger(df: DataFrame, columns: list[str], label: str, rounds: int =
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_raw"), trees]).fit(rows)
 
 
-def fit_pairwise(df: DataFrame, columns: list[str], label: str = "relevance", query: str = "query_id", id_: str = "product_id", near: int = 5) -> list[float]:
-    """Weights of a linear ranker. Each judged row is set against the `near` rows after it in an order that mixes the
-    query's rows, so pairs grow with rows and not with their squares; a pair counts by its gap in gain, both ways.
-    Without two rows of unequal gain all weights are 0."""
-    rows = clean(df, columns).where(F.col(label).isNotNull()).select(query, id_, (F.pow(F.lit(2.0), F.col(label)) - 1).alias("_gain"), F.array(*columns).alias("_x"))
-    order = Window.partitionBy(query).orderBy(F.xxhash64(id_), id_)
-    pairs = rows.withColumn("_after", F.collect_list(F.struct("_gain", "_x")).over(order.rowsBetween(1, near))).select("_gain", "_x", F.explode("_after").alias("o")).where("_gain <> o._gain")
-    both = F.array(F.struct(F.lit(1.0).alias("s")), F.struct(F.lit(-1.0).alias("s")))
-    each = pairs.select("_gain", "_x", "o", F.inline(both))
-    made = each.select(
-        F.abs(F.col("_gain") - F.col("o._gain")).alias("weight"), (F.col("s") * F.signum(F.col("_gain") - F.col("o._gain")) > 0).cast("double").alias("_y"),
-        *[(F.col("s") * (F.col("_x")[i] - F.col("o._x")[i])).alias(f"_d{i}") for i in range(len(columns))])
-    if made.isEmpty():
-        return [0.0] * len(columns)
-    names = [f"_d{i}" for i in range(len(columns))]
-    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_v"), LogisticRegression(featuresCol="_v", labelCol="_y", weightCol="weight", fitIntercept=False, regParam=1e-4, standardization=False)]).fit(made)
-    return [float(c) for c in model.stages[-1].coefficients]
+def fit_pairwise(df: DataFrame, columns: list[str], label: str = "relevance", query: str = "query_id") -> list[float]:
+    """Weights of a linear ranker: a logistic model, on their differences, of all pairs of a query's judged rows that have unequal
+    gain; a pair counts by its gap in gain. Pairs grow with the squares of a query's rows and are summed in blocks, so
+    that they take time and no room. Without two rows of unequal gain all weights are 0."""
+    rows = clean(df, columns).where(F.col(label).isNotNull()).select(F.col(query).alias("_query"), (F.pow(F.lit(2.0), F.col(label)) - 1).alias("_gain"), F.array(*columns).alias("_x"))
+    return pairs.fitted(stored(rows, "pair-rows"), len(columns), RIDGE, STEPS, ENOUGH)
 
 
 def linear(columns: list[str], weights: list[float]) -> Column:
