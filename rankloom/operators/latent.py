@@ -132,13 +132,15 @@ def fit(products: DataFrame, members: DataFrame, dimension: int = 64, text: str
     listed = listed.select("scope", F.col(text).alias("title"), "product_id")
     groups = stored(retrieval.by_title(listed, listed, 1)[0], "titles")
     # As many rows as the texts have terms, or fewer.
-    with small_tasks(spark, groups.agg(F.sum(F.greatest(F.size(grams(F.col("title"))), F.lit(0)))).first()[0] or 0):
-        return _fit(groups, listed, members.groupBy("scope").agg(F.count("*").alias("n")), dimension, rounds)
+    n_terms = groups.agg(F.sum(F.greatest(F.size(grams(F.col("title"))), F.lit(0)))).first()[0] or 0
+    with small_tasks(spark, n_terms):
+        return _fit(groups, listed, n_terms, members.groupBy("scope").agg(F.count("*").alias("n")), dimension, rounds)
 
 
-def _fit(groups: DataFrame, listed: DataFrame, n: DataFrame, dimension: int, rounds: int) -> Space:
+def _fit(groups: DataFrame, listed: DataFrame, n_terms: int, n: DataFrame, dimension: int, rounds: int) -> Space:
     spark = groups.sparkSession
-    weights, idf, sizes = weighed(groups, n)
+    # Titles are short: as files are read, one task would count the terms of a great many.
+    weights, idf, sizes = weighed(retrieval.spread(groups, n_terms, "scope", "first"), n)
     d = F.least(F.lit(dimension), F.col("n") - 1, F.col("v") - 1)
     sizes = stored(sizes.withColumn("d", F.when((F.col("n") < 2) | (F.col("v") < 2), 0).otherwise(d).cast("int")), "sizes")
     want = {r.scope: r.d for r in sizes.where("d > 0").collect()}
